@@ -55,40 +55,55 @@ def literal_map(values: dict[str, str]) -> Column:
 
 def headline_class(title: Column) -> Column:
     """First headline class with a keyword in the title, else NULL."""
-    lowered = F.lower(title)
-    out = F.when(F.lit(False), F.lit(""))
-    for label, needles in HEADLINE_GROUPS:
-        out = out.when(contains_any(lowered, needles), label)
-    return out
+
+    def choose(lowered: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for label, needles in HEADLINE_GROUPS:
+            out = out.when(contains_any(lowered, needles), label)
+        return out
+
+    return bind(F.lower(title), choose)
 
 
-def explicit_project(text: Column) -> Column:
+def explicit_project(lowered: Column) -> Column:
     """Key named by a ``project: x`` tag, aliases resolved, else NULL."""
-    value = F.nullif(F.regexp_extract(F.lower(text), TAG_PATTERN, 1), F.lit(""))
+    value = F.nullif(F.regexp_extract(lowered, TAG_PATTERN, 1), F.lit(""))
     return F.coalesce(F.try_element_at(literal_map(EXPLICIT_TAGS), value), value)
 
 
-def keyword_scores(text: Column) -> list[Column]:
-    """Distinct keywords of each project present in the text, registry order."""
-    lowered = F.lower(text)
-    return [
-        reduce(lambda a, b: a + b,
-               [lowered.contains(k).cast("int") for k in p.keywords], F.lit(0))
-        for p in PROJECTS
-    ]
+def keyword_scores(text: Column) -> Column:
+    """Number of distinct keywords of each project in the text, registry order."""
+    lists = F.array(*[F.array(*[F.lit(k) for k in p.keywords]).cast("array<string>") for p in PROJECTS])
+    return F.transform(lists, lambda keys: F.size(F.filter(keys, lambda k: F.contains(text, k))))
 
 
 def classify_project(text: Column) -> Column:
-    """Struct of project key and how it was found: explicit, keywords, fallback."""
-    tagged = explicit_project(text)
-    scores = keyword_scores(text)
-    best = F.greatest(*scores)
-    by_words = F.coalesce(*[F.when(s == best, F.lit(p.key)) for p, s in zip(PROJECTS, scores)])
-    known = F.coalesce(tagged.isin(*[p.key for p in PROJECTS]), F.lit(False))
-    return F.struct(
-        F.when(known, tagged).when(best > 0, by_words).otherwise("shared").alias("project_key"),
-        F.when(known, "explicit").when(best > 0, "keywords").otherwise("fallback").alias("how"),
-    )
+    """Struct of project key and how it was found: explicit, keywords, fallback.
+
+    The text is lowered and scored once per row; ties go to registry order.
+    """
+    keys = F.array(*[F.lit(p.key) for p in PROJECTS])
+
+    def decide(row: Column) -> Column:
+        best = F.array_max(row["scores"])
+        known = F.array_contains(keys, F.coalesce(row["tag"], F.lit("")))
+        by_words = F.element_at(keys, F.array_position(row["scores"], best).cast("int"))
+        return F.struct(
+            F.when(known, row["tag"]).when(best > 0, by_words).otherwise("shared").alias("project_key"),
+            F.when(known, "explicit").when(best > 0, "keywords").otherwise("fallback").alias("how"),
+        )
+
+    def measure(lowered: Column) -> Column:
+        return F.struct(
+            explicit_project(lowered).alias("tag"), keyword_scores(lowered).alias("scores")
+        )
+
+    return bind(bind(F.lower(text), measure), decide)
+
+
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def method_bucket(method: Column) -> Column:

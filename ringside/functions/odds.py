@@ -35,9 +35,8 @@ def bucket_text(raw: Column, step: float = 0.05) -> Column:
 
 def over_price(markets: Column, question: str) -> Column:
     """Decimal price found at the place of ``Over`` in the first such market."""
-    market = F.try_element_at(
-        F.filter(markets, lambda m: m["question"] == F.lit(question)), F.lit(1)
+    prices = F.transform(
+        F.filter(markets, lambda m: m["question"] == F.lit(question)),
+        lambda m: F.get(m["prices"], F.array_position(m["outcomes"], "Over").cast("int") - 1),
     )
-    place = F.array_position(market["outcomes"], "Over").cast("int")
-    price = F.when(place > 0, F.try_element_at(market["prices"], F.greatest(place, F.lit(1))))
-    return probability_to_decimal(price)
+    return probability_to_decimal(F.get(prices, F.lit(0)))

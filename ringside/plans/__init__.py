@@ -1,0 +1,18 @@
+"""Queries over the given tables and their SQL twins."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = (
+    "scalar_queries",
+)
+
+
+def load_catalog():
+    """All registered queries and SQL twins, by name."""
+    for module in MODULES:
+        import_module(f"{__name__}.{module}")
+    from ringside.plans.catalog import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
