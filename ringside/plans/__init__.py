@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = (
     "scalar_queries",
+    "source_queries",
+    "history_queries",
 )
 
 
