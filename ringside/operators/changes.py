@@ -110,12 +110,13 @@ def consume_within(
     step = F.when(is_open, 1).otherwise(-1)
     rows = df.filter(is_open | is_text).select(key, *order, is_open.alias("is_open"), step.alias("step"))
     level = running(rows, [key], order, {"total": Running("sum", F.col("step"))}, hot=hot)
-    level = running(level, [key], order, {"floor": Running("min", F.col("total"))}, hot=hot)
+    level = running(level, [key], order, {"floor": Running("min_before", F.col("total"))}, hot=hot)
     # Texts without an open record push the floor down and match nothing.
-    height = F.col("total") - F.least(F.col("floor"), F.lit(0))
-    on_level = level.withColumn("level", F.when(F.col("is_open"), height).otherwise(height + 1))
-    unmatched = ~F.col("is_open") & (F.col("total") == F.col("floor")) & (F.col("total") < 0)
-    on_level = on_level.filter(~unmatched | (F.col("level") > 1)).select(key, "level", *order, "is_open")
+    floor = F.least(F.col("floor"), F.lit(0))
+    height = F.col("total") - floor
+    on_level = level.filter(height >= 0).withColumn(
+        "level", F.when(F.col("is_open"), height).otherwise(height + 1)
+    )
     paired = running(
         on_level, [key, "level"], order,
         {

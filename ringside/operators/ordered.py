@@ -21,7 +21,8 @@ SLOT = "__slot"
 
 @dataclass(frozen=True)
 class Running:
-    """``kind``: lag, last (up to this row), before (earlier rows), sum or min."""
+    """``kind``: lag, last, sum or min up to this row, before (last of the earlier
+    rows) or min_before (min of the earlier rows)."""
 
     kind: str
     value: Column
@@ -101,6 +102,8 @@ def _plain(spec: Running, window) -> Column:
         return F.sum(spec.value).over(upto)
     if spec.kind == "min":
         return F.min(spec.value).over(upto)
+    if spec.kind == "min_before":
+        return F.min(spec.value).over(earlier)
     raise ValueError(f"unknown running value: {spec.kind}")
 
 

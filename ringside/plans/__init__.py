@@ -8,6 +8,8 @@ MODULES = (
     "scalar_queries",
     "source_queries",
     "history_queries",
+    "join_queries",
+    "state_queries",
 )
 
 

@@ -143,6 +143,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.alias("run_date"),
         F.when(signup, F.date_add(day, (event_id % 9).cast("int"))).alias("opened_date"),
         F.sha2(
-            F.concat_ws("|", "event_type", two_digits(F.rint(F.col("value") / 10) * 10)), 256
+            F.concat_ws("|", "event_type", two_digits(F.rint(F.col("value") / 50) * 50)), 256
         ).alias("hash"),
     )

@@ -155,5 +155,5 @@ runs AS (
     CASE WHEN event_type = 'signup' THEN 'baseline' ELSE 'incremental' END AS kind,
     CAST(ts AS DATE) AS run_date,
     CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + CAST(event_id % 9 AS INTEGER) END AS opened_date,
-    sha256(event_type || '|' || printf('%.2f', round_even(value / 10.0, 0) * 10.0)) AS hash
+    sha256(event_type || '|' || printf('%.2f', round_even(value / 50.0, 0) * 50.0)) AS hash
   FROM events)"""
