@@ -10,6 +10,7 @@ MODULES = (
     "history_queries",
     "join_queries",
     "state_queries",
+    "text_queries",
 )
 
 
