@@ -133,10 +133,14 @@ def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
     """Monitor log: sign-ups open a window, everything else is an update run."""
     event_id, day = F.col("event_id"), F.to_date("ts")
     signup = F.col("event_type") == "signup"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("key"),
         event_id.alias("seq"),
         F.when(signup, "baseline").otherwise("incremental").alias("kind"),

@@ -1,0 +1,58 @@
+"""Keyed state between micro-batches, kept as tables in the shared folder.
+
+Every batch writes only the keys it changed. Each ``period``-th batch writes
+the whole state instead, so a read touches at most ``period`` folders. A batch
+that is replayed after a failure overwrites its own folder, nothing else.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ringside.operators.topk import latest_state
+
+BATCH = "state_batch"
+
+
+@dataclass(frozen=True)
+class StateTable:
+    """``schema`` covers keys and values; ``live`` false marks a removed key."""
+
+    path: str
+    schema: str
+    keys: tuple[str, ...]
+    period: int = 32
+
+    @property
+    def _full_schema(self) -> str:
+        return f"{self.schema}, live boolean, {BATCH} bigint"
+
+    def _folders(self, batch_id: int) -> list[str]:
+        base = batch_id // self.period * self.period - 1
+        full = [f"{self.path}/full/{base}"] if base >= 0 else []
+        return full + [f"{self.path}/delta/{i}" for i in range(base + 1, batch_id)]
+
+    def _stored(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        folders = self._folders(batch_id)
+        if not folders:
+            return spark.createDataFrame([], self._full_schema)
+        return spark.read.schema(self._full_schema).parquet(*folders)
+
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """State as it was before ``batch_id``."""
+        latest = latest_state(self._stored(spark, batch_id), list(self.keys), [BATCH])
+        return latest.filter("live").drop("live", BATCH)
+
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        """``changes`` has the schema columns and ``live``, one row per key."""
+        spark = changes.sparkSession
+        rows = changes.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/delta/{batch_id}")
+        if (batch_id + 1) % self.period == 0:
+            merged = self._stored(spark, batch_id).unionByName(
+                spark.read.schema(self._full_schema).parquet(f"{self.path}/delta/{batch_id}")
+            )
+            kept = latest_state(merged, list(self.keys), [BATCH]).filter("live")
+            kept.write.mode("overwrite").parquet(f"{self.path}/full/{batch_id}")
