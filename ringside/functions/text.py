@@ -13,11 +13,13 @@ NO_NAME = "Без названия"
 BARE_LINK = "Ссылка без описания"
 LINK_WORD = "ссылка"
 
-# Every character that str.split() treats as white space.
-WHITESPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Every character that str.split() treats as white space. The wide ones sit
+# behind one range test, so that ordinary letters cost two tests each.
+_NARROW = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+_WIDE = "\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = f"[{_NARROW}[\u1680-\u3000&&[{_WIDE}]]]"
+WHITESPACE_CHARS = _NARROW + _WIDE
+
 
 
 def blank_to_null(col: Column) -> Column:
@@ -30,7 +32,7 @@ def first_filled(*cols: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
+    return F.btrim(col, F.lit(WHITESPACE_CHARS))
 
 
 def collapse_spaces(col: Column) -> Column:
@@ -92,6 +94,10 @@ def list_label(title: Column, url: Column, host: Column, extracted: Column) -> C
     )
 
 
+# Outside these ranges (Latin letters, Cyrillic) no character has a longer form.
+MAY_SPELL_LONGER = r"[\x{bc}-\x{be}\x{132}-\x{3ff}\x{530}-\x{10ffff}]"
+
+
 @lru_cache(maxsize=1)
 def _ascii_tables() -> tuple[str, str, tuple[str, ...]]:
     """ASCII forms of every character whose NFKD form has any, by rule.
@@ -123,33 +129,31 @@ def to_ascii(col: Column) -> Column:
     entries = F.split(F.lit("\x01".join(longer)), "\x01")
     char_class = "[" + "".join(entry[0] for entry in longer) + "]"
     spelled = F.when(
-        col.rlike(char_class),
+        col.rlike(MAY_SPELL_LONGER) & col.rlike(char_class),
         F.aggregate(
             entries, col, lambda acc, e: F.replace(acc, F.substring(e, 1, 1), F.substring(e, 2, 20))
         ),
     ).otherwise(col)
     return F.when(
         col.rlike(r"[^\x00-\x7F]"),
-        F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]", ""),
+        F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]+", ""),
     ).otherwise(col)
 
 
 def slug_ascii(col: Column, empty: str = "ufc-event") -> Column:
     slug = F.regexp_replace(F.lower(to_ascii(col)), "[^a-z0-9]+", "-")
-    return F.coalesce(blank_to_null(F.regexp_replace(slug, "^-|-$", "")), F.lit(empty))
+    return F.coalesce(blank_to_null(F.btrim(slug, F.lit("-"))), F.lit(empty))
 
 
 def slug_wide(col: Column) -> Column:
     """Slug that keeps Cyrillic letters, ``-`` and ``_``; hyphen runs stay."""
     dashed = F.regexp_replace(F.lower(strip(col)), rf"{WHITESPACE}+", "-")
     kept = F.regexp_replace(dashed, r"(?iu)[^a-zа-я0-9\-_]+", "-")
-    return F.coalesce(blank_to_null(F.regexp_replace(kept, r"^-+|-+$", "")), F.lit("item"))
+    return F.coalesce(blank_to_null(F.btrim(kept, F.lit("-"))), F.lit("item"))
 
 
 def safe_id(col: Column, limit: int = 80) -> Column:
-    value = F.lower(
-        F.regexp_replace(F.regexp_replace(col, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
-    )
+    value = F.lower(F.btrim(F.regexp_replace(col, "[^A-Za-z0-9._-]+", "-"), F.lit("-")))
     return F.coalesce(blank_to_null(F.substring(value, 1, limit)), F.lit("item"))
 
 
