@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ringside.functions.text import blank_to_null, drop_repeated_phrase, strip
+from ringside.functions.text import bind, blank_to_null, drop_repeated_phrase, strip
 from ringside.registry import EXPLICIT_TAGS, PROJECTS
 
 # Headline classes with their keywords, in the order they apply.
@@ -101,11 +101,6 @@ def classify_project(text: Column) -> Column:
     return bind(bind(F.lower(text), measure), decide)
 
 
-def bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def method_bucket(method: Column) -> Column:
     m = F.lower(F.coalesce(method, F.lit("")))
     return (

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringside.functions.text import slug_ascii
+from ringside.functions.text import bind, slug_ascii
 from ringside.operators.topk import keep_first
 
 WINDOW = 5_000
 
 
-def _hits(slug: Column, a_last: Column, b_last: Column) -> Column:
-    return F.when(F.contains(slug, a_last), 5).otherwise(0) + F.when(F.contains(slug, b_last), 5).otherwise(0)
+def _hits(text: Column, a_last: Column, b_last: Column) -> Column:
+    """5 for each last name found in the slug of the text."""
+
+    def score(slug: Column) -> Column:
+        return F.when(F.contains(slug, a_last), 5).otherwise(0) + F.when(F.contains(slug, b_last), 5).otherwise(0)
+
+    return bind(slug_ascii(text), score)
 
 
 def best_link(links: Column, html: Column, a_last: Column, b_last: Column, day: Column) -> Column:
@@ -27,7 +32,7 @@ def best_link(links: Column, html: Column, a_last: Column, b_last: Column, day:
         links,
         lambda link, i: F.struct(
             (
-                _hits(slug_ascii(F.lower(link["text"])), a_last, b_last)
+                _hits(F.lower(link["text"]), a_last, b_last)
                 + F.contains(link["href"], date).cast("int")
                 + F.contains(link["href"], year).cast("int")
             ).alias("score"),
@@ -49,7 +54,7 @@ def best_link(links: Column, html: Column, a_last: Column, b_last: Column, day:
         ),
         lambda w, i: F.struct(
             (
-                _hits(slug_ascii(w["text"]), a_last, b_last)
+                _hits(w["text"], a_last, b_last)
                 + F.contains(F.replace(w["text"], F.lit("-"), F.lit("")), month).cast("int")
             ).alias("score"),
             (-i).alias("back"),

@@ -48,8 +48,9 @@ def page_text(html: str) -> str:
     for tag in ("script", "style", "noscript"):
         html = sub(html, f"(?is)<{tag}.*?>.*?</{tag}>", " ")
     html = sub(html, "(?s)<[^>]+>", " ")
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        html = f"replace({html}, '{entity}', {lit(char)})"
+    # These four also count without their semicolon.
+    for entity, char in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        html = sub(html, entity, char)
     return collapse(html)
 
 
