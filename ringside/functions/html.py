@@ -6,6 +6,7 @@ import html as html_lib
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from ringside.functions.text import WHITESPACE, collapse_spaces, strip
 
@@ -14,7 +15,7 @@ READABLE_LIMIT = 12_000
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """Named and numeric character references; Spark SQL has no such function."""
     return text.map(html_lib.unescape, na_action="ignore")

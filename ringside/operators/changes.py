@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ringside.functions.dates import in_next_weekend
-from ringside.operators.ordered import HOT_ROWS, Running, find_hot_keys, running
+from ringside.operators.ordered import HOT_ROWS, HotKeys, Running, find_hot_keys, running
+from ringside.session import cut_lineage
 
 
 def changed_runs(runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -117,13 +118,17 @@ def consume_within(
     on_level = level.filter(height >= 0).withColumn(
         "level", F.when(F.col("is_open"), height).otherwise(height + 1)
     )
+    if hot.rows:
+        on_level, levels = cut_lineage(on_level), None
+    else:
+        levels = HotKeys([key, "level"])  # a level is never larger than its key
     paired = running(
         on_level, [key, "level"], order,
         {
             "open_id": Running("lag", F.when(F.col("is_open"), F.col("event_id"))),
             "open_ts": Running("lag", F.when(F.col("is_open"), F.col("ts"))),
         },
-        hot_rows,
+        hot_rows, levels,
     )
     return paired.filter(
         ~F.col("is_open") & (seconds_between(F.col("ts"), F.col("open_ts")) <= within_seconds)

@@ -199,7 +199,7 @@ def _proposal_rounds(
                 F.col("keeper").isNull() | (F.col("keeper") > F.col("first_free"))
             )
         offers = running(
-            offers.select(*kind, "cost", "right_pos"),
+            cut_lineage(offers.select(*kind, "cost", "right_pos")),
             kind, ["cost", "right_pos"], {"k": Running("sum", F.lit(1))}, hot_rows,
         )
         proposals = cut_lineage(

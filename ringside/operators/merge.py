@@ -23,20 +23,27 @@ def fallback_merge(existing: DataFrame, fallback: DataFrame, group: str) -> Data
     def side(df: DataFrame, mark: str) -> DataFrame:
         return df.select(group, *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != group])
 
-    left = side(fallback, "f").join(pairs, [group, "f_pos"], "left")
-    full = left.join(side(existing, "e"), [group, "e_pos"], "full_outer")
-    matched = F.col("f_pos").isNotNull() & F.col("e_bout_id").isNotNull()
-    return full.select(
-        group,
-        F.when(matched, "matched").when(F.col("f_pos").isNotNull(), "added")
-        .otherwise("leftover").alias("how"),
-        F.when(F.col("f_pos").isNotNull(), 0).otherwise(1).alias("part"),
-        F.coalesce("f_pos", "e_pos").alias("place"),
-        *[
-            F.coalesce(F.col(f"e_{c}"), F.col(f"f_{c}")).alias(c)
-            for c in ("bout_id", "a_name", "b_name")
-        ],
-        *[filled(F.col(f"e_{c}"), F.col(f"f_{c}")).alias(c) for c in ("weight_class", "card_segment")],
+    # Three joins on unique keys: a full join on the assignment would gather
+    # all unmatched rows of a group under one empty key.
+    left, right = side(fallback, "f"), side(existing, "e")
+    matched = left.join(pairs, [group, "f_pos"]).join(right, [group, "e_pos"])
+    added = left.join(pairs, [group, "f_pos"], "left_anti")
+    leftover = right.join(pairs, [group, "e_pos"], "left_anti")
+    both = F.col
+    return (
+        _merged(matched, group, "matched", 0, "f_pos", lambda c: both(f"e_{c}"),
+                lambda c: filled(both(f"e_{c}"), both(f"f_{c}")))
+        .unionByName(_merged(added, group, "added", 0, "f_pos", lambda c: both(f"f_{c}"), lambda c: both(f"f_{c}")))
+        .unionByName(_merged(leftover, group, "leftover", 1, "e_pos", lambda c: both(f"e_{c}"),
+                             lambda c: F.nullif(both(f"e_{c}"), F.lit("n/a"))))
+    )
+
+
+def _merged(df, group, how, part, place, own, fill) -> DataFrame:
+    return df.select(
+        group, F.lit(how).alias("how"), F.lit(part).alias("part"), F.col(place).alias("place"),
+        *[own(c).alias(c) for c in ("bout_id", "a_name", "b_name")],
+        *[fill(c).alias(c) for c in ("weight_class", "card_segment")],
     )
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 10_000
+MAX_CHUNKS = 4_096
+STRIDE = 64
 CHUNK = "__chunk"
 SLOT = "__slot"
 
@@ -53,7 +55,7 @@ def find_hot_keys(
         found = counts.filter(F.col("n") > limit).limit(MAX_HOT_KEYS + 1).collect()
     if not found:
         return HotKeys(keys)
-    pieces = max(2, -(-max(r["n"] for r in found) * 2 // limit))
+    pieces = min(MAX_CHUNKS, max(2, -(-max(r["n"] for r in found) * 2 // limit)))
     key_schema = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema
     )
@@ -110,12 +112,10 @@ def _plain(spec: Running, window) -> Column:
 def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
     bounds = df.sparkSession.createDataFrame(hot.rows, hot.schema)
     # The hot list has a checked size, so it may be sent to every task.
-    marked = df.join(F.broadcast(bounds), keys, "left").withColumn(
-        CHUNK,
-        F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col(order[0]))), F.lit(-1)),
-    )
-    marked = marked.select(
-        *df.columns, F.when(F.col("bounds").isNull(), F.lit(-1)).otherwise(F.col(CHUNK)).alias(CHUNK),
+    marked = df.join(F.broadcast(bounds), keys, "left").select(
+        *df.columns,
+        F.when(F.col("bounds").isNotNull(), chunk_number(F.col("bounds"), F.col(order[0])))
+        .otherwise(-1).alias(CHUNK),
         *[s.value.alias(f"__v_{n}") for n, s in specs.items()],
     )
     parts = [*keys, CHUNK]
@@ -144,6 +144,17 @@ def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
     )
 
 
+def chunk_number(bounds: Column, value: Column) -> Column:
+    """How many of the sorted bounds are below the value, in two short scans."""
+
+    def below(items: Column) -> Column:
+        return F.size(F.filter(items, lambda b: b < value))
+
+    coarse = F.filter(bounds, lambda b, i: (i + 1) % STRIDE == 0)
+    strides = below(coarse)
+    return strides * STRIDE + below(F.slice(bounds, strides * STRIDE + 1, STRIDE))
+
+
 def _edge(kind: str, value: Column, place: Column) -> Column:
     if kind == "lag":
         return F.max_by(value, place)

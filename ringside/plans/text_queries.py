@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringside.functions import classify, dates, hashing, render, text, urls
+from ringside.functions import classify, dates, hashing, render, urls
 from ringside.functions.odds import american_to_decimal
-from ringside.operators import documents, history
+from ringside.operators import documents
+from ringside.operators.topk import keep_first
 from ringside.plans import sqltext as q
-from ringside.plans.adapters import big, bouts, fights, last_five, pick, records, table
+from ringside.plans.adapters import big, bouts, last_five, pick, records, table
 from ringside.plans.catalog import query
 from ringside.plans.history_queries import _COMMENTS, _SUMMARY, comments, summary
 from ringside.plans.source_queries import parsed_inbox
@@ -151,10 +152,11 @@ _FILES = ("README.md", "ideas.md", "current-system.md", "current-context.md", "f
 SELECT source, string_agg(CASE WHEN ord = 0 THEN '# Project README' || chr(10) || left(body, 2500)
   ELSE '# Inbox Context: ' || ([{', '.join(q.lit(f) for f in _FILES)}])[ord + 1] || chr(10) || left(body, 2000) END, chr(10) || chr(10) ORDER BY ord) AS pack FROM t GROUP BY source""")
 def context_pack(spark, d):
-    """The first document of each slot is the file; ids first, texts after"""
-    docs = table(spark, d, "documents").filter(c("doc_id") % 9 != 0).withColumn("ord", c("doc_id") % 5)
-    chosen = docs.groupBy("source", "ord").agg(F.min("doc_id").alias("doc_id"))
-    files = docs.select("doc_id", c("text").alias("body")).join(chosen, "doc_id")
+    """The first document of each slot is the file; texts are cut before they move"""
+    docs = table(spark, d, "documents").filter(c("doc_id") % 9 != 0).select(
+        "source", (c("doc_id") % 5).alias("ord"), "doc_id", F.substring("text", 1, 2_500).alias("body")
+    )
+    files = keep_first(docs, ["source", "ord"], ["doc_id"])
     return documents.context_pack(files.withColumn("name", pick(_FILES, c("ord"))), "source")
 
 

@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 
 def tagged_json(html: Column, tag_open: str) -> Column:
@@ -43,7 +44,7 @@ def enclosing_json(marker: str, anchor: str = '"page":{'):
             brace = script.rfind("{", 0, brace)
         return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def enclosing(scripts: pd.Series) -> pd.Series:
         decoder = json.JSONDecoder()
         return scripts.map(lambda script: around(script, decoder))
