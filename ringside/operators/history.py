@@ -17,10 +17,10 @@ def _summary(prefix: str) -> Column:
     )
 
 
-def record_summary(fights: DataFrame, published: Column | None = None) -> DataFrame:
+def record_summary(fights: DataFrame, published: DataFrame | None = None) -> DataFrame:
     """Totals and method breakdown per fighter: one partial aggregate.
 
-    ``published`` is an aggregate column; a filled published record wins.
+    ``published`` has fighter and published; a filled published record wins.
     """
     bucket, result = method_bucket(F.col("method")), F.col("result")
     counts = [
@@ -31,8 +31,11 @@ def record_summary(fights: DataFrame, published: Column | None = None) -> DataFr
     totals = fights.groupBy("fighter").agg(
         *[F.count_if(result == code).alias(word) for code, word in (("W", "wins"), ("L", "losses"), ("D", "draws"))],
         *counts,
-        (published if published is not None else F.lit(None).cast("string")).alias("published"),
     )
+    if published is None:
+        totals = totals.withColumn("published", F.lit(None).cast("string"))
+    else:
+        totals = totals.join(published, "fighter", "left")
     computed = F.concat_ws("-", *[F.col(w).cast("string") for w in ("wins", "losses", "draws")])
     return totals.select(
         "fighter", "wins", "losses", "draws", "losses_sub",

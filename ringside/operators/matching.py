@@ -20,6 +20,7 @@ from ringside.session import cut_lineage
 
 THRESHOLD = 8
 FOLD_PAIRS = 20_000
+SHORT_TITLE = 12
 
 
 def _tokens(slug: Column) -> Column:
@@ -57,6 +58,10 @@ def _crossed(left: Column, right: Column) -> Column:
     )
 
 
+def _single(keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit("1"), k))
+
+
 def _pair_keys(slug_a: Column, slug_b: Column, both_ways: bool) -> Column:
     keys = [strong_keys(slug_a), strong_keys(slug_b), _crossed(weak_keys(slug_a), weak_keys(slug_b))]
     if both_ways:
@@ -242,11 +247,12 @@ def best_title(bouts: DataFrame, titles: DataFrame, group: str) -> DataFrame:
         .groupBy(group, "ts").agg(F.min("title_pos").alias("title_pos"))
     )
     la, lb, ts = F.col("la"), F.col("lb"), F.col("ts")
-    lk = kinds.withColumn("k", F.explode(_pair_keys(la, lb, False)))
-    rk = rights.withColumn(
-        "k",
-        F.explode(F.array_distinct(F.concat(strong_keys(ts), _crossed(weak_keys(ts), weak_keys(ts))))),
-    )
+    # Crossed keys grow with the fourth power of the title length, so titles
+    # with many words meet on keys of the first name alone; the score decides.
+    lk = kinds.withColumn("k", F.explode(F.concat(_pair_keys(la, lb, False), _single(weak_keys(la)))))
+    weak = weak_keys(ts)
+    meeting = F.when(F.size(_tokens(ts)) <= SHORT_TITLE, _crossed(weak, weak)).otherwise(_single(weak))
+    rk = rights.withColumn("k", F.explode(F.array_distinct(F.concat(strong_keys(ts), meeting))))
     scored = (
         lk.join(rk, [group, "k"])
         .select(group, "la", "lb", "title_pos", (name_score(ts, la) + name_score(ts, lb)).alias("score"))

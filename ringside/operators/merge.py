@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ringside.functions.text import blank_to_null
 from ringside.operators.matching import greedy_one_to_one
+from ringside.session import cut_lineage
 
 
 def fallback_merge(existing: DataFrame, fallback: DataFrame, group: str) -> DataFrame:
@@ -14,11 +15,15 @@ def fallback_merge(existing: DataFrame, fallback: DataFrame, group: str) -> Data
     Both sides carry group, pos, bout_id, a_name, b_name, weight_class and
     card_segment. ``how`` tells matched, added and leftover rows apart.
     """
-    pairs = greedy_one_to_one(
+    assigned = greedy_one_to_one(
         fallback.withColumnRenamed("pos", "left_pos"),
         existing.withColumnRenamed("pos", "right_pos"),
         group,
-    ).select(group, F.col("left_pos").alias("f_pos"), F.col("right_pos").alias("e_pos"))
+    )
+    # Read by three joins below, so it is worked out once.
+    pairs = cut_lineage(
+        assigned.select(group, F.col("left_pos").alias("f_pos"), F.col("right_pos").alias("e_pos"))
+    )
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         return df.select(group, *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != group])
@@ -29,13 +34,11 @@ def fallback_merge(existing: DataFrame, fallback: DataFrame, group: str) -> Data
     matched = left.join(pairs, [group, "f_pos"]).join(right, [group, "e_pos"])
     added = left.join(pairs, [group, "f_pos"], "left_anti")
     leftover = right.join(pairs, [group, "e_pos"], "left_anti")
-    both = F.col
+    own, other = (lambda c: F.col(f"e_{c}")), (lambda c: F.col(f"f_{c}"))
     return (
-        _merged(matched, group, "matched", 0, "f_pos", lambda c: both(f"e_{c}"),
-                lambda c: filled(both(f"e_{c}"), both(f"f_{c}")))
-        .unionByName(_merged(added, group, "added", 0, "f_pos", lambda c: both(f"f_{c}"), lambda c: both(f"f_{c}")))
-        .unionByName(_merged(leftover, group, "leftover", 1, "e_pos", lambda c: both(f"e_{c}"),
-                             lambda c: F.nullif(both(f"e_{c}"), F.lit("n/a"))))
+        _merged(matched, group, "matched", 0, "f_pos", own, lambda c: filled(own(c), other(c)))
+        .unionByName(_merged(added, group, "added", 0, "f_pos", other, other))
+        .unionByName(_merged(leftover, group, "leftover", 1, "e_pos", own, lambda c: F.nullif(own(c), F.lit("n/a"))))
     )
 
 

@@ -26,6 +26,22 @@ def big(col: Column) -> Column:
     return col.cast("bigint")
 
 
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id, project, kind and time of the records, without their pages."""
+    return table(spark, sf_dir, "documents").select(*_key_columns())
+
+
+def _key_columns() -> list[Column]:
+    doc = F.col("doc_id")
+    return [
+        doc.alias("record_id"),
+        pick(PROJECT_KEYS, F.substring("source", 4, 10).cast("int") % 5).alias("project_key"),
+        F.when(doc % 2 == 0, "idea").otherwise("context").alias("entity_type"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(doc % MINUTES).cast("int")))
+        .alias("created_ts"),
+    ]
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Idea and context records from documents; every third has a page link."""
     docs = table(spark, sf_dir, "documents")
@@ -37,13 +53,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     raw = F.when(link.isNotNull() & (doc % 2 == 0), link).otherwise(F.col("text"))
     return base.select(
-        doc.alias("record_id"),
+        *_key_columns(),
         "lang",
         "text",
-        pick(PROJECT_KEYS, F.substring("source", 4, 10).cast("int") % 5).alias("project_key"),
-        F.when(doc % 2 == 0, "idea").otherwise("context").alias("entity_type"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(doc % MINUTES).cast("int")))
-        .alias("created_ts"),
         "source_url",
         raw.alias("raw_input"),
         F.when(doc % 5 == 0, "").otherwise(text.strip(raw)).alias("normalized_text"),

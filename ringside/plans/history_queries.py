@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringside.functions import classify, dates, names, text
+from ringside.functions import classify, dates, names
 from ringside.operators import history
 from ringside.operators.ordered import Running, running
-from ringside.operators.topk import (
-    filter_then_first, first_n, first_then_filter, keep_first, latest_state,
-)
+from ringside.operators.topk import filter_then_first, first_n, first_then_filter, keep_first
 from ringside.plans import sqltext as q
-from ringside.plans.adapters import big, bouts, fights, last_five, pick, records, table
+from ringside.plans.adapters import big, bouts, fights, last_five, pick, record_keys, table
 from ringside.plans.catalog import query
 from ringside.registry import PROJECT_KEYS
 
@@ -38,13 +36,13 @@ summary AS (SELECT fighter, count(*) FILTER (result = 'W') AS wins, count(*) FIL
 
 def summary(spark, d):
     key = c("fighter")
-    published = F.max(
-        F.when(
-            (key % 7 == 0) & (c("event_id") % 2 == 0),
-            F.concat_ws("-", (key % 20).cast("string"), (key % 5).cast("string"), F.lit("0")),
-        ).otherwise("")
+    rows = fights(spark, d)
+    listed = rows.filter((key % 7 == 0) & (c("event_id") % 2 == 0)).select("fighter").distinct()
+    published = listed.select(
+        "fighter",
+        F.concat_ws("-", (key % 20).cast("string"), (key % 5).cast("string"), F.lit("0")).alias("published"),
     )
-    return history.record_summary(fights(spark, d), published)
+    return history.record_summary(rows, published)
 
 
 @query("record_summary", f"WITH {_SUMMARY} SELECT * FROM summary")
@@ -327,7 +325,7 @@ _UPDATED = f"{q.RECORDS}, u AS (SELECT *, created_ts + to_minutes(record_id % 7
 
 def updated(spark, d):
     later = F.make_dt_interval(mins=(c("record_id") % 7 * 1000).cast("int"))
-    return records(spark, d).select(
+    return record_keys(spark, d).select(
         "record_id", "project_key", "entity_type", (c("created_ts") + later).alias("updated_ts")
     )
 

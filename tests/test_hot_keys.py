@@ -111,6 +111,8 @@ def test_best_title_against_a_plain_loop(spark):
     rng = random.Random(3)
     bouts = [(g, p, some_name(rng), some_name(rng)) for g in range(4) for p in range(20)]
     titles = [(g, p, f"{some_name(rng)} vs {some_name(rng)}") for g in range(4) for p in range(20)]
+    filler = " ".join(f"w{i}" for i in range(14))
+    titles += [(g, p, f"{filler} {some_name(rng)} and {some_name(rng)}") for g in range(4) for p in range(20, 30)]
     expected = []
     for g, pos, a, b in bouts:
         best = None
