@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringside.functions.text import blank_to_null
+from ringside.functions.text import blank_to_null, combine_errors
 from ringside.operators.matching import greedy_one_to_one
 from ringside.session import cut_lineage
 
@@ -68,6 +68,19 @@ def fresh_else_cached(fresh: DataFrame, cached: DataFrame, key: str, value: str)
     )
 
 
+def first_success(first: Column, second: Column) -> Column:
+    """Of two read attempts (structs of status, content, error) the first that
+    succeeded; otherwise a failure with both errors.
+    """
+    failed = F.struct(
+        F.lit("fetch_failed").alias("status"), F.lit("").alias("content"),
+        combine_errors(first["error"], second["error"]).alias("error"),
+    )
+    return (
+        F.when(first["status"] == "success", first).when(second["status"] == "success", second).otherwise(failed)
+    )
+
+
 def previous_hash(meaningful: Column, raw: Column) -> Column:
     return F.coalesce(blank_to_null(meaningful), blank_to_null(raw))
 

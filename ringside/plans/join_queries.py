@@ -323,8 +323,34 @@ def fresh_or_stale(spark, d):
     return merge.fresh_else_cached(fresh, cached, "page_id", "body")
 
 
+@query("link_attempts", """WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'fetch_failed' ELSE 'empty_content' END AS s1,
+  CASE page_id % 5 WHEN 0 THEN 'unsupported_content' WHEN 1 THEN 'fetch_failed' ELSE 'success' END AS s2, url FROM pages)
+SELECT page_id, CASE WHEN s1 = 'success' OR s2 = 'success' THEN 'success' ELSE 'fetch_failed' END AS status,
+  CASE WHEN s1 = 'success' THEN '1 ' || url WHEN s2 = 'success' THEN '2 ' || url ELSE '' END AS content,
+  CASE WHEN s1 = 'success' OR s2 = 'success' THEN NULL ELSE 'first ' || s1 || CASE WHEN page_id % 5 = 0 THEN ' | second ' || s2 ELSE '' END END AS error FROM t""")
+def link_attempts(spark, d):
+    """E10, two attempts"""
+    key = c("page_id")
+
+    def attempt(mark, status, error):
+        good = status == "success"
+        return F.struct(
+            status.alias("status"),
+            F.when(good, F.concat(F.lit(mark), c("url"))).otherwise("").alias("content"),
+            F.when(~good, error).alias("error"),
+        )
+
+    one = F.when(key % 3 == 0, "success").when(key % 3 == 1, "fetch_failed").otherwise("empty_content")
+    two = F.when(key % 5 == 0, "unsupported_content").when(key % 5 == 1, "fetch_failed").otherwise("success")
+    best = merge.first_success(
+        attempt("1 ", one, F.concat(F.lit("first "), one)),
+        attempt("2 ", two, F.when(key % 5 == 0, F.concat(F.lit("second "), two)).otherwise("")),
+    )
+    return table(spark, d, "pages").select("page_id", best.alias("b")).select("page_id", "b.*")
+
+
 @query("provenance_union", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'base|odds' WHEN 1 THEN 'base|odds' ELSE 'base|x|odds' END AS sources,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'espn + odds_feed' ELSE 'espn + odds_feed' END AS source FROM orders""")
+  CASE WHEN o_orderkey % 4 = 0 THEN 'card + odds_feed' ELSE 'card + odds_feed' END AS source FROM orders""")
 def provenance_union(spark, d):
     """H2"""
     kind = c("o_orderkey") % 3
@@ -332,7 +358,7 @@ def provenance_union(spark, d):
         F.when(kind == 0, F.array(F.lit("base"), F.lit("odds"))).when(kind == 1, F.array(F.lit("base")))
         .otherwise(F.array(F.lit("base"), F.lit("x")))
     )
-    source = F.when(c("o_orderkey") % 4 == 0, "espn + odds_feed").otherwise("espn")
+    source = F.when(c("o_orderkey") % 4 == 0, "card + odds_feed").otherwise("card")
     return table(spark, d, "orders").select(
         "o_orderkey", F.array_join(merge.add_once(before, F.lit("odds")), "|").alias("sources"),
         merge.tag_once(source, "odds_feed").alias("source"),

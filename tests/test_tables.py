@@ -47,6 +47,23 @@ def test_export_round_trip_replaces_only_its_entity(spark):
     assert sorted(tuple(r) for r in got.select("entity_type", "title").collect()) == [("context", "2"), ("idea", "3")]
 
 
+def test_dual_write(spark, sf_dir):
+    from ringside.operators.documents import record_parts
+    from ringside.plans.history_queries import comments
+    from ringside.plans.text_queries import documents_of
+    from ringside.sources.sinks import dual_write, read_documents
+
+    path = scratch_path(spark, "dual")
+    records = documents_of(spark, sf_dir)
+    notes = comments(spark, sf_dir).withColumn("created", c("created").cast("string"))
+    parts = record_parts(records, notes)
+    dual_write(records, parts, path)
+    assert read_records(spark, f"{path}/records").count() == records.count()
+    back = read_documents(spark, "record_id", f"{path}/documents")
+    assert back.exceptAll(parts).isEmpty() and parts.exceptAll(back).isEmpty()
+    assert sorted(map(str, back.collect())) == sorted(map(str, parts.collect()))
+
+
 def test_marker_search(spark):
     script = 'x={"a":"}{\\"","page":{"in":{"segMeta":{"n":[1,{"z":"}"}]}}}}; y={"page":{"b":1}}'
     page = f"<script>no</script><script>{script}</script>"
