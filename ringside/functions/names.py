@@ -8,7 +8,11 @@ from ringside.functions.text import slug_ascii, words
 
 
 def tokens_of_slug(slug: Column) -> Column:
-    return F.filter(F.split(slug, "-"), lambda t: t != "")
+    return F.split(slug, "-")
+
+
+def last_of_slug(slug: Column) -> Column:
+    return F.substring_index(slug, "-", -1)
 
 
 def name_tokens(name: Column) -> Column:
@@ -30,12 +34,9 @@ def signal_tokens(name: Column) -> Column:
 
 def name_score(slug_a: Column, slug_b: Column) -> Column:
     """10 same slug; same last name 8 or 4; shared tokens 5 or 1; else 0."""
-    a, b = tokens_of_slug(slug_a), tokens_of_slug(slug_b)
-    shared = F.size(F.array_intersect(a, b))
-    return (
-        F.when(slug_a == slug_b, 10)
-        .when(last_token(a) == last_token(b), F.when(shared >= 2, 8).otherwise(4))
-        .when(shared >= 2, 5)
-        .when(shared == 1, 1)
-        .otherwise(0)
+    shared = F.size(F.array_intersect(tokens_of_slug(slug_a), tokens_of_slug(slug_b)))
+    same_last = last_of_slug(slug_a) == last_of_slug(slug_b)
+    by_tokens = F.when(same_last, F.when(shared >= 2, 8).otherwise(4)).otherwise(
+        F.when(shared >= 2, 5).otherwise(shared)
     )
+    return F.when(slug_a == slug_b, 10).otherwise(by_tokens)

@@ -12,8 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringside.functions.names import last_token, name_score, tokens_of_slug
-from ringside.functions.text import slug_ascii
+from ringside.functions.names import last_of_slug, name_score, tokens_of_slug
+from ringside.functions.text import bind, slug_ascii
 from ringside.operators.ordered import HOT_ROWS, Running, running
 from ringside.operators.topk import keep_first
 from ringside.session import cut_lineage
@@ -29,32 +29,37 @@ def _tokens(slug: Column) -> Column:
 
 def strong_keys(slug: Column) -> Column:
     """Keys two names share iff their score is 8 or 10."""
-    last = last_token(tokens_of_slug(slug))
-    rest = F.filter(_tokens(slug), lambda t: t != last)
-    return F.concat(
-        F.array(F.concat(F.lit("="), slug)),
-        F.transform(rest, lambda t: F.concat(F.lit("+"), last, F.lit("/"), t)),
+    last = last_of_slug(slug)
+    rest = F.transform(
+        F.array_remove(_tokens(slug), last), lambda t: F.concat(F.lit("+"), last, F.lit("/"), t)
     )
+    return F.array_append(rest, F.concat(F.lit("="), slug))
 
 
 def weak_keys(slug: Column) -> Column:
     """Keys two names share iff their score is 4 or more."""
-    tokens = F.array_sort(_tokens(slug))
-    last = last_token(tokens_of_slug(slug))
-    pairs = F.flatten(
-        F.transform(
-            tokens,
-            lambda t: F.transform(
-                F.filter(tokens, lambda u: u > t), lambda u: F.concat(t, F.lit("/"), u)
-            ),
+
+    def pairs(tokens: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                tokens,
+                lambda t, i: F.transform(
+                    F.slice(tokens, i + 2, F.size(tokens)), lambda u: F.concat(t, F.lit("/"), u)
+                ),
+            )
         )
+
+    return F.array_append(
+        bind(F.array_sort(_tokens(slug)), pairs), F.concat(F.lit("."), last_of_slug(slug))
     )
-    return F.concat(F.array(F.concat(F.lit("."), last)), pairs)
 
 
 def _crossed(left: Column, right: Column) -> Column:
-    return F.flatten(
-        F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("&"), b)))
+    return bind(
+        F.struct(left.alias("l"), right.alias("r")),
+        lambda s: F.flatten(
+            F.transform(s["l"], lambda a: F.transform(s["r"], lambda b: F.concat(a, F.lit("&"), b)))
+        ),
     )
 
 

@@ -38,6 +38,12 @@ def test_one_hot_key_is_cut_into_chunks(spark):
     assert [r[0] for r in hot.rows] == [-1] and len(hot.rows[0][1]) >= 10
 
 
+def test_smaller_hot_keys_keep_fewer_bounds(spark):
+    df = spark.range(4000).select(F.when(c("id") % 8 == 0, 1).otherwise(0).alias("u"), c("id").alias("t"))
+    sizes = {r[0]: len(r[1]) for r in find_hot_keys(df, ["u"], "t", 100).rows}
+    assert sizes[0] > 60 and 5 <= sizes[1] <= 20
+
+
 def test_changes_gate_and_matching_in_time(spark, sf_dir):
     log = runs(spark, sf_dir)
     assert same(changes.changed_runs(log), changes.changed_runs(log, hot_rows=20))
