@@ -10,6 +10,7 @@ state across. Without hot keys the plan is the plain window.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -65,7 +66,7 @@ def find_hot_keys(
     wanted = F.greatest(F.lit(2), F.ceil(F.col("n") * 2 / limit))
     step = F.greatest(F.lit(1), F.floor(F.lit(pieces) / wanted))
     bounds = (
-        df.join(F.broadcast(hot), keys, "left_semi")
+        _join_null_safe(df, F.broadcast(hot), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(order, probs, 10 * pieces).alias("bounds"), F.count(F.lit(1)).alias("n"))
         .select(*keys, F.filter("bounds", lambda b, i: (i + 1) % step == 0).alias("bounds"))
@@ -113,10 +114,17 @@ def _plain(spec: Running, window) -> Column:
     raise ValueError(f"unknown running value: {spec.kind}")
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join in which a NULL key, which can be hot too, meets itself."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__k_{k}" for k in keys])
+
+
 def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
     bounds = df.sparkSession.createDataFrame(hot.rows, hot.schema)
     # The hot list has a checked size, so it may be sent to every task.
-    marked = df.join(F.broadcast(bounds), keys, "left").select(
+    marked = _join_null_safe(df, F.broadcast(bounds), keys, "left").select(
         *df.columns,
         F.when(F.col("bounds").isNotNull(), chunk_number(F.col("bounds"), F.col(order[0])))
         .otherwise(-1).alias(CHUNK),
@@ -141,7 +149,7 @@ def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
         *parts,
         *[_carry(spec.kind, name, across, step).alias(f"__c_{name}") for name, spec in specs.items()],
     )
-    joined = local.join(carried, parts, "left")
+    joined = _join_null_safe(local, carried, parts, "left")
     return joined.select(
         *df.columns,
         *[_combine(spec.kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, spec in specs.items()],

@@ -28,7 +28,7 @@ def title_build(spark, d):
 
 
 @query("list_label", f"""WITH {q.RECORDS},
-t AS (SELECT *, CASE record_id % 4 WHEN 0 THEN coalesce(source_url, '') WHEN 1 THEN '' ELSE left({q.collapse('raw_input')}, 90) END AS title,
+t AS (SELECT *, CASE record_id % 4 WHEN 0 THEN coalesce(source_url, '') WHEN 1 THEN '' ELSE {q.collapse('raw_input')} END AS title,
   coalesce({q.host('source_url')}, '') AS h, {q.collapse('extracted_content')} AS summary FROM records)
 SELECT record_id, coalesce(nullif(left({q.collapse("coalesce(nullif(normalized_text, ''), nullif(raw_input, ''), 'Без названия')")}, 80), ''), 'Без названия') AS derived,
   CASE WHEN regexp_matches(title, '^https?://') OR (coalesce(source_url, '') <> '' AND title = source_url) THEN
@@ -41,7 +41,7 @@ def list_label(spark, d):
     title = (
         F.when(c("record_id") % 4 == 0, F.coalesce(c("source_url"), F.lit("")))
         .when(c("record_id") % 4 == 1, "")
-        .otherwise(F.substring(text.collapse_spaces(c("raw_input")), 1, 90))
+        .otherwise(text.collapse_spaces(c("raw_input")))
     )
     host = F.coalesce(urls.host(c("source_url")), F.lit(""))
     return df.select(
