@@ -14,9 +14,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ringside.functions.text import bind
+
 HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 10_000
 MAX_CHUNKS = 4_096
+BROADCAST_CHUNKS = 200_000
 STRIDE = 64
 CHUNK = "__chunk"
 SLOT = "__slot"
@@ -122,11 +125,13 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
-    bounds = df.sparkSession.createDataFrame(hot.rows, hot.schema)
+    bounds = df.sparkSession.createDataFrame(hot.rows, hot.schema).withColumn(
+        "coarse", F.filter("bounds", lambda b, i: (i + 1) % STRIDE == 0)
+    )
     # The hot list has a checked size, so it may be sent to every task.
     marked = _join_null_safe(df, F.broadcast(bounds), keys, "left").select(
         *df.columns,
-        F.when(F.col("bounds").isNotNull(), chunk_number(F.col("bounds"), F.col(order[0])))
+        F.when(F.col("bounds").isNotNull(), chunk_number(F.col("bounds"), F.col("coarse"), F.col(order[0])))
         .otherwise(-1).alias(CHUNK),
         *[s.value.alias(f"__v_{n}") for n, s in specs.items()],
     )
@@ -149,6 +154,9 @@ def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
         *parts,
         *[_carry(spec.kind, name, across, step).alias(f"__c_{name}") for name, spec in specs.items()],
     )
+    # The number of chunks is known here; a short list goes to every task.
+    if sum(len(row[-1]) + 1 for row in hot.rows) <= BROADCAST_CHUNKS:
+        carried = F.broadcast(carried)
     joined = _join_null_safe(local, carried, parts, "left")
     return joined.select(
         *df.columns,
@@ -156,15 +164,19 @@ def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
     )
 
 
-def chunk_number(bounds: Column, value: Column) -> Column:
-    """How many of the sorted bounds are below the value, in two short scans."""
+def chunk_number(bounds: Column, coarse: Column, value: Column) -> Column:
+    """How many of the sorted bounds are below the value, in two short scans.
+
+    ``coarse`` holds every ``STRIDE``-th bound.
+    """
 
     def below(items: Column) -> Column:
         return F.size(F.filter(items, lambda b: b < value))
 
-    coarse = F.filter(bounds, lambda b, i: (i + 1) % STRIDE == 0)
-    strides = below(coarse)
-    return strides * STRIDE + below(F.slice(bounds, strides * STRIDE + 1, STRIDE))
+    def finish(strides: Column) -> Column:
+        return strides * STRIDE + below(F.slice(bounds, strides * STRIDE + 1, STRIDE))
+
+    return bind(below(coarse), finish)
 
 
 def _edge(kind: str, value: Column, place: Column) -> Column:
