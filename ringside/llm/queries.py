@@ -1,12 +1,25 @@
 """Queries of the numbered operators and their SQL twins, for the driver's entry file."""
 
-from . import decontam, html_density, mixing, quality, secrets, subspace_join, tokens, weighted_minhash
+from . import (
+    debruijn,
+    decontam,
+    html_density,
+    mixing,
+    quality,
+    secrets,
+    subspace_join,
+    suffix_sort,
+    tokens,
+    weighted_minhash,
+)
 
 QUERIES = {
     "op1_token_orc": tokens.query,
     "op2_decontaminate": decontam.query,
+    "op3_suffix_cover": suffix_sort.query,
     "op4_subspace_join": subspace_join.query,
     "op5_secret_models": secrets.query,
+    "op6_debruijn": debruijn.query,
     "op7_html_density": html_density.query,
     "op8_mix_sources": mixing.query,
     "op9_quality_discriminant": quality.query,
