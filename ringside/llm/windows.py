@@ -114,8 +114,10 @@ def shared_runs(docs: DataFrame, kind: Kind) -> Shared:
     texts = bodies(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"))
     found = texts.mapInArrow(_emit(kind), RUN)
     # counts and extremes combine on the map side, so a bucket that holds a third of the runs costs one row a task
-    met = found.groupBy("bucket").agg(F.count("*").alias("met"), F.min("hash").alias("a"), F.max("hash").alias("b")).where(
-        "met > 1").select("bucket", (F.col("a") != F.col("b")).alias("mixed"))
+    met = kept_table(found.groupBy("bucket").agg(
+        F.count("*").alias("met"), F.min("hash").alias("a"), F.max("hash").alias("b")).where("met > 1").select(
+        "bucket", (F.col("a") != F.col("b")).alias("mixed")), f"{kind.name}-met")
+    # as a table of its own the join has an exchange on either side, so adaptive execution can split a hot bucket
     both = kept_table(found.join(met, "bucket"), f"{kind.name}-runs")
     firsts = kept_table(both.groupBy("bucket", "hash").agg(
         F.min(F.struct("doc_id", "low")).alias("first"), F.first("n").alias("n"), F.first("mixed").alias("mixed")),
@@ -143,6 +145,6 @@ def covered(low: np.ndarray, n: np.ndarray, window: int, size: int) -> np.ndarra
 
 def removals(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Every row of ``docs`` with the list of its repeated runs (null: none)."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "n")).alias("runs"))
+    listed = kept_table(spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "n")).alias("runs")), "removed-runs")
     return bodies(docs, F.col("doc_id").cast("long").alias("doc_id")).join(listed, "doc_id", "left").select(
         "doc_id", "body", F.col("runs.low").alias("low"), F.col("runs.n").alias("n"))
