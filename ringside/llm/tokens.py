@@ -130,9 +130,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a corpus: doc_id, start (ids of all documents before it), n_tokens, ids; filters on id prune."""
     files = spark.read.schema(SCHEMA).orc(path).select("*", F.col("_metadata.file_name").alias("file"))
     totals = files.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    # one row per file
+    # one row per file, so it can go to all tasks: the ids are read without a shuffle
     offsets = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("offset"))
-    return files.join(offsets, "file").select(
+    return files.join(F.broadcast(offsets), "file").select(
         "doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
