@@ -31,7 +31,7 @@ from ringside.session import scratch_path
 
 END = 1
 #: Chunks a task remembers before it starts over: bounds its memory, not what it encodes.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 SCHEMA = "doc_id long, n_tokens long, part_start long, ids array<int>"
 
@@ -71,20 +71,33 @@ class Encoder(dict):
     def packed(self, ids) -> bytes:
         return b"".join([self.id_bytes[i] for i in ids])
 
-    def __missing__(self, chunk: str) -> bytes:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain and (plain[2] or not chunk.islower()):
-            ids = self[plain[1].lower()] + (self[plain[2]] if plain[2] else b"")
-        elif plain:
-            ids = self.packed([t.id for t in self.model.tokenize(chunk.translate(self.table))])
-        else:
-            ids = self.packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids) if chunk else b""
+    def letters(self, chunk: str) -> bytes:
+        """Ids of lower-case Latin letters, straight from the model."""
+        tokens = self.model.tokenize(chunk if chunk.isascii() else chunk.translate(self.table))
+        return b"".join([self.id_bytes[t.id] for t in tokens])
+
+    def keep(self, chunk: str, ids: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         if len(chunk) < 64:
             self[chunk] = ids
         return ids
 
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            return self.keep(chunk, self.letters(chunk))
+        plain = _PLAIN.fullmatch(chunk)
+        if not plain:
+            whole = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else ()
+            return self.keep(chunk, self.packed(whole))
+        low, marks = plain[1].lower(), plain[2]
+        if low == chunk:
+            return self.keep(chunk, self.letters(low))
+        ids = self.get(low)
+        if ids is None:
+            ids = self.keep(low, self.letters(low))
+        return self.keep(chunk, ids + self[marks] if marks else ids)
+
     def ids(self, text: str | None) -> bytes:
         if not self.chunked:
             return self.packed(self.tokenizer.encode(text or "", add_special_tokens=False).ids)
