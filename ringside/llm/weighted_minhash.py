@@ -8,10 +8,13 @@ bounded and its resolution, as a share of the documents, is the same at every si
 * Each of BANDS x ROWS samples is an improved consistent weighted sample (Gamma-distributed r and c and a uniform beta,
   drawn from the shingle's hash): two texts share a sample with a probability equal to their weighted Jaccard
   similarity. At 0.8 a pair misses all of 12 bands of 3 rows with probability 0.0002.
-* In every band bucket the smallest id stands for the bucket and the other members are verified against it by their
-  exact weighted Jaccard similarity. Members that no representative matches go through another round among themselves,
-  until every member of every bucket is matched or is a representative: no bucket is expanded into all pairs, none is
-  capped.
+* In a band bucket the member that shares most samples with the others leads; members that share at least LIKELY of all
+  samples with a leader follow it, all others become leaders in turn. Followers are verified against their leaders by
+  their exact weighted Jaccard similarity. Those that no leader matches go through further rounds among themselves, in
+  which a leader must share more samples to be followed, as LIKELY lists; a pair at 0.8 shares fewer than the first bound
+  with a probability under 0.001, and each pair has a chance in every band. Buckets of more than PART members are led
+  part by part, and then the parts' leaders are compared: no bucket is expanded into all its pairs, none is capped, none
+  sits in one task.
 * Classes are the connected components of the verified links.
 
 Defined results: a text of fewer than five words has no shingle and is similar to its exact copies only; null, empty
@@ -33,6 +36,11 @@ from .common import BASE, U64, Words, bodies, components, kept_table, mix, text_
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
+#: Equal samples (of 36) from which two texts of a bucket are worth an exact comparison, round by round.
+LIKELY = (20, 23, 26, 29)
+#: Members of a bucket that the centre is measured against.
+_PROBES = 64
+PART = 4096
 FEATURES = 1 << 18
 #: Elements of one vectorised step, so that its arrays stay in the processor's cache.
 _BLOCK = 1 << 14
@@ -126,7 +134,9 @@ def _signer(idf: np.ndarray):
         for part, texts in text_batches(batches):
             owner, h, count = shingles(texts)
             weight = count.astype(np.float32) * idf[(h & U64(FEATURES - 1)).astype(np.int64)]
-            keys = band_keys(samples(owner, h, weight, len(texts)))
+            drawn = samples(owner, h, weight, len(texts))
+            keys = band_keys(drawn)
+            drawn = (drawn & U64(0xFFFFFFFF)).astype("<u4")
             some = np.isin(np.arange(len(texts)), owner)
             words = np.array([not t.isspace() and len(t) > 0 for t in texts], bool)
             yield pa.RecordBatch.from_arrays([
@@ -134,7 +144,8 @@ def _signer(idf: np.ndarray):
                 pa.array([hashlib.sha256(t).digest()[:16] if w else None for t, w in zip(texts, words, strict=True)],
                          pa.binary()),
                 pa.array([k if s else None for k, s in zip(keys, some, strict=True)], pa.list_(pa.int64())),
-            ], ["doc_id", "digest", "bands"])
+                pa.array([x.tobytes() if s else None for x, s in zip(drawn, some, strict=True)], pa.binary()),
+            ], ["doc_id", "digest", "bands", "samples"])
 
     return sign
 
@@ -170,39 +181,142 @@ def _verifier(idf: np.ndarray, threshold: float):
     return verify
 
 
+_LED = "band long, part int, a long, b long, samples binary"
+
+
+def lead(drawn: np.ndarray, likely: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Leaders of a bucket (positions) and (leader, follower) pairs; the most central members lead first."""
+    n = len(drawn)
+    order = np.arange(n)
+    if n > 2:
+        probes = np.unique(np.linspace(0, n - 1, min(n, _PROBES)).astype(int))
+        shared = np.zeros(n, np.int64)
+        for p in probes:
+            shared += (drawn == drawn[p]).sum(1)
+        order = np.argsort(-shared, kind="stable")
+    leaders, pairs, free = [], [], np.ones(n, bool)
+    for at, i in enumerate(order):
+        if not free[i]:
+            continue
+        leaders.append(int(i))
+        rest = order[at + 1 :]
+        near = rest[(drawn[rest] == drawn[i]).sum(1) >= likely]
+        free[near] = False
+        pairs += [(int(i), int(j)) for j in near]
+    return leaders, pairs
+
+
+def _stretches(batches, columns: list[str], work):
+    """Apply ``work`` to the consecutive rows of equal ``columns``; a stretch may go over batches."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        keys = [held[c].to_numpy() for c in columns]
+        edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if len(edges):
+            yield work(held.slice(0, int(edges[-1])).combine_chunks(), np.append(0, edges))
+            held = held.slice(int(edges[-1]))
+    if held is not None and held.num_rows:
+        yield work(held.combine_chunks(), np.array([0, held.num_rows]))
+
+
+def _drawn(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["samples"].to_pylist()), "<u4").reshape(-1, BANDS * ROWS)
+
+
+def _batch(rows: list[tuple]):
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                      ["band", "part", "a", "b", "samples"])
+
+
+def _led(likely: int):
+    """(leader, follower) pairs of every bucket part and, for buckets in parts, the leaders (no ``a``)."""
+
+    def work(rows, edges):
+        band, part, parts, ids = (rows[c].to_numpy() for c in ("band", "part", "parts", "b"))
+        drawn, out = _drawn(rows), []
+        for s, e in zip(edges, edges[1:], strict=False):
+            leaders, pairs = lead(drawn[s:e], likely)
+            key = (int(band[s]), int(part[s]))
+            out += [(*key, int(ids[s + i]), int(ids[s + j]), None) for i, j in pairs]
+            if parts[s] > 1:
+                out += [(*key, None, int(ids[s + i]), drawn[s + i].tobytes()) for i in leaders]
+        return _batch(out)
+
+    return lambda batches: _stretches(batches, ["band", "part"], work)
+
+
+def _between(likely: int):
+    """Pairs of leaders of two parts of a bucket; a stretch holds the leaders of parts ``one`` and ``two``."""
+
+    def work(rows, edges):
+        band, part, one, ids = (rows[c].to_numpy() for c in ("band", "part", "one", "b"))
+        drawn, out = _drawn(rows), []
+        for s, e in zip(edges, edges[1:], strict=False):
+            left = np.flatnonzero(part[s:e] == one[s]) + s
+            right = np.flatnonzero(part[s:e] != one[s]) + s
+            for i in left:
+                for j in right[(drawn[right] == drawn[i]).sum(1) >= likely]:
+                    a, b = sorted((int(ids[i]), int(ids[j])))
+                    out.append((int(band[s]), 0, a, b, None))
+        return _batch(out)
+
+    return lambda batches: _stretches(batches, ["band", "one", "two"], work)
+
+
+def _candidates(rows: DataFrame, likely: int) -> DataFrame:
+    """(band, a, b) pairs to verify among ``rows`` (band, b, samples)."""
+    counts = rows.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).where(
+        "n > 1").drop("n")
+    parted = rows.join(kept_table(counts, "icws-counts"), "band").withColumn(
+        "part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    led = kept_table(parted.repartition("band", "part").sortWithinPartitions("band", "part", "b").select(
+        "band", "part", "parts", "b", "samples").mapInArrow(_led(likely), _LED), "icws-led")
+    leaders = led.where("a is null").select("band", "part", "b", "samples").join(
+        counts.where("parts > 1"), "band")
+    # every leader meets the leaders of the other parts of its bucket, one pair of parts at a time
+    tiles = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part").select(
+        "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "b", "samples")
+    across = tiles.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two", "part", "b").mapInArrow(
+        _between(likely), _LED)
+    return kept_table(led.where("a is not null").union(across).select("band", "a", "b"), "icws-pairs")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row per document row: ``doc_id``, ``class_id`` (smallest id of its class), ``kept`` (it is that one)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = inverse_frequencies(docs)
     signed = kept_table(bodies(docs, "doc_id").mapInArrow(
-        _signer(idf), "doc_id long, digest binary, bands array<long>"), "icws-signed")
+        _signer(idf), "doc_id long, digest binary, bands array<long>, samples binary"), "icws-signed")
     known = signed.where("doc_id is not null and digest is not null")
-    texts = kept_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")),
-                       "icws-texts")
-    open_rows = kept_table(texts.where("bands is not null").select(
-        F.col("rep").alias("b"), F.explode("bands").alias("band")), "icws-bands")
-    links = None
-    bodies_needed = None
-    while True:
-        # A band key alone in its bucket can never link: only buckets of two or more go on.
-        heads = open_rows.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = kept_table(open_rows.join(heads, "band"), "icws-members")
-        pairs = members.where("a < b").select("a", "b").distinct()
-        if bodies_needed is None:
-            # Later rounds compare documents of these buckets only.
-            needed = members.select(F.col("b").alias("doc_id")).distinct()
-            bodies_needed = kept_table(
-                bodies(docs.join(needed, "doc_id", "left_semi"), "doc_id").groupBy("doc_id").agg(
-                    F.first("body").alias("body")), "icws-bodies")
+    texts = kept_table(known.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.max("bands").alias("bands"), F.max("samples").alias("samples")), "icws-texts")
+    banded = texts.where("bands is not null").select(F.col("rep").alias("b"), F.explode("bands").alias("band"))
+    shared = kept_table(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "icws-shared")
+    drawn = texts.select(F.col("rep").alias("b"), "samples")
+    open_rows = kept_table(banded.join(shared, "band").join(drawn, "b").select("band", "b", "samples"), "icws-open")
+    links = texts_needed = None
+    for likely in LIKELY:
+        pairs = _candidates(open_rows, likely)
+        distinct = pairs.select("a", "b").distinct()
+        if texts_needed is None:
+            # later rounds stay among these documents
+            needed = distinct.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            texts_needed = kept_table(bodies(docs.join(needed, "doc_id", "left_semi"), "doc_id").groupBy("doc_id").agg(
+                F.first("body").alias("body")), "icws-bodies")
         verified = kept_table(
-            pairs.join(bodies_needed.select(F.col("doc_id").alias("a"), F.col("body").alias("one")), "a")
-            .join(bodies_needed.select(F.col("doc_id").alias("b"), F.col("body").alias("other")), "b")
+            distinct.join(texts_needed.select(F.col("doc_id").alias("a"), F.col("body").alias("one")), "a")
+            .join(texts_needed.select(F.col("doc_id").alias("b"), F.col("body").alias("other")), "b")
             .select("a", "b", "one", "other")
             .mapInArrow(_verifier(idf, threshold), "a long, b long, similar boolean"), "icws-verified")
         found = verified.where("similar").select("a", "b")
         links = found if links is None else links.union(found)
-        left = members.where("a < b").join(found, ["a", "b"], "left_anti").select("b", "band")
-        open_rows = kept_table(left, "icws-bands")
+        matched = pairs.join(verified, ["a", "b"]).groupBy("band", "b").agg(F.max("similar").alias("matched"))
+        left = matched.where("not matched").select("band", "b").join(drawn, "b").select("band", "b", "samples")
+        open_rows = kept_table(left, "icws-open")
         if not open_rows.limit(1).count():
             break
     roots = components(links, "icws")
