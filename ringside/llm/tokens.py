@@ -31,7 +31,7 @@ from ringside.session import scratch_path
 
 END = 1
 #: Chunks a task remembers before it starts over: bounds its memory, not what it encodes.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 SCHEMA = "doc_id long, n_tokens long, part_start long, ids array<int>"
 
