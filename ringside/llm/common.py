@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Iterator
 
@@ -17,11 +18,23 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Symbols of one vectorised step: bounds the memory of a Python worker, never the length of a text.
-STEP = 1 << 20
+STEP = 1 << 19
 #: White space of the word rule [^\x20\x09-\x0D]+ (fixed values).
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Rows go to Python in batches of 1000 while a table is written, so that a worker holds few whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the rows survive lost executors and are not worked out twice.
 
@@ -30,7 +43,8 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()

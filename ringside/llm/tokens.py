@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from ringside.session import scratch_path
 
+from .common import kept_table, small_batches
+
 END = 1
 #: Chunks a task remembers before it starts over: bounds its memory, not what it encodes.
-REMEMBERED = 450_000
+REMEMBERED = 400_000
 STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 SCHEMA = "doc_id long, n_tokens long, part_start long, ids array<int>"
 
@@ -134,9 +136,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
     """Write the corpus of ``docs`` to the new folder ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     coded = rows.sortWithinPartitions("doc_id", "text").mapInArrow(_encode(tokenizer, end), SCHEMA)
-    coded.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option(
-        "orc.create.index", "true").option("orc.row.index.stride", ROWS_PER_INDEX).option(
-        "orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+    with small_batches(docs.sparkSession):
+        coded.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option(
+            "orc.create.index", "true").option("orc.row.index.stride", ROWS_PER_INDEX).option(
+            "orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +155,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _checksums(batches):
     for batch in batches:
         column = batch.column(3)
-        values = np.asarray(column.flatten()).astype("<u4")
+        values = np.asarray(column.flatten()).view(np.uint32)
         ends = np.cumsum(np.append(0, np.asarray(column.value_lengths().fill_null(0))))
         sums = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(ends, ends[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())],
@@ -178,4 +181,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the corpus of ``docs`` to the shared folder and give its digest as read back."""
     path = scratch_path(spark, "tokens")
     write_tokens(docs, path, default_tokenizer())
-    return digest(read_tokens(spark, path))
+    return kept_table(digest(read_tokens(spark, path)), "token-digest")
