@@ -42,12 +42,15 @@ def page_status(content_type: Column, text: Column) -> Column:
 
 
 def anchors(html: Column) -> Column:
-    """``<a href="..">text</a>`` as structs of href and text, in page order."""
-    whole = F.regexp_extract_all(html, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    """``<a href="..">text</a>`` as structs of href and text, in page order; the value may be quoted either way or bare."""
+    value = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    whole = F.regexp_extract_all(html, F.lit(rf"(?is)<a\s[^>]*?href\s*=\s*{value}[^>]*>.*?</a>"), F.lit(0))
+    href = rf"(?is)^<a\s[^>]*?href\s*=\s*{value}"
     return F.transform(
         whole,
         lambda a: F.struct(
-            F.regexp_extract(a, r'(?is)^<a\s[^>]*?href="([^"]*)"', 1).alias("href"),
+            # one of the three forms matched, the other two groups are empty
+            F.concat(*[F.regexp_extract(a, href, i) for i in (1, 2, 3)]).alias("href"),
             collapse_spaces(F.regexp_replace(a, r"(?s)<[^>]+>", " ")).alias("text"),
         ),
     )

@@ -40,9 +40,12 @@ def latest_state(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list, order: list[str]) -> DataFrame:
-    return latest_state(current.unionByName(changes), keys, order)
+    """Latest row per key; a change wins over the current row that it ties with."""
+    both = current.withColumn("_source", F.lit(0)).unionByName(changes.withColumn("_source", F.lit(1)))
+    return latest_state(both, keys, [*order, "_source"]).drop("_source")
 
 
 def insert_if_absent(current: DataFrame, incoming: DataFrame, keys: list) -> DataFrame:
-    """Existing rows win; incoming rows fill the missing keys."""
-    return current.unionByName(incoming.join(current.select(*keys), keys, "left_anti"))
+    """Existing rows win; the first incoming row of a missing key fills it (all columns in order decide)."""
+    absent = incoming.join(current.select(*keys), keys, "left_anti")
+    return current.unionByName(keep_first(absent, keys, [c for c in incoming.columns if c not in keys] or list(keys)))

@@ -162,3 +162,8 @@ def runs_of(events: DataFrame) -> DataFrame:
             F.concat_ws("|", "event_type", two_digits(F.rint(F.col("value") / 50) * 50)), 256
         ).alias("hash"),
     )
+
+
+def fighters_count(spark, d) -> int:
+    """Fighters are the users of ``events``, numbered from 0: one number, whatever the scale."""
+    return (table(spark, d, "events").agg(F.max("user_id")).first()[0] or 0) + 1

@@ -9,7 +9,7 @@ from ringside.operators import history
 from ringside.operators.ordered import Running, running
 from ringside.operators.topk import filter_then_first, first_n, first_then_filter, keep_first
 from ringside.plans import sqltext as q
-from ringside.plans.adapters import big, bouts, fights, last_five, pick, record_keys, table
+from ringside.plans.adapters import big, bouts, fighters_count, fights, last_five, pick, record_keys, table
 from ringside.plans.catalog import query
 from ringside.registry import PROJECT_KEYS
 
@@ -92,15 +92,15 @@ def fighter_profile(spark, d):
 @query("pair_edge", f"""WITH {_FORM}, {q.BOUTS}
 SELECT bout_key, CASE WHEN coalesce(a.recent_wins, 0) > coalesce(b.recent_wins, 0) THEN 'A'
   WHEN coalesce(b.recent_wins, 0) > coalesce(a.recent_wins, 0) THEN 'B' ELSE 'none' END AS edge
-FROM bouts LEFT JOIN form a ON a.fighter = (bout_key * 2) % 150 LEFT JOIN form b ON b.fighter = (bout_key * 2 + 1) % 150""")
+FROM bouts LEFT JOIN form a ON a.fighter = (bout_key * 2) % (SELECT max(user_id) + 1 FROM events) LEFT JOIN form b ON b.fighter = (bout_key * 2 + 1) % (SELECT max(user_id) + 1 FROM events)""")
 def pair_edge(spark, d):
     """F6, edge: the form table joined in both roles"""
     form = history.recent_form(last_five(spark, d)).select("fighter", "recent_wins")
     a = form.select(c("fighter").alias("a_key"), c("recent_wins").alias("a_wins"))
     b = form.select(c("fighter").alias("b_key"), c("recent_wins").alias("b_wins"))
-    key = c("bout_key") * 2
+    key, users = c("bout_key") * 2, F.lit(fighters_count(spark, d))
     return (
-        bouts(spark, d).select("bout_key", (key % 150).alias("a_key"), ((key + 1) % 150).alias("b_key"))
+        bouts(spark, d).select("bout_key", (key % users).alias("a_key"), ((key + 1) % users).alias("b_key"))
         .join(a, "a_key", "left").join(b, "b_key", "left")
         .select("bout_key", history.pair_edge(c("a_wins"), c("b_wins")).alias("edge"))
     )

@@ -265,7 +265,7 @@ def zip_card(spark, d):
     base = table(spark, d, "pages").select("page_id", links.alias("links")).select(
         "page_id",
         c("links.text").alias("red"), c("links.href").alias("blue"),
-        F.when(c("page_id") % 5 == 0, F.slice(c("links.text"), 2, 1_000_000)).otherwise(c("links.text")).alias("meta"),
+        F.when(c("page_id") % 5 == 0, F.slice(c("links.text"), F.lit(2), F.greatest(F.size("links.text") - 1, F.lit(0)))).otherwise(c("links.text")).alias("meta"),
     )
     zipped = base.select(
         "page_id", F.size("red").alias("n"),

@@ -9,7 +9,7 @@ from ringside.functions.odds import american_to_decimal
 from ringside.operators import documents
 from ringside.operators.topk import keep_first
 from ringside.plans import sqltext as q
-from ringside.plans.adapters import big, bouts, last_five, pick, records, table
+from ringside.plans.adapters import big, bouts, fighters_count, last_five, pick, records, table
 from ringside.plans.catalog import query
 from ringside.plans.history_queries import _COMMENTS, _SUMMARY, comments, summary
 from ringside.plans.source_queries import parsed_inbox
@@ -192,18 +192,15 @@ def derive_records(spark, d):
 
 # ---------------------------------------------------------------- event reports
 
-USERS = 150
-
-
 def report_tables(spark, d):
     key = c("bout_key")
-    even = key % 2 == 0
+    even, users = key % 2 == 0, F.lit(fighters_count(spark, d))
     american = F.concat(F.when(even, "-").otherwise("+"), (100 + key % 900).cast("string"))
     rows = bouts(spark, d).select(
         "card", "pos", "bout_key",
         F.concat_ws(" ", "a_name", (key * 2).cast("string")).alias("a_name"),
         F.concat_ws(" ", "b_name", (key * 2 + 1).cast("string")).alias("b_name"),
-        (key * 2 % USERS).alias("a_fighter"), ((key * 2 + 1) % USERS).alias("b_fighter"),
+        (key * 2 % users).alias("a_fighter"), ((key * 2 + 1) % users).alias("b_fighter"),
         F.when(key % 7 != 0, c("kind")).alias("weight_class"),
         classify.segment_label(F.lit("Main Card"), c("pos")).alias("card_segment"),
         classify.rounds_label(F.lit("main"), c("pos")).alias("status"),
@@ -251,7 +248,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY fighter ORDER BY ts DESC, event
     ELSE string_split(event_name, ':')[1] END AS promo FROM fights),
 five AS (SELECT * FROM rk WHERE p <= 5),
 tl AS (SELECT fighter, string_agg('| ' || concat_ws(' | ', fight_date, opponent, marker, method, CAST(round AS VARCHAR), promo, event_name) || ' |', chr(10) ORDER BY p) AS rows FROM five GROUP BY fighter),
-rb AS (SELECT card, pos, bout_key, a_name || ' ' || (bout_key * 2) AS a_name, b_name || ' ' || (bout_key * 2 + 1) AS b_name, bout_key * 2 % 150 AS fa, (bout_key * 2 + 1) % 150 AS fb,
+rb AS (SELECT card, pos, bout_key, a_name || ' ' || (bout_key * 2) AS a_name, b_name || ' ' || (bout_key * 2 + 1) AS b_name, bout_key * 2 % (SELECT max(user_id) + 1 FROM events) AS fa, (bout_key * 2 + 1) % (SELECT max(user_id) + 1 FROM events) AS fb,
   CASE WHEN bout_key % 7 <> 0 THEN kind ELSE 'n/a' END AS weight_class, CASE pos WHEN 0 THEN 'Main Event' WHEN 1 THEN 'Co-Main' ELSE 'Main Card' END AS card_segment,
   CASE WHEN pos = 0 THEN '5 x 5' ELSE '3 x 5' END AS status,
   CASE WHEN bout_key % 4 = 0 THEN 'n/a' WHEN bout_key % 2 = 0 THEN printf('%.2f', 1 + 100.0::DOUBLE / (100 + bout_key % 900)) ELSE printf('%.2f', 1 + (100 + bout_key % 900) / 100.0::DOUBLE) END AS a_price,
