@@ -6,7 +6,7 @@ import html as html_lib
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ringside.functions.text import WHITESPACE, collapse_spaces, strip
 
@@ -21,6 +21,12 @@ def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(html_lib.unescape, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_all(texts: pd.Series) -> pd.Series:
+    """Character references of every text in a list."""
+    return texts.map(lambda items: [html_lib.unescape(x) for x in items], na_action="ignore")
+
+
 def drop_markup(html: Column) -> Column:
     """Scripts, styles, noscript blocks and tags become spaces."""
     for tag in ("script", "style", "noscript"):
@@ -62,19 +68,16 @@ def blocks(html: Column, tag: str) -> Column:
 
 
 def paragraph_lines(paragraph: Column) -> Column:
-    """Non-blank lines of one paragraph: breaks split, tags go.
-
-    Entities stay; callers unescape the names they keep.
-    """
-    broken = F.regexp_replace(paragraph, r"<br />|<br/>|<br>", "\n")
-    lines = F.split(F.regexp_replace(broken, r"<[^>]+>", ""), LINE_BREAK)
+    """Non-blank lines of a paragraph without tags."""
+    lines = F.split(paragraph, LINE_BREAK)
     return F.filter(lines, lambda x: F.regexp_replace(x, rf"{WHITESPACE}+", "") != "")
 
 
 def paragraph_pair(html: Column) -> Column:
     """Paragraphs without ``<strong>`` that hold exactly two odds lines."""
     kept = F.filter(blocks(html, "p"), lambda p: ~F.lower(p).contains("<strong>"))
-    pairs = F.transform(kept, paragraph_lines)
+    broken = F.transform(kept, lambda p: F.regexp_replace(F.regexp_replace(p, r"<br />|<br/>|<br>", "\n"), r"<[^>]+>", ""))
+    pairs = F.transform(unescape_all(broken), paragraph_lines)
     pairs = F.filter(pairs, lambda p: F.size(p) == 2)
     parsed = F.transform(
         pairs,
@@ -88,7 +91,7 @@ def paragraph_pair(html: Column) -> Column:
     return F.filter(parsed, lambda r: (r["a_american"] != "") & (r["b_american"] != ""))
 
 
-_ODDS_LINE = r"^(.+?)\s+([+-]\d{3,4})$"
+_ODDS_LINE = rf"^(.+?){WHITESPACE}+([+-]\d{{3,4}})$"
 
 
 def odds_line_name(line: Column) -> Column:

@@ -5,91 +5,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ringside.functions.dates import in_next_weekend
-from ringside.operators.ordered import HOT_ROWS, HotKeys, Running, find_hot_keys, running
-from ringside.session import cut_lineage
+from ringside.operators.ordered import CHUNK, Running, in_ranges, running
 
 
-def changed_runs(runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def changed_runs(runs: DataFrame, position: str = "seq", chunks: int | None = None) -> DataFrame:
     """Runs that emit: every baseline, and updates that differ from the last sent.
 
     After each run the last sent hash equals that run's hash, so the run before
-    is what to compare with.
+    in ``position`` is what to compare with.
     """
-    seen = running(runs, ["key"], ["seq"], {"prev_hash": Running("lag", F.col("hash"))}, hot_rows)
+    seen = running(runs, ["key"], [position], {"prev_hash": Running("lag", F.col("hash"))}, chunks)
     return seen.filter(
         (F.col("kind") == "baseline") | ~F.col("hash").eqNullSafe(F.col("prev_hash"))
     )
 
 
-def gate_runs(runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def gate_runs(runs: DataFrame, position: str = "seq", chunks: int | None = None) -> DataFrame:
     """Status of every run under the weekend window gate.
 
     An eligible baseline opens the window of its event. An update runs only
     while that window is open and its event is still on the next weekend;
-    the first update past it closes the window.
+    the first update past it closes the window. Runs of a key go by
+    ``position``, which is unique inside the key.
     """
-    hot = find_hot_keys(runs, ["key"], "seq", hot_rows)
+    at = F.col(position)
     baseline = F.col("kind") == "baseline"
     eligible = baseline & in_next_weekend(F.col("opened_date"), F.col("run_date"))
     opened = running(
-        runs, ["key"], ["seq"],
+        in_ranges(runs, ["key"], [position], chunks), ["key"], [position],
         {
-            "base_seq": Running("last", F.when(eligible, F.col("seq"))),
+            "base_at": Running("last", F.when(eligible, at)),
             "base_date": Running("last", F.when(eligible, F.col("opened_date"))),
-            "closed_seq": Running("last", F.when(baseline & ~F.coalesce(eligible, F.lit(False)), F.col("seq"))),
+            "closed_at": Running("last", F.when(baseline & ~F.coalesce(eligible, F.lit(False)), at)),
             "prev_hash": Running("lag", F.col("hash")),
         },
-        hot=hot,
     )
-    is_open = F.col("base_seq").isNotNull() & (
-        F.col("closed_seq").isNull() | (F.col("closed_seq") < F.col("base_seq"))
+    is_open = F.col("base_at").isNotNull() & (
+        F.col("closed_at").isNull() | (F.col("closed_at") < F.col("base_at"))
     )
     over = ~baseline & is_open & ~in_next_weekend(F.col("base_date"), F.col("run_date"))
     marked = opened.withColumn("is_open", is_open).withColumn("over", over)
     closed = running(
-        marked, ["key"], ["seq"],
-        {"over_seq": Running("before", F.when(F.col("over"), F.col("seq")))}, hot=hot,
+        marked, ["key"], [position], {"over_at": Running("before", F.when(F.col("over"), at))}
     )
-    closed_before = F.coalesce(F.col("over_seq") > F.col("base_seq"), F.lit(False))
+    closed_before = F.coalesce(F.col("over_at") > F.col("base_at"), F.lit(False))
     same = F.col("hash").eqNullSafe(F.col("prev_hash"))
     status = (
-        F.when(baseline, F.when(F.col("base_seq") == F.col("seq"), "baseline_created").otherwise("skipped"))
+        F.when(baseline, F.when(F.col("base_at") == at, "baseline_created").otherwise("skipped"))
         .when(~F.col("is_open") | closed_before | F.col("over"), "skipped")
         .when(same, "unchanged")
         .otherwise("changed")
     )
     reason = (
-        F.when(baseline, F.when(F.col("base_seq") == F.col("seq"), "window_opened").otherwise("no_event"))
+        F.when(baseline, F.when(F.col("base_at") == at, "window_opened").otherwise("no_event"))
         .when(~F.col("is_open") | closed_before, "no_window")
         .when(F.col("over"), "window_over")
         .when(same, "same_hash")
         .otherwise("new_hash")
     )
-    return closed.select("key", "seq", "kind", status.alias("status"), reason.alias("reason"))
+    kept = ["key", "seq", "kind"] + ([position] if position != "seq" else [])
+    return closed.select(*kept, status.alias("status"), reason.alias("reason"))
 
 
 def as_of(
-    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunks: int | None = None
 ) -> DataFrame:
     """Latest non-null value of each column at or before every row."""
-    return running(df, keys, order, {n: Running("last", v) for n, v in values.items()}, hot_rows)
+    return running(df, keys, order, {n: Running("last", v) for n, v in values.items()}, chunks)
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / 1_000_000
 
 
+#: Order of open records and texts: by time; at one time records come before
+#: texts, and of those records the lowest id comes last, so it is the one taken.
+IN_TIME = ["ts", "is_text", "tie"]
+
+
+def _in_time(df: DataFrame, key: str, is_open: Column, is_text: Column) -> DataFrame:
+    tie = F.when(is_open, -F.col("event_id")).otherwise(F.col("event_id"))
+    return df.filter(is_open | is_text).select(
+        key, "ts", "event_id", is_open.alias("is_open"), is_text.alias("is_text"), tie.alias("tie")
+    )
+
+
 def newest_within(
-    df: DataFrame, key: str, is_open: Column, is_text: Column, within_seconds: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, is_open: Column, is_text: Column, within_seconds: int, chunks: int | None = None
 ) -> DataFrame:
     """Each text row with the newest open record of its key, if recent enough.
 
-    Nothing is consumed: several texts may find the same record. Rows need
-    ``ts`` and ``event_id``.
+    Nothing is consumed: several texts may find the same record. Of records
+    with the same time the lowest id is found. Rows need ``ts`` and ``event_id``.
     """
+    opened = F.col("is_open")
     seen = as_of(
-        df.withColumn("is_text", is_text), [key], ["ts", "event_id"],
-        {"open_id": F.when(is_open, F.col("event_id")), "open_ts": F.when(is_open, F.col("ts"))}, hot_rows,
+        _in_time(df, key, is_open, is_text), [key], IN_TIME,
+        {"open_id": F.when(opened, F.col("event_id")), "open_ts": F.when(opened, F.col("ts"))}, chunks,
     )
     return seen.filter(
         F.col("is_text") & (seconds_between(F.col("ts"), F.col("open_ts")) <= within_seconds)
@@ -97,38 +109,32 @@ def newest_within(
 
 
 def consume_within(
-    df: DataFrame, key: str, is_open: Column, is_text: Column, within_seconds: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, is_open: Column, is_text: Column, within_seconds: int, chunks: int | None = None
 ) -> DataFrame:
     """Each text takes the newest open record not yet taken, if recent enough.
 
     That is bracket matching: an open record adds one level, a text removes
     one, and a text closes the last record opened on its level. A record too
     old for one text is too old for all later ones, so the age test may follow
-    the matching.
+    the matching. Ties as in ``newest_within``.
     """
-    hot = find_hot_keys(df, [key], "ts", hot_rows)
-    order = ["ts", "event_id"]
-    step = F.when(is_open, 1).otherwise(-1)
-    rows = df.filter(is_open | is_text).select(key, *order, is_open.alias("is_open"), step.alias("step"))
-    level = running(rows, [key], order, {"total": Running("sum", F.col("step"))}, hot=hot)
-    level = running(level, [key], order, {"floor": Running("min_before", F.col("total"))}, hot=hot)
+    step = F.when(F.col("is_open"), 1).otherwise(-1)
+    rows = in_ranges(_in_time(df, key, is_open, is_text), [key], IN_TIME, chunks)
+    level = running(rows, [key], IN_TIME, {"total": Running("sum", step)})
+    level = running(level, [key], IN_TIME, {"floor": Running("min_before", F.col("total"))})
     # Texts without an open record push the floor down and match nothing.
     floor = F.least(F.col("floor"), F.lit(0))
     height = F.col("total") - floor
-    on_level = level.filter(height >= 0).withColumn(
+    on_level = level.drop(CHUNK).filter(height >= 0).withColumn(
         "level", F.when(F.col("is_open"), height).otherwise(height + 1)
     )
-    if hot.rows:
-        on_level, levels = cut_lineage(on_level), None
-    else:
-        levels = HotKeys([key, "level"])  # a level is never larger than its key
     paired = running(
-        on_level, [key, "level"], order,
+        on_level, [key, "level"], IN_TIME,
         {
             "open_id": Running("lag", F.when(F.col("is_open"), F.col("event_id"))),
             "open_ts": Running("lag", F.when(F.col("is_open"), F.col("ts"))),
         },
-        hot_rows, levels,
+        chunks,
     )
     return paired.filter(
         ~F.col("is_open") & (seconds_between(F.col("ts"), F.col("open_ts")) <= within_seconds)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ringside.functions.html import html_unescape
 from ringside.functions.text import bind, slug_ascii
 from ringside.operators.topk import keep_first
 
@@ -74,9 +75,11 @@ def best_article(found: DataFrame) -> DataFrame:
     """Latest opening-odds article per card among its own search results.
 
     ``found`` has card, term_ord, rank, post_id, title, date_gmt, a_last and
-    b_last. A post counts where it first shows up, before any filter.
+    b_last. Posts without an id do not count; any other post counts where it
+    first shows up, before the title filters. Titles are decoded.
     """
-    first = keep_first(found, ["card", "post_id"], ["term_ord", "rank"])
+    known = found.filter(F.coalesce("post_id", F.lit(0)) != 0).withColumn("title", html_unescape(F.col("title")))
+    first = keep_first(known, ["card", "post_id"], ["term_ord", "rank"])
     slug = slug_ascii(F.col("title"))
     odds_title = F.contains(slug, F.lit("opening-betting-odds")) | F.contains(slug, F.lit("opening-odds"))
     fitting = first.filter(odds_title & title_matches(slug, F.col("a_last"), F.col("b_last")))

@@ -80,7 +80,8 @@ def report_parts(cards: DataFrame, bouts: DataFrame, fighters: DataFrame) -> Dat
     def block(mark: str) -> Column:
         def value(name: str) -> Column:
             return F.col(f"{mark}_name") if name == "name" else F.col(f"{mark}.{name}")
-        return render.fighter_block(value)
+        # A side without a fighter has no block at all.
+        return F.when(F.col(mark).isNotNull(), render.fighter_block(value))
 
     joined = (
         bouts.join(role("a"), "a_fighter", "left").join(role("b"), "b_fighter", "left")
@@ -92,22 +93,27 @@ def report_parts(cards: DataFrame, bouts: DataFrame, fighters: DataFrame) -> Dat
     return head.unionByName(middle).unionByName(tail)
 
 
-def context_pack(files: DataFrame, key: str, first_limit: int = 2_500, limit: int = 2_000) -> DataFrame:
+def context_pack(files: DataFrame, keys: list[str], first_limit: int = 2_500, limit: int = 2_000) -> DataFrame:
     """Readme first, then the named files in order, each cut to its limit.
 
-    ``files`` has key, ord (0 for the readme, up to 4), name and body, one row
-    per key and ord.
+    ``files`` has the keys, ord (0 for the readme, up to 4), name and body, one
+    row per key and ord.
     """
     cut = F.when(
         F.col("ord") == 0, render.text_of("# Project README\n", F.substring("body", 1, first_limit))
     ).otherwise(render.text_of("# Inbox Context: ", F.col("name"), "\n", F.substring("body", 1, limit)))
     return (
-        files.filter(F.col("ord").between(0, 4)).groupBy(key)
+        files.filter(F.col("ord").between(0, 4)).groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("ord", cut.alias("chunk")))).alias("c"))
-        .select(key, F.array_join(F.col("c.chunk"), "\n\n").alias("pack"))
+        .select(*keys, F.array_join(F.col("c.chunk"), "\n\n").alias("pack"))
     )
 
 
+def pack_for_reader(pack: Column, limit: int = 5_000) -> Column:
+    """A reader takes the beginning of a pack only: a feature, not a bound of ours."""
+    return F.substring(pack, 1, limit)
+
+
 def append_manual_text(records: DataFrame, texts: DataFrame) -> DataFrame:
     """Add a manual text to each matched record and mark it as resolved."""
     note = F.col("manual_text")

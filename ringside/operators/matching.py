@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ringside.functions.names import last_of_slug, name_score, tokens_of_slug
 from ringside.functions.text import bind, slug_ascii
-from ringside.operators.ordered import HOT_ROWS, Running, running
+from ringside.operators.ordered import Running, running
 from ringside.operators.topk import keep_first
 from ringside.session import cut_lineage
 
@@ -105,7 +105,7 @@ def greedy_one_to_one(
     right: DataFrame,
     group: str,
     fold_pairs: int = FOLD_PAIRS,
-    hot_rows: int = HOT_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Left rows in order each take their best unused right row of the group.
 
@@ -141,7 +141,7 @@ def greedy_one_to_one(
         rights.join(large, group, "left_semi"),
         kinds.join(large, group, "left_semi"),
         group,
-        hot_rows,
+        chunks,
     )
     return small.unionByName(rounds)
 
@@ -181,7 +181,7 @@ def _fold(lefts: DataFrame, rights: DataFrame, kinds: DataFrame, group: str) ->
 
 
 def _proposal_rounds(
-    lefts: DataFrame, rights: DataFrame, kinds: DataFrame, group: str, hot_rows: int
+    lefts: DataFrame, rights: DataFrame, kinds: DataFrame, group: str, chunks: int | None
 ) -> DataFrame:
     """Greedy assignment of large groups by rounds of proposals.
 
@@ -200,7 +200,7 @@ def _proposal_rounds(
     free = cut_lineage(lefts.join(kinds.select(*kind).distinct(), kind, "left_semi"))
     kept = None
     while True:
-        asking = running(free, kind, ["left_pos"], {"k": Running("sum", F.lit(1))}, hot_rows)
+        asking = running(free, kind, ["left_pos"], {"k": Running("sum", F.lit(1))}, chunks)
         first_free = free.groupBy(*kind).agg(F.min("left_pos").alias("first_free"))
         offers = open_lists.join(first_free, kind)
         if kept is not None:
@@ -209,8 +209,8 @@ def _proposal_rounds(
                 F.col("keeper").isNull() | (F.col("keeper") > F.col("first_free"))
             )
         offers = running(
-            cut_lineage(offers.select(*kind, "cost", "right_pos")),
-            kind, ["cost", "right_pos"], {"k": Running("sum", F.lit(1))}, hot_rows,
+            offers.select(*kind, "cost", "right_pos"),
+            kind, ["cost", "right_pos"], {"k": Running("sum", F.lit(1))}, chunks,
         )
         proposals = cut_lineage(
             asking.join(offers, [*kind, "k"]).select(*kind, "left_pos", "right_pos")

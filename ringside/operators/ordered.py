@@ -1,26 +1,22 @@
-"""Running values inside each key, safe when one key holds most of the rows.
+"""Running values inside each key, split over the whole order.
 
 ``lag``, running ``last``, ``sum`` and ``min`` need every row of a key in
-order. A plain window puts the whole key into one task. Here keys above
-``hot_rows`` rows are cut into chunks at quantiles of the order column; each
-chunk is a window group of its own, and one summary row per chunk carries the
-state across. Without hot keys the plan is the plain window.
+order. A plain window puts the whole key into one task. Here all rows are cut
+into ranges of (keys, order), so a range holds its share of the rows whatever
+the keys look like; each range is a window group per key, and one summary row
+per range carries the state across. Only rows equal in keys and whole order
+are bound to stay together.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringside.functions.text import bind
+from ringside.session import cut_lineage
 
-HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
-MAX_CHUNKS = 4_096
-BROADCAST_CHUNKS = 200_000
-STRIDE = 64
 CHUNK = "__chunk"
 SLOT = "__slot"
 
@@ -34,149 +30,75 @@ class Running:
     value: Column
 
 
-@dataclass
-class HotKeys:
-    """Keys above the threshold with their chunk bounds, found in one pre-pass."""
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+    """Rows with the number of their range in ``CHUNK``; as many ranges as shuffle partitions.
 
-    keys: list[str]
-    rows: list[tuple] = field(default_factory=list)
-    schema: str = ""
-
-
-def find_hot_keys(
-    df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS
-) -> HotKeys:
-    """Count rows per key with map-side combine and list the hot ones.
-
-    At most (total / hot_rows) keys can be hot. Should even that exceed
-    ``MAX_HOT_KEYS`` the threshold is doubled, which only makes chunks larger.
+    The number is the partition a row lies in, so it is fixed by a reliable
+    checkpoint: a lost executor cannot renumber rows between two uses.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    limit = hot_rows
-    found = counts.filter(F.col("n") > limit).limit(MAX_HOT_KEYS + 1).collect()
-    while len(found) > MAX_HOT_KEYS:
-        limit *= 2
-        found = counts.filter(F.col("n") > limit).limit(MAX_HOT_KEYS + 1).collect()
-    if not found:
-        return HotKeys(keys)
-    pieces = min(MAX_CHUNKS, max(2, -(-max(r["n"] for r in found) * 2 // limit)))
-    key_schema = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema
-    )
-    hot = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], key_schema)
-    probs = [i / pieces for i in range(1, pieces)]
-    # Smaller keys keep every n-th bound only: the list grows with rows / limit.
-    wanted = F.greatest(F.lit(2), F.ceil(F.col("n") * 2 / limit))
-    step = F.greatest(F.lit(1), F.floor(F.lit(pieces) / wanted))
-    bounds = (
-        _join_null_safe(df, F.broadcast(hot), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(order, probs, 10 * pieces).alias("bounds"), F.count(F.lit(1)).alias("n"))
-        .select(*keys, F.filter("bounds", lambda b, i: (i + 1) % step == 0).alias("bounds"))
-        .collect()
-    )
-    order_type = df.select(order).schema[0].dataType.simpleString()
-    return HotKeys(
-        keys,
-        [tuple(r[k] for k in keys) + (sorted(set(r["bounds"])),) for r in bounds],
-        f"{key_schema}, bounds array<{order_type}>",
-    )
+    pieces = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(pieces, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    return cut_lineage(placed)
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    specs: dict[str, Running],
-    hot_rows: int = HOT_ROWS,
-    hot: HotKeys | None = None,
+    df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Running], chunks: int | None = None
 ) -> DataFrame:
-    """Add one column per spec, computed over ``order`` inside ``keys``."""
-    hot = hot or find_hot_keys(df, keys, order[0], hot_rows)
-    if not hot.rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_plain(s, window).alias(n) for n, s in specs.items()])
-    return _chunked(df, keys, order, specs, hot)
-
-
-def _plain(spec: Running, window) -> Column:
-    upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    if spec.kind == "lag":
-        return F.lag(spec.value).over(window)
-    if spec.kind == "last":
-        return F.last(spec.value, ignorenulls=True).over(upto)
-    if spec.kind == "before":
-        return F.last(spec.value, ignorenulls=True).over(earlier)
-    if spec.kind == "sum":
-        return F.sum(spec.value).over(upto)
-    if spec.kind == "min":
-        return F.min(spec.value).over(upto)
-    if spec.kind == "min_before":
-        return F.min(spec.value).over(earlier)
-    raise ValueError(f"unknown running value: {spec.kind}")
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join in which a NULL key, which can be hot too, meets itself."""
-    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"__k_{k}" for k in keys])
-
+    """Add one column per spec, computed over ``order`` inside ``keys``.
 
-def _chunked(df, keys, order, specs, hot: HotKeys) -> DataFrame:
-    bounds = df.sparkSession.createDataFrame(hot.rows, hot.schema).withColumn(
-        "coarse", F.filter("bounds", lambda b, i: (i + 1) % STRIDE == 0)
-    )
-    # The hot list has a checked size, so it may be sent to every task.
-    marked = _join_null_safe(df, F.broadcast(bounds), keys, "left").select(
-        *df.columns,
-        F.when(F.col("bounds").isNotNull(), chunk_number(F.col("bounds"), F.col("coarse"), F.col(order[0])))
-        .otherwise(-1).alias(CHUNK),
-        *[s.value.alias(f"__v_{n}") for n, s in specs.items()],
-    )
-    parts = [*keys, CHUNK]
+    Rows that come from ``in_ranges`` with these keys and this order keep their ranges.
+    """
+    placed = df if CHUNK in df.columns else in_ranges(df, keys, order, chunks)
+    marked = placed.select("*", *[s.value.alias(f"__v_{n}") for n, s in specs.items()])
+    parts = [CHUNK, *keys]
     inner = Window.partitionBy(*parts).orderBy(*order)
-    local = marked.withColumn(SLOT, F.row_number().over(inner))
-    for name, spec in specs.items():
-        local = local.withColumn(
-            f"__l_{name}", _plain(Running(spec.kind, F.col(f"__v_{name}")), inner)
-        )
+    local = marked.select(
+        "*", F.row_number().over(inner).alias(SLOT),
+        *[_plain(s.kind, F.col(f"__v_{n}"), inner).alias(f"__l_{n}") for n, s in specs.items()],
+    )
 
     place = F.struct(*order)
-    edges = marked.filter(F.col(CHUNK) >= 0).groupBy(*parts).agg(
-        *[_edge(spec.kind, F.col(f"__v_{name}"), place).alias(name) for name, spec in specs.items()]
+    edges = marked.groupBy(*parts).agg(
+        *[_edge(s.kind, F.col(f"__v_{n}"), place).alias(n) for n, s in specs.items()]
     )
-    # One row per chunk of a hot key: a few thousand rows at most for any key.
-    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     step = Window.partitionBy(*keys).orderBy(CHUNK)
+    across = step.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
-        *parts,
-        *[_carry(spec.kind, name, across, step).alias(f"__c_{name}") for name, spec in specs.items()],
-    )
-    # The number of chunks is known here; a short list goes to every task.
-    if sum(len(row[-1]) + 1 for row in hot.rows) <= BROADCAST_CHUNKS:
-        carried = F.broadcast(carried)
-    joined = _join_null_safe(local, carried, parts, "left")
+        *parts, F.row_number().over(step).alias("__turn"),
+        *[_carry(s.kind, n, across, step).alias(f"__c_{n}") for n, s in specs.items()],
+    ).filter(F.col("__turn") > 1).drop("__turn")
+    # Only the first key of a range can have begun in an earlier one, so there
+    # are fewer carried rows than ranges: a proven size, safe to send to every task.
+    joined = _join_null_safe(local, F.broadcast(carried), parts, "left")
     return joined.select(
         *df.columns,
-        *[_combine(spec.kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, spec in specs.items()],
+        *[_combine(s.kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, s in specs.items()],
     )
 
 
-def chunk_number(bounds: Column, coarse: Column, value: Column) -> Column:
-    """How many of the sorted bounds are below the value, in two short scans.
-
-    ``coarse`` holds every ``STRIDE``-th bound.
-    """
-
-    def below(items: Column) -> Column:
-        return F.size(F.filter(items, lambda b: b < value))
+def _plain(kind: str, value: Column, window) -> Column:
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    if kind == "lag":
+        return F.lag(value).over(window)
+    if kind == "last":
+        return F.last(value, ignorenulls=True).over(upto)
+    if kind == "before":
+        return F.last(value, ignorenulls=True).over(earlier)
+    if kind == "sum":
+        return F.sum(value).over(upto)
+    if kind == "min":
+        return F.min(value).over(upto)
+    if kind == "min_before":
+        return F.min(value).over(earlier)
+    raise ValueError(f"unknown running value: {kind}")
 
-    def finish(strides: Column) -> Column:
-        return strides * STRIDE + below(F.slice(bounds, strides * STRIDE + 1, STRIDE))
 
-    return bind(below(coarse), finish)
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join in which a NULL key meets itself."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def _edge(kind: str, value: Column, place: Column) -> Column:
@@ -201,5 +123,5 @@ def _combine(kind: str, local: Column, carried: Column) -> Column:
     if kind in ("last", "before"):
         return F.coalesce(local, carried)
     if kind == "sum":
-        return local + F.coalesce(carried, F.lit(0))
+        return F.coalesce(local + carried, local, carried)
     return F.least(local, carried)

@@ -218,13 +218,14 @@ def title_contains(spark, d):
 
 
 @query("best_article", f"""WITH {_POSTS},
-f AS (SELECT *, row_number() OVER (PARTITION BY card, post_id ORDER BY term_ord, rank) AS seen FROM found),
+f AS (SELECT *, row_number() OVER (PARTITION BY card, post_id ORDER BY term_ord, rank) AS seen FROM found WHERE post_id <> 0),
 g AS (SELECT *, row_number() OVER (PARTITION BY card ORDER BY date_gmt DESC, term_ord, rank) AS rn FROM f
   WHERE seen = 1 AND contains(slug, la) AND contains(slug, lb) AND (contains(slug, 'opening-betting-odds') OR contains(slug, 'opening-odds')))
 SELECT card, post_id, title, date_gmt FROM g WHERE rn = 1""")
 def best_article(spark, d):
     """D3, G4"""
-    return discovery.best_article(search_results(spark, d)).select("card", "post_id", "title", "date_gmt")
+    escaped = search_results(spark, d).withColumn("title", F.replace(F.replace("title", F.lit("&"), F.lit("&#38;")), F.lit("."), F.lit("&#46;")))
+    return discovery.best_article(escaped).select("card", "post_id", "title", "date_gmt")
 
 
 # ---------------------------------------------------------------- lookups and merges

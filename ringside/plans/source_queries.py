@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringside import schemas
 from ringside.functions import classify, dates, html, text
 from ringside.operators import routing
 from ringside.operators.topk import first_then_filter
@@ -14,7 +13,8 @@ from ringside.plans.catalog import query
 from ringside.registry import PROJECT_KEYS
 from ringside.session import scratch_path
 from ringside.sources import payload
-from ringside.sources.records import look_up, read_records, write_records
+from ringside.sources.keyed import read_keyed, write_files
+from ringside.sources.records import look_up, read_records, read_whole_texts, write_records
 
 c = F.col
 
@@ -86,12 +86,11 @@ def embedded_json(spark, d):
 def embedded_marker(spark, d):
     """A5, by marker and balanced braces"""
     page = F.concat(
-        F.lit('<html><script>var a={"x":1};</script><script>window.d={"skip":"}{","page":{"wrap":'),
+        F.lit('<html><script>var a={"x":1};</script><script>var key="segMeta" + {;</script><script>window.d={"skip":"}{","page":{"wrap":'),
         _order_payload(),
         F.lit(',"segMeta":{"n":1}}};done();</script></html>'),
     )
-    script = payload.script_with(c("html"), '"segMeta"')
-    found = payload.enclosing_json('"segMeta"')(script)
+    found = payload.enclosing_json('"segMeta"')(payload.scripts_with(c("html"), '"segMeta"'))
     parsed = F.from_json(found, f"page struct<wrap:struct<{_PAYLOAD.replace('id bigint', 'id:bigint').replace('content struct', 'content:struct')}>>")
     return (
         table(spark, d, "orders").select(page.alias("html")).select(parsed.alias("p"))
@@ -240,7 +239,9 @@ WHERE bout_key % 11 <> 0 AND bout_key % 13 <> 0 AND bout_key % 17 <> 0""")
 def odds_rows(spark, d):
     """A8, pairs of name and price"""
     key = c("bout_key")
-    a = F.concat_ws(" ", "a_name", "a_american")
+    # Signs and blanks come as character references in some rows.
+    price = F.when(key % 4 == 1, F.replace(c("a_american"), F.lit("+"), F.lit("&#43;"))).otherwise(c("a_american"))
+    a = F.concat(c("a_name"), F.when(key % 3 == 1, "&nbsp;").otherwise(" "), price)
     b = F.concat_ws("  ", F.concat(F.lit("<i>"), c("b_name"), F.lit("</i>")), c("b_american"))
     para = (
         F.when(key % 11 == 0, F.concat(F.lit("<p><strong>Card</strong><br />"), a, F.lit("</p>")))
@@ -284,8 +285,8 @@ inbox AS (SELECT record_id, entity_type, project_key, raw_input, normalized_text
     WHEN record_id % 17 = 0 THEN 'Unknown project_key: other' END AS error_reason FROM records)"""
 
 
-def inbox(spark, d):
-    """Inbox lines as JSON text; some broken, some with a wrong project."""
+def inbox(spark, d, **json_options):
+    """Inbox records as JSON text; some broken, some with a wrong project."""
     key = c("record_id")
     project = F.when(key % 13 == 0, None).when(key % 17 == 0, "other").otherwise(c("project_key"))
     body = F.to_json(
@@ -295,7 +296,8 @@ def inbox(spark, d):
             "raw_input", "normalized_text", F.lit("text").alias("source_type"),
             dates.iso_seconds(c("created_ts")).alias("created_at"), "source_url",
             F.when(key % 4 == 0, F.concat(F.lit("r-"), (key % 100).cast("string"))).alias("remote_id"),
-        )
+        ),
+        json_options,
     )
     broken = F.concat(F.substring(body, 1, 60), F.lit("\x01"))
     return records(spark, d).select(
@@ -344,10 +346,12 @@ _DIRS = " ".join(
 )
 
 
-@query("route_targets", f"""WITH {_INBOX_SQL},
-t AS (SELECT *, {_TITLE_SQL} AS title FROM inbox WHERE error_reason IS NULL),
+TARGET_SQL = f"""t AS (SELECT *, {_TITLE_SQL} AS title FROM inbox WHERE error_reason IS NULL),
 p AS (SELECT record_id, CASE {_DIRS} END || '/' || strftime(created_ts, '%Y-%m-%d') || '-' ||
-  CASE WHEN record_id % 4 = 0 THEN 'r-' || (record_id % 100) ELSE left({_wide('title')}, 16) END || '.md' AS target FROM t)
+  CASE WHEN record_id % 4 = 0 THEN 'r-' || (record_id % 100) ELSE left({_wide('title')}, 16) END || '.md' AS target FROM t)"""
+
+
+@query("route_targets", f"""WITH {_INBOX_SQL}, {TARGET_SQL}
 SELECT target, max(record_id) AS record_id FROM p GROUP BY target""")
 def route_targets(spark, d):
     """The last record for a target name wins"""
@@ -358,8 +362,18 @@ def route_targets(spark, d):
     return routing.last_writer_wins(named, "target", ["record_id"]).select("target", "record_id")
 
 
-@query("export_payload", f"""WITH {q.RECORDS},
-t AS (SELECT *, entity_type || '-' || project_key || '-' || coalesce(nullif(left({q.sub("lower(coalesce(nullif(normalized_text, ''), nullif(raw_input, ''), 'item'))", '[^a-z0-9]')}, 24), ''), 'item') AS remote_id FROM records),
+_EXPORT_SQL = f"""{q.RECORDS},
+t AS (SELECT *, entity_type || '-' || project_key || '-' || coalesce(nullif(left({q.sub("lower(coalesce(nullif(normalized_text, ''), nullif(raw_input, ''), 'item'))", '[^a-z0-9]')}, 24), ''), 'item') AS remote_id FROM records)"""
+
+
+def export_rows(spark, d):
+    suffix = text.safe_suffix(c("normalized_text"), c("raw_input"))
+    return record_rows(spark, d).withColumn("source_type", F.lit("text")).withColumn(
+        "remote_id", F.concat_ws("-", "entity_type", "project_key", suffix)
+    )
+
+
+@query("export_payload", f"""WITH {_EXPORT_SQL},
 l AS (SELECT *, row_number() OVER (PARTITION BY entity_type, remote_id ORDER BY record_id DESC) AS rn FROM t)
 SELECT remote_id, entity_type, project_key, md5(raw_input) AS raw_hash, source_url,
   coalesce(nullif(left({q.collapse("coalesce(nullif(normalized_text, ''), nullif(raw_input, ''), 'Без названия')")}, 80), ''), 'Без названия') AS title,
@@ -368,13 +382,35 @@ SELECT remote_id, entity_type, project_key, md5(raw_input) AS raw_hash, source_u
 FROM l WHERE rn = 1""")
 def export_payload(spark, d):
     """B2"""
-    suffix = text.safe_suffix(c("normalized_text"), c("raw_input"))
-    df = record_rows(spark, d).withColumn("source_type", F.lit("text")).withColumn(
-        "remote_id", F.concat_ws("-", "entity_type", "project_key", suffix)
-    )
-    latest = routing.latest_state(df, ["entity_type", "remote_id"], ["record_id"])
+    latest = routing.latest_state(export_rows(spark, d), ["entity_type", "remote_id"], ["record_id"])
     return routing.export_payload(latest).select(
         "remote_id", "entity_type", "project_key", F.md5("raw_input").alias("raw_hash"), "source_url", "title",
         big(F.size("links")).alias("n_links"), "created_at", "link_fetch_status", "link_fetch_error",
         F.concat(F.lit("incoming/"), c("entity_type"), F.lit("s/"), c("remote_id"), F.lit(".json")).alias("target"),
     )
+
+
+@query("export_roundtrip", f"""WITH {_EXPORT_SQL},
+w AS (SELECT *, row_number() OVER (PARTITION BY entity_type, remote_id ORDER BY record_id % 3 = 1 DESC, record_id DESC) AS rn FROM t)
+SELECT entity_type, remote_id, project_key, md5(raw_input) AS raw_hash FROM w WHERE rn = 1""")
+def export_roundtrip(spark, d):
+    """B2: an export, a second one over it, and what is stored then: the second wins its keys, all others stay"""
+    path, rows = scratch_path(spark, "export"), export_rows(spark, d)
+    again = c("record_id") % 3 == 1
+    for part in (rows.filter(~again), rows.filter(again)):
+        routing.write_export(routing.export_payload(routing.latest_state(part, ["entity_type", "remote_id"], ["record_id"])), path)
+    stored = read_keyed(spark, path, "entity_type string, remote_id string, project_key string, raw_input string")
+    return stored.select("entity_type", "remote_id", "project_key", F.md5("raw_input").alias("raw_hash"))
+
+
+@query("text_files", """SELECT doc_id || '.md' AS file_name, md5(coalesce(text, '')) AS body_hash FROM documents""")
+def text_files(spark, d):
+    """A4: whole text files; a folder that does not exist adds none"""
+    path = scratch_path(spark, "texts")
+    docs = table(spark, d, "documents").select(
+        F.lit("texts").alias("folder"), F.concat(c("doc_id").cast("string"), F.lit(".md")).alias("file_name"),
+        F.coalesce("text", F.lit("")).alias("body"),
+    )
+    write_files(docs, path)
+    found = read_whole_texts(spark, f"{path}/texts").unionByName(read_whole_texts(spark, f"{path}/absent"))
+    return found.select(F.substring_index("file_path", "/", -1).alias("file_name"), F.md5("body").alias("body_hash"))

@@ -22,11 +22,12 @@ def state_upsert(spark, d):
     return upsert(orders.filter(even), orders.filter(~even), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-CHANGED_SQL = f"""WITH {q.RUNS}, p AS (SELECT *, lag(hash) OVER (PARTITION BY key ORDER BY seq) AS prev FROM runs)
+def changed_sql(order: str = "seq") -> str:
+    return f"""WITH {q.RUNS}, p AS (SELECT *, lag(hash) OVER (PARTITION BY key ORDER BY {order}) AS prev FROM runs)
 SELECT key, seq, kind FROM p WHERE kind = 'baseline' OR hash IS DISTINCT FROM prev"""
 
 
-@query("change_detect", CHANGED_SQL)
+@query("change_detect", changed_sql())
 def change_detect(spark, d):
     """G5"""
     return changes.changed_runs(runs(spark, d)).select("key", "seq", "kind")
@@ -34,7 +35,8 @@ def change_detect(spark, d):
 
 _OK = "(opened BETWEEN day + CAST((13 - isodow(day)) % 7 AS INTEGER) AND day + CAST((13 - isodow(day)) % 7 AS INTEGER) + 1)"
 
-GATE_SQL = f"""WITH RECURSIVE {q.RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM runs),
+def gate_sql(order: str = "seq") -> str:
+    return f"""WITH RECURSIVE {q.RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS rn FROM runs),
 walk AS (
   SELECT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, '' AS kind, '' AS status, '' AS reason, CAST(NULL AS DATE) AS active, '' AS last_hash
   FROM (SELECT DISTINCT key FROM runs)
@@ -53,40 +55,49 @@ walk AS (
 SELECT key, seq, kind, status, reason FROM walk WHERE rn > 0"""
 
 
-@query("gate_runs", GATE_SQL)
+@query("gate_runs", gate_sql())
 def gate_runs(spark, d):
     """J3, batch twin"""
     return changes.gate_runs(runs(spark, d))
 
 
-def _events(spark, d):
-    return table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+def hourly_events(events):
+    """Times cut to the hour, so that records and texts of one user often share a time."""
+    return events.select("user_id", "event_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
-@query("asof_bounded", """SELECT t.user_id, t.event_id AS text_id, max_by(r.event_id, (r.ts, r.event_id)) AS open_id
-FROM events t JOIN events r ON r.user_id = t.user_id AND r.event_type = 'error' AND (r.ts, r.event_id) <= (t.ts, t.event_id) AND t.ts - r.ts <= INTERVAL 2 HOUR
+_HOURLY = "h AS (SELECT user_id, event_id, date_trunc('hour', ts) AS ts, event_type FROM events)"
+
+
+@query("asof_bounded", f"""WITH {_HOURLY}
+SELECT t.user_id, t.event_id AS text_id, max_by(r.event_id, (r.ts, -r.event_id)) AS open_id
+FROM h t JOIN h r ON r.user_id = t.user_id AND r.event_type = 'error' AND r.ts <= t.ts AND t.ts - r.ts <= INTERVAL 2 HOUR
 WHERE t.event_type = 'click' GROUP BY ALL""")
 def asof_bounded(spark, d):
-    """E11, nothing consumed"""
+    """E11, nothing consumed; of equal times the lowest id is found"""
     kind = c("event_type")
-    return changes.newest_within(_events(spark, d), "user_id", kind == "error", kind == "click", 2 * 3600)
+    events = hourly_events(table(spark, d, "events"))
+    return changes.newest_within(events, "user_id", kind == "error", kind == "click", 2 * 3600)
 
 
-@query("asof_consumed", """WITH RECURSIVE n AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events WHERE event_type IN ('error', 'click')),
+@query("asof_consumed", f"""WITH RECURSIVE {_HOURLY},
+n AS (SELECT user_id, event_id, ts, event_type,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click', CASE event_type WHEN 'error' THEN -event_id ELSE event_id END) AS rn
+  FROM h WHERE event_type IN ('error', 'click')),
 walk AS (
   SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS text_id, CAST(NULL AS BIGINT) AS open_id, CAST([] AS STRUCT(id BIGINT, since TIMESTAMP)[]) AS stack
   FROM (SELECT DISTINCT user_id FROM events)
   UNION ALL
   SELECT user_id, rn, event_id, CASE WHEN hit THEN top.id END,
-    CASE WHEN event_type = 'error' THEN list_append(stack, {'id': event_id, 'since': ts}) WHEN hit THEN stack[:len(stack) - 1] ELSE stack END
+    CASE WHEN event_type = 'error' THEN list_append(stack, {{'id': event_id, 'since': ts}}) WHEN hit THEN stack[:len(stack) - 1] ELSE stack END
   FROM (SELECT *, coalesce(event_type = 'click' AND ts - top.since <= INTERVAL 48 HOUR, false) AS hit FROM (
     SELECT w.user_id, n.rn, n.event_id, n.ts, n.event_type, w.stack, w.stack[-1] AS top FROM walk w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1)))
 SELECT user_id, text_id, open_id FROM walk WHERE open_id IS NOT NULL""")
 def asof_consumed(spark, d):
     """Each record serves one text"""
     kind = c("event_type")
-    return changes.consume_within(_events(spark, d), "user_id", kind == "error", kind == "click", 48 * 3600)
+    events = hourly_events(table(spark, d, "events"))
+    return changes.consume_within(events, "user_id", kind == "error", kind == "click", 48 * 3600)
 
 
 @query("snapshot_diff", """WITH n AS (SELECT CASE WHEN o_orderkey % 10 = 5 THEN -o_orderkey ELSE o_orderkey END AS k,

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ringside.functions import classify, dates, hashing, render, urls
 from ringside.functions.odds import american_to_decimal
 from ringside.operators import documents
-from ringside.operators.topk import keep_first
 from ringside.plans import sqltext as q
 from ringside.plans.adapters import big, bouts, fighters_count, last_five, pick, records, table
-from ringside.plans.catalog import query
+from ringside.plans.catalog import ORACLES, query
 from ringside.plans.history_queries import _COMMENTS, _SUMMARY, comments, summary
 from ringside.plans.source_queries import parsed_inbox
-from ringside.sources import markdown
+from ringside.session import scratch_path
+from ringside.sources import markdown, sinks
 
 c = F.col
 
@@ -59,16 +59,17 @@ def record_markdown(spark, d):
     return documents.record_parts(documents_of(spark, d), notes)
 
 
-@query("imported_markdown", f"""WITH {q.RECORDS},
-r AS (SELECT *, chr(10) AS nl, CAST([] AS VARCHAR[]) AS links, left({q.collapse('raw_input')}, 80) AS t, {q.iso_seconds('created_ts')} AS created_at FROM records
+IMPORTED_SQL = f"""r AS (SELECT *, chr(10) AS nl, CAST([] AS VARCHAR[]) AS links, left({q.collapse('raw_input')}, 80) AS t, {q.iso_seconds('created_ts')} AS created_at FROM records
   WHERE record_id % 11 <> 0 AND record_id % 13 <> 0 AND record_id % 17 <> 0),
 s AS (SELECT record_id, '# ' || CASE WHEN record_id % 3 = 0 OR t = '' THEN 'Без названия' ELSE t END || nl || nl || '- Imported entity: `' || entity_type || '`' || nl ||
   '- Project: `' || project_key || '`' || nl || '- Source type: `text`' || nl || '- Source URL: `' || coalesce(source_url, 'n/a') || '`' || nl ||
   '- Link fetch status: `not_applicable`' || nl || '- Link fetch error: `n/a`' || nl || '- Created at: `' || created_at || '`' || nl || nl ||
   '## Raw Input' || nl || raw_input || nl || nl || '## Normalized Text' || nl || coalesce(nullif(normalized_text, ''), 'Нет нормализованного текста.') || nl || nl ||
   '## Links' || nl || '- ссылок нет' || nl || nl || '## Extracted Content' || nl || 'Извлечённого содержимого нет.' || nl ||
-  CASE entity_type WHEN 'idea' THEN nl || '## Analysis' || nl || 'Анализ не приложен.' || nl || nl || '## Comments' || nl || '- комментариев нет' || nl ELSE '' END AS body FROM r)
-SELECT * FROM s""")
+  CASE entity_type WHEN 'idea' THEN nl || '## Analysis' || nl || 'Анализ не приложен.' || nl || nl || '## Comments' || nl || '- комментариев нет' || nl ELSE '' END AS body FROM r)"""
+
+
+@query("imported_markdown", f"WITH {q.RECORDS}, {IMPORTED_SQL} SELECT * FROM s")
 def imported_markdown(spark, d):
     """I1, imported form"""
     good = parsed_inbox(spark, d).filter(c("error_reason").isNull())
@@ -76,6 +77,18 @@ def imported_markdown(spark, d):
     return good.select("record_id", body.alias("body"))
 
 
+@query("dual_write", ORACLES["record_markdown"])
+def dual_write(spark, d):
+    """B1: records and documents written in two goes, the second over a part of the first; the documents as stored"""
+    path, rows = scratch_path(spark, "dual"), documents_of(spark, d)
+    notes = comments(spark, d).withColumn("created", dates.iso_seconds(c("created")))
+    key = c("record_id")
+    draft = rows.filter(key % 3 != 0).withColumn("title", F.lit("draft"))
+    for part in (draft, rows.filter(key % 2 == 0), rows.filter(key % 2 == 1)):
+        sinks.dual_write(part, documents.record_parts(part, notes), path)
+    return sinks.read_documents(spark, "record_id", f"{path}/documents")
+
+
 @query("summary_line", """WITH t AS (SELECT o_orderkey, chr(10) AS nl, 'Event ' || o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_custkey % 15 AS VARCHAR) AS n,
   CASE WHEN o_orderstatus = 'O' THEN 'baseline' ELSE 'incremental' END AS kind FROM orders)
 SELECT o_orderkey, CASE kind WHEN 'baseline' THEN 'UFC baseline report' ELSE 'UFC report update' END || nl || 'Турнир: ' || name || nl || 'Дата: ' || day || nl || 'Боёв: ' || n || nl ||
@@ -148,16 +161,24 @@ def template_analysis(spark, d):
 _FILES = ("README.md", "ideas.md", "current-system.md", "current-context.md", "first-questions.md")
 
 
-@query("context_pack", f"""WITH t AS (SELECT source, doc_id % 5 AS ord, min_by(text, doc_id) AS body FROM documents WHERE doc_id % 9 <> 0 GROUP BY source, doc_id % 5)
-SELECT source, string_agg(CASE WHEN ord = 0 THEN '# Project README' || chr(10) || left(body, 2500)
-  ELSE '# Inbox Context: ' || ([{', '.join(q.lit(f) for f in _FILES)}])[ord + 1] || chr(10) || left(body, 2000) END, chr(10) || chr(10) ORDER BY ord) AS pack FROM t GROUP BY source""")
+@query("context_pack", f"""WITH t AS (SELECT doc_id // 5 AS pack_no, doc_id % 5 AS ord, text AS body FROM documents)
+SELECT pack_no, string_agg(CASE WHEN ord = 0 THEN '# Project README' || chr(10) || left(body, 2500)
+  ELSE '# Inbox Context: ' || ([{', '.join(q.lit(f) for f in _FILES)}])[ord + 1] || chr(10) || left(body, 2000) END, chr(10) || chr(10) ORDER BY ord) AS pack
+FROM t GROUP BY pack_no""")
 def context_pack(spark, d):
-    """The first document of each slot is the file; texts are cut before they move"""
-    docs = table(spark, d, "documents").filter(c("doc_id") % 9 != 0).select(
-        "source", (c("doc_id") % 5).alias("ord"), "doc_id", F.substring("text", 1, 2_500).alias("body")
+    """Five neighbouring documents are the files of one project; texts are cut before they move"""
+    files = table(spark, d, "documents").select(
+        F.expr("doc_id div 5").alias("pack_no"), (c("doc_id") % 5).alias("ord"),
+        F.substring("text", 1, 2_500).alias("body"),
     )
-    files = keep_first(docs, ["source", "ord"], ["doc_id"])
-    return documents.context_pack(files.withColumn("name", pick(_FILES, c("ord"))), "source")
+    return documents.context_pack(files.withColumn("name", pick(_FILES, c("ord"))), ["pack_no"])
+
+
+@query("pack_cut", ORACLES["context_pack"].replace("SELECT pack_no, string_agg", "SELECT pack_no, left(string_agg", 1)
+       .replace("ORDER BY ord) AS pack", "ORDER BY ord), 5000) AS pack", 1))
+def pack_cut(spark, d):
+    """The part of a pack that its reader takes"""
+    return context_pack(spark, d).select("pack_no", documents.pack_for_reader(c("pack")).alias("pack"))
 
 
 @query("append_text", f"""WITH {q.RECORDS}, n AS (SELECT conv_id, max_by(text, turn) AS note FROM conversations WHERE role = 'user' GROUP BY conv_id)

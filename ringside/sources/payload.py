@@ -15,14 +15,14 @@ def tagged_json(html: Column, tag_open: str) -> Column:
     return F.nullif(F.regexp_extract(html, rf"(?s){escaped}(.*?)</script>", 1), F.lit(""))
 
 
-def script_with(html: Column, marker: str) -> Column:
-    """First script body that holds the marker."""
+def scripts_with(html: Column, marker: str) -> Column:
+    """All script bodies that hold the marker, in page order."""
     bodies = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
-    return F.get(F.filter(bodies, lambda b: F.contains(b, F.lit(marker))), F.lit(0))
+    return F.filter(bodies, lambda b: F.contains(b, F.lit(marker)))
 
 
 def enclosing_json(marker: str, anchor: str = '"page":{'):
-    """Column function: smallest JSON object around the marker in a script.
+    """Column function: smallest JSON object around the marker, from the first script that has one.
 
     The search starts at the last anchor before the marker, or at the marker
     itself, and goes outwards over the opening braces before it.
@@ -47,7 +47,12 @@ def enclosing_json(marker: str, anchor: str = '"page":{'):
     @F.pandas_udf(StringType())
     def enclosing(scripts: pd.Series) -> pd.Series:
         decoder = json.JSONDecoder()
-        return scripts.map(lambda script: around(script, decoder))
+
+        def first(bodies) -> str | None:
+            found = (around(body, decoder) for body in bodies)
+            return next((text for text in found if text is not None), None)
+
+        return scripts.map(first, na_action="ignore")
 
     return enclosing
 

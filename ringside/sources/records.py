@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ringside.schemas import RECORD
+from ringside.sources.keyed import BUCKET, path_exists, write_keyed
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """JSON lines by project, so that a project scan reads its folder only."""
-    df.write.partitionBy("project_key").json(path)
+    """JSON lines by project, so that a project scan reads its folder only.
+
+    A record written again replaces the stored one; all others stay.
+    """
+    write_keyed(df, path, ["project_key", "record_id"], folders=["project_key"])
 
 
 def read_records(
@@ -23,6 +27,7 @@ def read_records(
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
         .withColumn("file_name", F.col("_metadata.file_name"))
+        .drop(BUCKET)
     )
     return df if project_key is None else df.filter(F.col("project_key") == project_key)
 
@@ -36,7 +41,9 @@ def look_up(requests: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text or Markdown file."""
+    """One row per text or Markdown file; none where there is no such file or folder."""
+    if not any(ch in path for ch in "*?[{") and not path_exists(spark, path):
+        return spark.createDataFrame([], "file_path string, body string")
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body")
     )

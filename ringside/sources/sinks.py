@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ringside.functions.hashing import content_hash
+from ringside.sources.keyed import BUCKET, write_keyed
 from ringside.sources.records import write_records
 
 
 def write_documents(parts: DataFrame, key: str, path: str) -> None:
-    """Document parts in reading order: ranges of (key, part) per file.
-
-    A range split keeps a document with very many parts in several files
-    instead of one task.
-    """
-    (
-        parts.repartitionByRange(key, "part_no").sortWithinPartitions(key, "part_no")
-        .select(key, "part_no", "body").write.mode("overwrite").json(path)
-    )
+    """Document parts, in reading order inside a file. A document written again replaces its parts."""
+    write_keyed(parts.select(key, "part_no", "body"), path, [key], within=["part_no"])
 
 
 def read_documents(spark: SparkSession, key: str, path: str) -> DataFrame:
-    return spark.read.schema(f"{key} bigint, part_no bigint, body string").json(path)
+    return spark.read.schema(f"{key} bigint, part_no bigint, body string").json(path).drop(BUCKET)
 
 
 def dual_write(records: DataFrame, parts: DataFrame, path: str) -> None:

@@ -29,11 +29,24 @@ def parquet_stream(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def text_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path)
+FOLDERS = {"ideas": "idea", "contexts": "context"}
+
+
+def inbox_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
+    """Whole inbox files with their name; the folder ``ideas`` or ``contexts`` tells the entity type.
+
+    A file is one JSON object, on one line or many. ``max_files`` bounds a
+    batch; the rest comes in the next ones.
+    """
+    files = (
+        spark.readStream.option("maxFilesPerTrigger", max_files).option("wholetext", True)
+        .option("recursiveFileLookup", True).text(path)
+    )
+    folder = F.element_at(F.split(c("_metadata.file_path"), "/"), -2)
+    kind = F.when(F.lit(False), "")
+    for name, entity in FOLDERS.items():
+        kind = kind.when(folder == name, entity)
+    return files.select(c("_metadata.file_name").alias("file_name"), kind.alias("entity_type"), c("value").alias("body"))
 
 
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -53,21 +66,25 @@ def emit(df: DataFrame, out: str, batch_id: int) -> None:
 # ---------------------------------------------------------------- inbox
 
 def ingest_inbox(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Lines to imported and failed records plus counters, each file once.
+    """Files to routed Markdown documents, failures with their reason, and counters.
 
-    The checkpoint lists the files already taken.
+    The checkpoint lists the files already taken. ``out`` gets ``documents``
+    (target, file_name, body), ``failed`` (file_name, error_reason) and
+    ``stats``. Inside a batch the last file name wins a target; of several
+    batches the last one does, see ``current_documents``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        parsed = routing.with_error_reason(
-            batch.withColumn("record", routing.parse_inbox(c("value")))
-        ).withColumn("entity_type", F.coalesce("record.entity_type", F.lit("unknown")))
-        parsed = parsed.persist()
-        good = parsed.filter(c("error_reason").isNull()).select("record.*").drop("_corrupt_record")
-        emit(good, f"{out}/imported", batch_id)
+        parsed = routing.with_error_reason(batch.withColumn("record", routing.parse_inbox(c("body"))))
+        unknown = c("error_reason").isNull() & c("entity_type").isNull()
+        parsed = parsed.withColumn("error_reason", F.when(unknown, "unknown folder").otherwise(c("error_reason"))).persist()
+        good = parsed.filter(c("error_reason").isNull()).select(
+            routing.target_path("record", c("entity_type"), F.date_format(F.current_date(), "yyyy-MM-dd")).alias("target"),
+            "file_name", routing.inbox_markdown("record", c("entity_type")).alias("body"),
+        )
+        emit(routing.last_writer_wins(good, "target", ["file_name"]), f"{out}/documents", batch_id)
         emit(
-            parsed.filter(c("error_reason").isNotNull()).select(c("value").alias("line"), "error_reason"),
-            f"{out}/failed", batch_id,
+            parsed.filter(c("error_reason").isNotNull()).select("file_name", "error_reason"), f"{out}/failed", batch_id,
         )
         emit(routing.outcome_counts(parsed), f"{out}/stats", batch_id)
         parsed.unpersist()
@@ -75,6 +92,12 @@ def ingest_inbox(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return drain(stream, each, checkpoint)
 
 
+def current_documents(spark: SparkSession, out: str) -> DataFrame:
+    """One document per target: the one written last."""
+    written = spark.read.parquet(f"{out}/documents")
+    return latest_state(written, ["target"], ["batch_id", "file_name"]).drop("batch_id")
+
+
 # ---------------------------------------------------------------- keyed state
 
 def latest_per_key(
@@ -94,27 +117,34 @@ def latest_per_key(
     return drain(stream, each, checkpoint)
 
 
+#: Position of what the state brings back: before every run of the batch, whatever its number.
+FROM_STATE = -(2**63)
+
+
 def changed_only(runs: DataFrame, table: StateTable, out: str, checkpoint: str) -> StreamingQuery:
     """Runs that differ from the last sent hash of their key.
 
-    ``table`` keeps key, seq and hash of the last run.
+    Runs go by arrival: batch by batch, and by seq inside a batch. A late run
+    is therefore compared with what was sent last, not with its neighbour.
+    ``table`` keeps key, the highest seq so far and the hash sent last.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = cut_lineage(batch)
         keys = batch.select("key").distinct()
         known = table.read(batch.sparkSession, batch_id).join(keys, "key", "left_semi")
-        before = known.select("key", "seq", "hash", F.lit("sent").alias("kind"))
-        rows = before.unionByName(batch.select("key", "seq", "hash", "kind"))
-        emit(changes.changed_runs(rows).filter(c("kind") != "sent").select("key", "seq", "kind"), out, batch_id)
-        newest = latest_state(batch, ["key"], ["seq"]).select("key", "seq", "hash")
+        before = known.select("key", "seq", "hash", F.lit("sent").alias("kind"), F.lit(FROM_STATE).alias("arrived"))
+        rows = before.unionByName(batch.select("key", "seq", "hash", "kind", c("seq").alias("arrived")))
+        changed = changes.changed_runs(rows, "arrived").filter(c("kind") != "sent")
+        emit(changed.select("key", "seq", "kind"), out, batch_id)
+        newest = rows.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("hash", "arrived").alias("hash"))
         table.write(newest.withColumn("live", F.lit(True)), batch_id)
 
     return drain(runs, each, checkpoint)
 
 
 def gate(runs: DataFrame, table: StateTable, out: str, checkpoint: str) -> StreamingQuery:
-    """Window gate over a stream of runs.
+    """Window gate over a stream of runs, by arrival as in ``changed_only``.
 
     ``table`` keeps key, seq, opened_date and hash of each open window. An open
     window comes back as a baseline run before the new ones.
@@ -126,23 +156,23 @@ def gate(runs: DataFrame, table: StateTable, out: str, checkpoint: str) -> Strea
         windows = table.read(batch.sparkSession, batch_id).join(keys, "key", "left_semi")
         before = windows.select(
             "key", "seq", F.lit("baseline").alias("kind"),
-            F.date_sub("opened_date", 1).alias("run_date"), "opened_date", "hash",
+            F.date_sub("opened_date", 1).alias("run_date"), "opened_date", "hash", F.lit(FROM_STATE).alias("arrived"),
         )
-        rows = cut_lineage(before.unionByName(batch.select(*before.columns)))
-        judged = cut_lineage(changes.gate_runs(rows))
-        emit(judged.join(windows.select("key", "seq"), ["key", "seq"], "left_anti"), out, batch_id)
-        opened = latest_state(judged.filter(c("status") == "baseline_created"), ["key"], ["seq"])
+        rows = cut_lineage(before.unionByName(batch.withColumn("arrived", c("seq")).select(*before.columns)))
+        judged = cut_lineage(changes.gate_runs(rows, "arrived"))
+        emit(judged.filter(c("arrived") > FROM_STATE).drop("arrived"), out, batch_id)
+        opened = latest_state(judged.filter(c("status") == "baseline_created"), ["key"], ["arrived"])
         closed = judged.filter(c("reason").isin("window_over", "no_event")).groupBy("key").agg(
-            F.max("seq").alias("closed_seq")
+            F.max("arrived").alias("closed_at")
         )
-        last = latest_state(rows, ["key"], ["seq"]).select("key", "hash")
+        last = rows.groupBy("key").agg(F.max_by("hash", "arrived").alias("hash"))
         state = (
-            keys.join(opened.select("key", "seq"), "key", "left")
+            keys.join(opened.select("key", "arrived"), "key", "left")
             .join(closed, "key", "left").join(last, "key", "left")
-            .join(rows.select("key", "seq", "opened_date"), ["key", "seq"], "left")
+            .join(rows.select("key", "arrived", "seq", "opened_date"), ["key", "arrived"], "left")
             .select(
                 "key", "seq", "opened_date", "hash",
-                (c("seq").isNotNull() & ~F.coalesce(c("closed_seq") > c("seq"), F.lit(False))).alias("live"),
+                (c("arrived").isNotNull() & ~F.coalesce(c("closed_at") > c("arrived"), F.lit(False))).alias("live"),
             )
         )
         table.write(state, batch_id)

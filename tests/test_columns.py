@@ -106,7 +106,9 @@ def test_odds_lines(spark):
     assert one(spark, lines, odds_line_price) == ["-150", "", "", "+1234"]
     assert one(spark, lines, odds_line_name) == ["Jon O'Neil", "", "", "C D"]
     page = "<p>A +100<br/>\nB -200</p><p><strong>x</strong><br>A +100</p><p>one</p>"
-    assert [tuple(r) for r in one(spark, [page], paragraph_pair)[0]] == [("A", "+100", "B", "-200")]
+    coded = "<p>Jan O&#8217;Neil&nbsp;&#43;150<br>B &amp; C -200</p>"
+    assert [[tuple(r) for r in rows] for rows in one(spark, [page, coded], paragraph_pair)] == [
+        [("A", "+100", "B", "-200")], [("Jan O\u2019Neil", "+150", "B & C", "-200")]]
 
 
 def test_name_scores(spark):

@@ -1,13 +1,13 @@
-"""Hot-key paths give what the plain paths give."""
+"""Work cut into many ranges gives what one range gives."""
 
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ringside.functions.names import name_score  # noqa: F401
 from ringside.operators import changes
 from ringside.operators.matching import best_title, greedy_one_to_one
-from ringside.operators.ordered import Running, find_hot_keys, running
+from ringside.operators.ordered import CHUNK, Running, in_ranges, running
 from ringside.plans.adapters import runs, table
 
 c = F.col
@@ -28,30 +28,41 @@ def test_running_values(spark):
         "lag": Running("lag", c("v")), "last": Running("last", c("v")), "before": Running("before", c("v")),
         "sum": Running("sum", c("w")), "min": Running("min", c("w")), "min_before": Running("min_before", c("w")),
     }
-    assert {r[0] for r in find_hot_keys(df, ["u"], "t", 80).rows} >= {1, None}
-    assert same(running(df, ["u"], ["t", "i"], specs), running(df, ["u"], ["t", "i"], specs, hot_rows=80))
+    whole = running(df, ["u"], ["t", "i"], specs, chunks=1)
+    assert same(whole, running(df, ["u"], ["t", "i"], specs, chunks=9))
+    plain = Window.partitionBy("u").orderBy("t", "i")
+    expected = df.select("*", F.lag("v").over(plain).alias("lag"), F.sum("w").over(plain.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    assert same(whole.select(*expected.columns), expected)
 
 
-def test_one_hot_key_is_cut_into_chunks(spark):
-    df = spark.range(3000).select(F.when(c("id") % 3 == 0, c("id")).otherwise(-1).alias("u"), c("id").alias("t"))
-    hot = find_hot_keys(df, ["u"], "t", 200)
-    assert [r[0] for r in hot.rows] == [-1] and len(hot.rows[0][1]) >= 10
+def test_one_key_with_a_constant_first_column_is_cut(spark):
+    df = spark.range(10_000).select(F.lit(1).alias("u"), F.lit(7).alias("t"), c("id").alias("i"), F.lit(1).alias("one"))
+    sizes = [r["count"] for r in in_ranges(df, ["u"], ["t", "i"], 8).groupBy(CHUNK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2_500
+    got = running(df, ["u"], ["t", "i"], {"n": Running("sum", c("one"))}, chunks=8)
+    assert got.filter(c("n") != c("i") + 1).isEmpty()
 
 
-def test_smaller_hot_keys_keep_fewer_bounds(spark):
-    df = spark.range(4000).select(F.when(c("id") % 8 == 0, 1).otherwise(0).alias("u"), c("id").alias("t"))
-    sizes = {r[0]: len(r[1]) for r in find_hot_keys(df, ["u"], "t", 100).rows}
-    assert sizes[0] > 60 and 5 <= sizes[1] <= 20
+def test_equal_times_go_to_the_lowest_id(spark):
+    rows = [(1, 5, 10, "open"), (1, 3, 10, "open"), (1, 2, 10, "text"), (1, 9, 11, "text"), (1, 4, 12, "text")]
+    df = spark.createDataFrame(rows, "u int, event_id int, s int, role string").withColumn(
+        "ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    args = (df, "u", c("role") == "open", c("role") == "text", 60)
+    found = {r.text_id: r.open_id for r in changes.newest_within(*args).collect()}
+    assert found == {2: 3, 9: 3, 4: 3}
+    for chunks in (1, 3):
+        taken = {r.text_id: r.open_id for r in changes.consume_within(*args, chunks=chunks).collect()}
+        assert taken == {2: 3, 9: 5}
 
 
 def test_changes_gate_and_matching_in_time(spark, sf_dir):
     log = runs(spark, sf_dir)
-    assert same(changes.changed_runs(log), changes.changed_runs(log, hot_rows=20))
-    assert same(changes.gate_runs(log), changes.gate_runs(log, hot_rows=20))
+    assert same(changes.changed_runs(log), changes.changed_runs(log, chunks=11))
+    assert same(changes.gate_runs(log), changes.gate_runs(log, chunks=11))
     events = table(spark, sf_dir, "events")
     args = ("user_id", c("event_type") == "error", c("event_type") == "click", 48 * 3600)
-    assert same(changes.consume_within(events, *args), changes.consume_within(events, *args, hot_rows=20))
-    assert same(changes.newest_within(events, *args), changes.newest_within(events, *args, hot_rows=20))
+    assert same(changes.consume_within(events, *args), changes.consume_within(events, *args, chunks=11))
+    assert same(changes.newest_within(events, *args), changes.newest_within(events, *args, chunks=11))
 
 
 FIRST, LAST = "ana bo cy dan".split(), "silva kim li".split()
@@ -100,7 +111,7 @@ def test_greedy_matching_against_a_plain_loop(spark):
     lhs = spark.createDataFrame(left, "g int, left_pos int, a_name string, b_name string")
     rhs = spark.createDataFrame(right, "g int, right_pos int, a_name string, b_name string")
     expected = greedy(left, right)
-    for limits in ({}, {"fold_pairs": 100, "hot_rows": 30}, {"fold_pairs": 450}):
+    for limits in ({}, {"fold_pairs": 100, "chunks": 5}, {"fold_pairs": 450}):
         assert sorted(tuple(r) for r in greedy_one_to_one(lhs, rhs, "g", **limits).collect()) == expected
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ringside.operators import changes
 from ringside.plans.adapters import runs_of, table
-from ringside.plans.source_queries import inbox
 from ringside.plans.stream_queries import next_batch
 from ringside.session import scratch_path
+from ringside.sources.keyed import write_files
 from ringside.streaming import flows
 from ringside.streaming.processors import emit_on_change
 from ringside.streaming.state_table import StateTable
@@ -102,18 +102,49 @@ def test_stateful_operator(spark, sf_dir):
     )
 
 
-def test_inbox_takes_each_file_once(spark, sf_dir):
+def test_late_runs_meet_what_was_sent_last(spark):
+    """By arrival: hash A at 10, then late runs 5 (A, unchanged) and 6 (B), then 11 (B, unchanged)."""
+    root = scratch_path(spark, "late")
+    state = StateTable(f"{root}/state", "key bigint, seq bigint, hash string", ("key",))
+    for rows in ([(1, 10, "A")], [(1, 5, "A"), (1, 6, "B")], [(1, 11, "B")]):
+        df = spark.createDataFrame(rows, "key bigint, seq bigint, hash string").withColumn("kind", F.lit("incremental"))
+        df.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        flows.changed_only(flows.parquet_stream(spark, f"{root}/in"), state, f"{root}/out", f"{root}/cp")
+    assert sorted(r.seq for r in spark.read.parquet(f"{root}/out").collect()) == [6, 10]
+    assert [tuple(r) for r in state.read(spark, 3).collect()] == [(1, 11, "B")]
+
+
+def test_a_late_update_finds_the_window_open(spark):
+    root = scratch_path(spark, "late-gate")
+    state = StateTable(f"{root}/state", "key bigint, seq bigint, opened_date date, hash string", ("key",))
+    for row in ((1, 10, "baseline", "2024-01-04", "2024-01-06", "A"), (1, 5, "incremental", "2024-01-04", None, "B")):
+        df = spark.createDataFrame([row], "key bigint, seq bigint, kind string, run_date string, opened_date string, hash string")
+        df = df.withColumn("run_date", c("run_date").cast("date")).withColumn("opened_date", c("opened_date").cast("date"))
+        df.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        flows.gate(flows.parquet_stream(spark, f"{root}/in"), state, f"{root}/out", f"{root}/cp")
+    got = {r.seq: r.reason for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == {10: "window_opened", 5: "new_hash"}
+
+
+def test_inbox_takes_each_file_once_in_bounded_batches(spark):
     root = scratch_path(spark, "test-inbox")
-    lines = inbox(spark, sf_dir).select("line")
-    lines.filter(F.hash("line") % 2 == 0).write.text(f"{root}/in")
-    run = lambda: flows.ingest_inbox(flows.text_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/cp")
-    run()
-    first = spark.read.parquet(f"{root}/out/imported").count()
-    run()
-    assert spark.read.parquet(f"{root}/out/imported").count() == first
-    lines.filter(F.hash("line") % 2 != 0).write.mode("append").text(f"{root}/in")
+    good = '{\n  "project_key": "shared",\n  "title": "T",\n  "raw_input": "%s",\n  "remote_id": "%s",\n  "created_at": "2024-01-01T00:00:00"\n}'
+    run = lambda: flows.ingest_inbox(
+        flows.inbox_stream(spark, f"{root}/in", max_files=2), f"{root}/out", f"{root}/cp")
+
+    def land(rows):
+        write_files(spark.createDataFrame(rows, "folder string, file_name string, body string"), f"{root}/in")
+        run()
+
+    land([("ideas", "1.json", good % ("one", "a")), ("contexts", "2.json", good % ("two", "a")), ("ideas", "3.json", "{ broken"),
+          ("other", "4.json", good % ("four", "b")), ("ideas", "5.json", '{"title": "x"}')])
+    first = rows(flows.current_documents(spark, f"{root}/out"))
     run()
-    total = spark.read.parquet(f"{root}/out/imported").count() + spark.read.parquet(f"{root}/out/failed").count()
-    assert total == lines.count()
-    counted = spark.read.parquet(f"{root}/out/stats").agg(F.sum("n")).first()[0]
-    assert counted == total
+    assert rows(flows.current_documents(spark, f"{root}/out")) == first and len(first) == 2
+    land([("ideas", "6.json", good % ("again", "a"))])
+    bodies = {r.target: r.body for r in flows.current_documents(spark, f"{root}/out").collect()}
+    assert len(bodies) == 2 and any("again" in b for b in bodies.values()) and not any("\none\n" in b for b in bodies.values())
+    failed = {r.file_name: r.error_reason for r in spark.read.parquet(f"{root}/out/failed").collect()}
+    assert failed == {"3.json": "broken json", "4.json": "unknown folder", "5.json": "missing project_key"}
+    counted = {r.outcome: r.n for r in spark.read.parquet(f"{root}/out/stats").groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
+    assert counted == {"imported_ideas": 2, "imported_contexts": 1, "failed": 3}

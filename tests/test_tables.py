@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringside.operators import changes, history, merge, routing
+from ringside.operators.documents import report_parts
 from ringside.operators.topk import first_then_filter, filter_then_first, insert_if_absent, keep_first, upsert
 from ringside.plans.history_queries import listing, updated
-from ringside.plans.text_queries import report_markdown, whole_reports
+from ringside.plans.text_queries import report_markdown, report_tables, whole_reports
 from ringside.session import scratch_path
 from ringside.sources import markdown, payload
+from ringside.sources.keyed import read_keyed
 from ringside.sources.records import look_up, read_records, read_whole_texts
 
 c = F.col
@@ -35,16 +37,57 @@ def test_lookup_keeps_missing_keys(spark):
         (1, True, "a"), (9, False, None)]
 
 
-def test_export_round_trip_replaces_only_its_entity(spark):
+def test_export_replaces_its_keys_only(spark):
     path = scratch_path(spark, "export")
 
     def payload_of(rows):
         return spark.createDataFrame(rows, "entity_type string, remote_id string, title string")
 
-    routing.write_export(payload_of([("idea", "a", "1"), ("context", "b", "2")]), path)
+    routing.write_export(payload_of([("idea", "a", "1"), ("context", "b", "2"), ("idea", "c", "4")]), path)
     routing.write_export(payload_of([("idea", "a", "3")]), path)
-    got = spark.read.schema("remote_id string, title string, entity_type string").json(path)
-    assert sorted(tuple(r) for r in got.select("entity_type", "title").collect()) == [("context", "2"), ("idea", "3")]
+    got = read_keyed(spark, path, "remote_id string, title string, entity_type string")
+    assert sorted(r.title for r in got.collect()) == ["2", "3", "4"]
+
+
+def test_export_files_keep_nulls_and_replace(spark):
+    path = scratch_path(spark, "files")
+    for title in ("old", "new"):
+        df = spark.createDataFrame([("idea", "a", title, None), ("context", "b", "b", "u")], "entity_type string, remote_id string, title string, url string")
+        routing.write_export_files(df, path)
+    texts = {r.file_path.split("/")[-2]: r.body for r in read_whole_texts(spark, f"{path}/*/*.json").collect()}
+    assert set(texts) == {"ideas", "contexts"} and texts["ideas"].count("\n") > 3
+    assert '"title" : "new"' in texts["ideas"] and '"url" : null' in texts["ideas"]
+
+
+def test_the_last_writer_of_a_target_wins(spark):
+    path = scratch_path(spark, "routed")
+    schema = "target string, file_name string, body string"
+    routing.write_routed(spark.createDataFrame([("t", "1", "a"), ("t", "2", "b"), ("u", "1", "c")], schema), path)
+    routing.write_routed(spark.createDataFrame([("u", "0", "d")], schema), path)
+    assert sorted(tuple(r) for r in read_keyed(spark, path, schema).collect()) == [("t", "2", "b"), ("u", "0", "d")]
+
+
+def test_absent_text_file_gives_no_rows(spark):
+    assert read_whole_texts(spark, scratch_path(spark, "nothing")).isEmpty()
+
+
+def test_repeated_incoming_keys_are_inserted_once(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(2, "b"), (2, "c"), (1, "z")], "k int, v string")
+    assert sorted(tuple(r) for r in insert_if_absent(old, new, ["k"]).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_equal_order_values_go_to_the_new_row(spark):
+    old = spark.createDataFrame([(1, 1, "old")], "k int, seq int, v string")
+    new = spark.createDataFrame([(1, 1, "new")], "k int, seq int, v string")
+    assert [r.v for r in upsert(old, new, ["k"], ["seq"]).collect()] == ["new"]
+
+
+def test_a_bout_without_fighters_has_no_blocks(spark, sf_dir):
+    cards, bouts, fighters = report_tables(spark, sf_dir)
+    alone = bouts.withColumn("a_fighter", F.lit(None).cast("bigint")).withColumn("b_fighter", F.lit(-1).cast("bigint"))
+    bodies = [r.body for r in report_parts(cards, alone, fighters).filter(c("part_no").between(1, 12)).collect()]
+    assert bodies and not any("Последние 5" in b for b in bodies)
 
 
 def test_dual_write(spark, sf_dir):
@@ -62,13 +105,18 @@ def test_dual_write(spark, sf_dir):
     back = read_documents(spark, "record_id", f"{path}/documents")
     assert back.exceptAll(parts).isEmpty() and parts.exceptAll(back).isEmpty()
     assert sorted(map(str, back.collect())) == sorted(map(str, parts.collect()))
+    one = c("record_id") == 3
+    dual_write(records.filter(one), parts.filter(one).withColumn("body", F.lit("again")), path)
+    assert read_records(spark, f"{path}/records").count() == records.count()
+    back = read_documents(spark, "record_id", f"{path}/documents")
+    assert {r.body for r in back.filter(one).collect()} == {"again"} and back.count() == parts.count()
 
 
 def test_marker_search(spark):
     script = 'x={"a":"}{\\"","page":{"in":{"segMeta":{"n":[1,{"z":"}"}]}}}}; y={"page":{"b":1}}'
-    page = f"<script>no</script><script>{script}</script>"
+    page = f"<script>no</script><script>var k = '\"segMeta\"' + {{;</script><script>{script}</script>"
     df = spark.createDataFrame([(page,), ("<script>none</script>",)], "html string")
-    found = payload.enclosing_json('"segMeta"')(payload.script_with(c("html"), '"segMeta"'))
+    found = payload.enclosing_json('"segMeta"')(payload.scripts_with(c("html"), '"segMeta"'))
     got = [r[0] for r in df.select(found).collect()]
     assert got == [script[2:script.index("; y=")], None]
 
