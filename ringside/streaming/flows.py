@@ -39,8 +39,8 @@ def inbox_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> Dat
     batch; the rest comes in the next ones.
     """
     files = (
-        spark.readStream.option("maxFilesPerTrigger", max_files).option("wholetext", True)
-        .option("recursiveFileLookup", True).text(path)
+        spark.readStream.option("maxFilesPerTrigger", max_files)
+        .text(path, wholetext=True, recursiveFileLookup=True)
     )
     folder = F.element_at(F.split(c("_metadata.file_path"), "/"), -2)
     kind = F.when(F.lit(False), "")

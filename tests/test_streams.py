@@ -128,7 +128,7 @@ def test_a_late_update_finds_the_window_open(spark):
 
 def test_inbox_takes_each_file_once_in_bounded_batches(spark):
     root = scratch_path(spark, "test-inbox")
-    good = '{\n  "project_key": "shared",\n  "title": "T",\n  "raw_input": "%s",\n  "remote_id": "%s",\n  "created_at": "2024-01-01T00:00:00"\n}'
+    good = '{\n  "project_key": "ufc-betting",\n  "title": "T",\n  "raw_input": "%s",\n  "remote_id": "%s",\n  "created_at": "2024-01-01T00:00:00"\n}'
     run = lambda: flows.ingest_inbox(
         flows.inbox_stream(spark, f"{root}/in", max_files=2), f"{root}/out", f"{root}/cp")
 
