@@ -42,6 +42,7 @@ WEIGHT_CLASSES = {
     "Женский легчайший вес": "Women's Bantamweight",
 }
 
+# Fixed value.
 TAG_PATTERN = r"(?:проект|раздел|категория)\s*:\s*([a-z0-9\-_а-я]+)"
 
 

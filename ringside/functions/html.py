@@ -27,6 +27,7 @@ def unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda items: [html_lib.unescape(x) for x in items], na_action="ignore")
 
 
+# These patterns define which markup readable text leaves out.
 def drop_markup(html: Column) -> Column:
     """Scripts, styles, noscript blocks and tags become spaces."""
     for tag in ("script", "style", "noscript"):
