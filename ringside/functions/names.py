@@ -36,7 +36,12 @@ def name_score(slug_a: Column, slug_b: Column) -> Column:
     """10 same slug; same last name 8 or 4; shared tokens 5 or 1; else 0."""
     shared = F.size(F.array_intersect(tokens_of_slug(slug_a), tokens_of_slug(slug_b)))
     same_last = last_of_slug(slug_a) == last_of_slug(slug_b)
+    return score_of_parts(slug_a == slug_b, same_last, shared)
+
+
+def score_of_parts(same: Column, same_last: Column, shared: Column) -> Column:
+    """The name score from what two slugs have in common."""
     by_tokens = F.when(same_last, F.when(shared >= 2, 8).otherwise(4)).otherwise(
         F.when(shared >= 2, 5).otherwise(shared)
     )
-    return F.when(slug_a == slug_b, 10).otherwise(by_tokens)
+    return F.when(same, 10).otherwise(by_tokens)

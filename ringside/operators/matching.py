@@ -10,17 +10,18 @@ joins and scores are worked out per kind, never per copy.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringside.functions.names import last_of_slug, name_score, tokens_of_slug
+from ringside.functions.names import last_of_slug, name_score, score_of_parts, tokens_of_slug
 from ringside.functions.text import bind, slug_ascii
 from ringside.operators.ordered import Running, running
-from ringside.operators.topk import keep_first
-from ringside.session import cut_lineage
+from ringside.operators.topk import first_n, keep_first
+from ringside.session import cut_lineage, scratch_path
 
 THRESHOLD = 8
-FOLD_PAIRS = 20_000
-SHORT_TITLE = 12
+#: Left rows plus links that one task walks at a time. It sizes the steps and decides nothing else.
+BATCH = 50_000
 
 
 def _tokens(slug: Column) -> Column:
@@ -63,10 +64,6 @@ def _crossed(left: Column, right: Column) -> Column:
     )
 
 
-def _single(keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.concat(F.lit("1"), k))
-
-
 def _pair_keys(slug_a: Column, slug_b: Column, both_ways: bool) -> Column:
     keys = [strong_keys(slug_a), strong_keys(slug_b), _crossed(weak_keys(slug_a), weak_keys(slug_b))]
     if both_ways:
@@ -101,11 +98,7 @@ def score_kinds(left_kinds: DataFrame, right_kinds: DataFrame, group: str) -> Da
 
 
 def greedy_one_to_one(
-    left: DataFrame,
-    right: DataFrame,
-    group: str,
-    fold_pairs: int = FOLD_PAIRS,
-    chunks: int | None = None,
+    left: DataFrame, right: DataFrame, group: str, batch: int = BATCH, chunks: int | None = None
 ) -> DataFrame:
     """Left rows in order each take their best unused right row of the group.
 
@@ -114,128 +107,114 @@ def greedy_one_to_one(
     with the highest score, then the lowest position. Returns group, both
     positions, score and orientation.
 
-    Groups with up to ``fold_pairs`` scoring pairs are folded inside one row.
-    Larger groups go through proposal rounds, which give the same assignment
-    and hold no group in one task. The pair count is known from the kinds
-    before any pair exists.
+    Rows of one right kind are always taken in their order, so what a left row
+    chooses from is the next free row of each kind it scores with. Left rows
+    are dealt into turns of about ``batch`` rows and links; in a turn every
+    group walks its left rows in one task, which gets their links and, of each
+    right kind, no more rows than the turn can ask for. A group that fits one
+    turn, as cards do, is done in one; a longer one takes as many turns as it
+    has batches.
     """
     lefts = _with_slugs(left, group, "left_pos", "la", "lb")
     rights = _with_slugs(right, group, "right_pos", "ra", "rb")
-    left_kinds = lefts.groupBy(group, "la", "lb").agg(F.count(F.lit(1)).alias("n_left"))
-    right_kinds = rights.groupBy(group, "ra", "rb").agg(F.count(F.lit(1)).alias("n_right"))
-    kinds = cut_lineage(score_kinds(left_kinds, right_kinds, group))
-
-    large = (
-        kinds.groupBy(group)
-        .agg(F.sum(F.col("n_left") * F.col("n_right")).alias("pairs"))
-        .filter(F.col("pairs") > fold_pairs)
-        .select(group)
-    )
-    kinds = kinds.drop("n_left", "n_right")
-    if large.isEmpty():
-        return _fold(lefts, rights, kinds, group)
-    large = cut_lineage(large)
-    small = _fold(lefts, rights, kinds.join(large, group, "left_anti"), group)
-    rounds = _proposal_rounds(
-        lefts.join(large, group, "left_semi"),
-        rights.join(large, group, "left_semi"),
-        kinds.join(large, group, "left_semi"),
-        group,
-        chunks,
+    lk, rk = [group, "la", "lb"], [group, "ra", "rb"]
+    kinds = cut_lineage(score_kinds(lefts.select(*lk).distinct(), rights.select(*rk).distinct(), group))
+
+    degrees = kinds.groupBy(*lk).agg(F.least(F.count(F.lit(1)) + 1, F.lit(batch)).alias("weight"))
+    before = {"upto": Running("sum", F.col("weight"))}
+    turns = running(lefts.join(degrees, lk), [group], ["left_pos"], before, chunks).withColumn(
+        "turn", F.floor((F.col("upto") - 1) / batch)
     )
-    return small.unionByName(rounds)
-
-
-def _fold(lefts: DataFrame, rights: DataFrame, kinds: DataFrame, group: str) -> DataFrame:
-    """All pairs of a small group in one array, walked in left order."""
-    pairs = kinds.join(lefts, [group, "la", "lb"]).join(rights, [group, "ra", "rb"])
-    entry = F.struct("left_pos", (-F.col("score")).alias("cost"), "right_pos", "orientation")
-    per_group = pairs.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    picked_type = "array<struct<left_pos:bigint,right_pos:bigint,score:int,orientation:string>>"
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("served"),
-        F.array().cast("array<bigint>").alias("used"),
-        F.array().cast(picked_type).alias("picked"),
+    queue = cut_lineage(turns.select(*lk, "left_pos", "turn"))
+    ranked = {"k": Running("sum", F.lit(1))}
+    rights = cut_lineage(
+        running(rights.join(kinds.select(*rk).distinct(), rk), rk, ["right_pos"], ranked, chunks)
+        .select(*rk, "right_pos", "k")
     )
 
-    def take(state: Column, e: Column) -> Column:
-        skip = F.coalesce(state["served"] == e["left_pos"], F.lit(False)) | F.array_contains(
-            state["used"], e["right_pos"]
-        )
-        row = F.struct(
-            e["left_pos"].alias("left_pos"),
-            e["right_pos"].alias("right_pos"),
-            (-e["cost"]).alias("score"),
-            e["orientation"].alias("orientation"),
-        )
-        return F.when(skip, state).otherwise(
-            F.struct(
-                e["left_pos"].alias("served"),
-                F.array_append(state["used"], e["right_pos"]).alias("used"),
-                F.array_append(state["picked"], row).alias("picked"),
-            )
+    last = queue.agg(F.max("turn")).first()[0]
+    spark = kinds.sparkSession
+    path = scratch_path(spark, "greedy")
+    used = None
+    for turn in range((last or 0) + 1):
+        picks = _one_turn(queue.filter(F.col("turn") == turn), rights, kinds, used, group, batch)
+        picks.write.parquet(f"{path}/turn={turn}")
+        if turn == last:
+            break
+        taken = spark.read.schema(picks.schema).parquet(f"{path}/turn={turn}").groupBy(*rk).agg(
+            F.count(F.lit(1)).alias("used")
         )
-
-    folded = per_group.select(group, F.aggregate("entries", start, take)["picked"].alias("picked"))
-    return folded.select(group, F.inline("picked"))
+        both = taken if used is None else used.unionByName(taken)
+        used = cut_lineage(both.groupBy(*rk).agg(F.sum("used").alias("used")))
+    return spark.read.schema(picks.schema).parquet(path).select(
+        group, "left_pos", "right_pos", "score", "orientation"
+    )
 
 
-def _proposal_rounds(
-    lefts: DataFrame, rights: DataFrame, kinds: DataFrame, group: str, chunks: int | None
+def _one_turn(
+    lefts: DataFrame, rights: DataFrame, kinds: DataFrame, used: DataFrame | None, group: str, batch: int
 ) -> DataFrame:
-    """Greedy assignment of large groups by rounds of proposals.
-
-    A right row keeps the earliest left row that proposes, so a kept row stays
-    out of reach of every later left row. In each round the k-th free left row
-    of a kind proposes to the k-th right row still open to the first free one
-    of its kind: the k-1 better ones end the round with earlier keepers. When
-    nobody can propose, the keepers are the greedy assignment.
-    """
-    kind = [group, "la", "lb"]
-    open_lists = cut_lineage(
-        kinds.join(rights, [group, "ra", "rb"]).select(
-            *kind, "right_pos", (-F.col("score")).alias("cost")
-        )
+    """Picks of one turn, all groups side by side."""
+    lk, rk = [group, "la", "lb"], [group, "ra", "rb"]
+    if used is None:
+        free = rights.withColumn("used", F.lit(0))
+    else:
+        free = rights.join(used, rk, "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    free = free.filter(F.col("k") > F.col("used"))
+    heads = free.filter(F.col("k") == F.col("used") + 1).select(*rk, F.col("right_pos").alias("head"))
+    asking = lefts.groupBy(*lk).agg(F.count(F.lit(1)).alias("n"))
+    # A turn has at most ``batch`` left rows, so of the kinds a left kind scores with it can be
+    # turned away from all but one of the best ``batch``; what comes after those is never reached.
+    links = first_n(
+        kinds.join(asking, lk).join(heads, rk), lk, [F.col("score").desc(), "head"], batch
     )
-    free = cut_lineage(lefts.join(kinds.select(*kind).distinct(), kind, "left_semi"))
-    kept = None
-    while True:
-        asking = running(free, kind, ["left_pos"], {"k": Running("sum", F.lit(1))}, chunks)
-        first_free = free.groupBy(*kind).agg(F.min("left_pos").alias("first_free"))
-        offers = open_lists.join(first_free, kind)
-        if kept is not None:
-            keepers = kept.select(group, "right_pos", F.col("left_pos").alias("keeper"))
-            offers = offers.join(keepers, [group, "right_pos"], "left").filter(
-                F.col("keeper").isNull() | (F.col("keeper") > F.col("first_free"))
-            )
-        offers = running(
-            offers.select(*kind, "cost", "right_pos"),
-            kind, ["cost", "right_pos"], {"k": Running("sum", F.lit(1))}, chunks,
-        )
-        proposals = cut_lineage(
-            asking.join(offers, [*kind, "k"]).select(*kind, "left_pos", "right_pos")
-        )
-        if proposals.isEmpty():
-            break
-        rivals = proposals if kept is None else kept.unionByName(proposals)
-        new_kept = cut_lineage(keep_first(rivals, [group, "right_pos"], ["left_pos"]))
-        # Those without an offer are out for good; displaced keepers are free again.
-        asked = proposals if kept is None else proposals.unionByName(kept)
-        free = cut_lineage(
-            asked.select(*kind, "left_pos").join(
-                new_kept.select(group, "left_pos"), [group, "left_pos"], "left_anti"
-            )
-        )
-        kept = new_kept
-        if free.isEmpty():
-            break
-    if kept is None:
-        kept = cut_lineage(open_lists.select(*kind, F.col("right_pos").alias("left_pos"), "right_pos").limit(0))
-    return (
-        kept.join(rights, [group, "right_pos"])
-        .join(kinds, [*kind, "ra", "rb"])
-        .select(group, "left_pos", "right_pos", "score", "orientation")
+    need = links.groupBy(*rk).agg(F.sum("n").alias("need"))
+    offered = free.join(need, rk).filter(F.col("k") <= F.col("used") + F.col("need"))
+
+    def rows(df: DataFrame, what: str, **given: str) -> DataFrame:
+        empty = {"la": "string", "lb": "string", "ra": "string", "rb": "string", "pos": "bigint",
+                 "score": "int", "orientation": "string"}
+        cols = [
+            F.col(given.get(c, c)).cast(t).alias(c) if given.get(c, c) in df.columns else F.lit(None).cast(t).alias(c)
+            for c, t in empty.items()
+        ]
+        return df.select(group, F.lit(what).alias("what"), *cols)
+
+    both = rows(lefts, "left", pos="left_pos").unionByName(rows(offered, "right", pos="right_pos")).unionByName(
+        rows(links, "link")
     )
+    group_type = both.schema[group].dataType.simpleString()
+    return both.groupBy(group).applyInArrow(
+        lambda table: _walk(table, group),
+        f"`{group}` {group_type}, ra string, rb string, left_pos bigint, right_pos bigint, score int, orientation string",
+    )
+
+
+def _walk(table: pa.Table, group: str) -> pa.Table:
+    """Serve the left rows of one group and turn in order."""
+    columns = [table.column(c).to_pylist() for c in ("what", "la", "lb", "ra", "rb", "pos", "score", "orientation")]
+    links, stock, queue = {}, {}, []
+    for what, la, lb, ra, rb, pos, score, orientation in zip(*columns):
+        if what == "left":
+            queue.append((pos, (la, lb)))
+        elif what == "right":
+            stock.setdefault((ra, rb), []).append(pos)
+        else:
+            links.setdefault((la, lb), []).append(((ra, rb), score, orientation))
+    for positions in stock.values():
+        positions.sort(reverse=True)
+    picked = {c: [] for c in ("ra", "rb", "left_pos", "right_pos", "score", "orientation")}
+    for left_pos, kind in sorted(queue):
+        offers = [(-score, stock[other][-1], other, o) for other, score, o in links.get(kind, ()) if stock.get(other)]
+        if offers:
+            cost, right_pos, other, orientation = min(offers)
+            stock[other].pop()
+            for name, value in zip(picked, (*other, left_pos, right_pos, -cost, orientation)):
+                picked[name].append(value)
+    types = {"left_pos": pa.int64(), "right_pos": pa.int64(), "score": pa.int32()}
+    arrays = {name: pa.array(values, types.get(name, pa.string())) for name, values in picked.items()}
+    groups = table.column(group).combine_chunks().slice(0, 1).take(pa.array([0] * len(picked["ra"]), pa.int32()))
+    return pa.table({group: groups, **arrays})
 
 
 def best_title(bouts: DataFrame, titles: DataFrame, group: str) -> DataFrame:
@@ -243,7 +222,10 @@ def best_title(bouts: DataFrame, titles: DataFrame, group: str) -> DataFrame:
 
     ``titles`` has group, title_pos and title; ties go to the lowest position.
     Equal titles count once, with their lowest position; equal bouts share
-    their answer.
+    their answer. A score depends only on which words a name shares with a
+    title, whether the last words are equal and whether all are, so names and
+    titles meet on single words and the score comes from counting them: work
+    grows with the number of words of a title, however long it is.
     """
     lefts = _with_slugs(bouts, group, "left_pos", "la", "lb")
     kinds = lefts.select(group, "la", "lb").distinct()
@@ -251,19 +233,33 @@ def best_title(bouts: DataFrame, titles: DataFrame, group: str) -> DataFrame:
         titles.select(group, slug_ascii(F.col("title")).alias("ts"), "title_pos")
         .groupBy(group, "ts").agg(F.min("title_pos").alias("title_pos"))
     )
-    la, lb, ts = F.col("la"), F.col("lb"), F.col("ts")
-    # Crossed keys grow with the fourth power of the title length, so titles
-    # with many words meet on keys of the first name alone; the score decides.
-    lk = kinds.withColumn("k", F.explode(F.concat(_pair_keys(la, lb, False), _single(weak_keys(la)))))
-    weak = weak_keys(ts)
-    meeting = F.when(F.size(_tokens(ts)) <= SHORT_TITLE, _crossed(weak, weak)).otherwise(_single(weak))
-    rk = rights.withColumn("k", F.explode(F.array_distinct(F.concat(strong_keys(ts), meeting))))
-    scored = (
-        lk.join(rk, [group, "k"])
-        .select(group, "la", "lb", "title_pos", (name_score(ts, la) + name_score(ts, lb)).alias("score"))
-        .filter(F.col("score") >= THRESHOLD)
+    sides = {"a": F.col("la"), "b": F.col("lb")}
+    entries = F.concat(*[_entries(slug, side) for side, slug in sides.items()])
+    lk = kinds.select("*", F.inline(entries))
+    rk = rights.select(group, "title_pos", F.inline(_entries(F.col("ts"), "t"))).drop("side")
+    # One name meets one title on a word at most once; the last word and the whole are words of their own.
+    met = lk.join(rk, [group, "key"]).groupBy(group, "la", "lb", "title_pos").agg(
+        *[
+            F.count_if((F.col("side") == side) & F.col("key").startswith(mark)).alias(f"{side}_{name}")
+            for side in sides for name, mark in (("words", "+"), ("last", ".") , ("whole", "="))
+        ]
+    )
+    total = sum(
+        score_of_parts(F.col(f"{s}_whole") > 0, F.col(f"{s}_last") > 0, F.col(f"{s}_words")) for s in sides
+    )
+    scored = met.select(group, "la", "lb", "title_pos", total.cast("int").alias("score")).filter(
+        F.col("score") >= THRESHOLD
     )
     best = keep_first(
         scored, [group, "la", "lb"], [F.col("score").desc(), F.col("title_pos").asc()]
     )
     return lefts.join(best, [group, "la", "lb"]).select(group, "left_pos", "title_pos", "score")
+
+
+def _entries(slug: Column, side: str) -> Column:
+    """Words, last word and whole slug as marked keys."""
+    keys = F.concat(
+        F.transform(_tokens(slug), lambda t: F.concat(F.lit("+"), t)),
+        F.array(F.concat(F.lit("."), last_of_slug(slug)), F.concat(F.lit("="), slug)),
+    )
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))

@@ -111,16 +111,16 @@ def test_greedy_matching_against_a_plain_loop(spark):
     lhs = spark.createDataFrame(left, "g int, left_pos int, a_name string, b_name string")
     rhs = spark.createDataFrame(right, "g int, right_pos int, a_name string, b_name string")
     expected = greedy(left, right)
-    for limits in ({}, {"fold_pairs": 100, "chunks": 5}, {"fold_pairs": 450}):
+    for limits in ({}, {"batch": 100, "chunks": 5}):
         assert sorted(tuple(r) for r in greedy_one_to_one(lhs, rhs, "g", **limits).collect()) == expected
 
 
-def test_copies_of_one_pair_settle_in_few_rounds(spark):
+def test_copies_of_one_pair_over_several_turns(spark):
     left = [(1, p, "ana silva", "bo kim") for p in range(300)]
     right = [(1, p, "bo kim", "ana silva") for p in range(250)]
     lhs = spark.createDataFrame(left, "g int, left_pos int, a_name string, b_name string")
     rhs = spark.createDataFrame(right, "g int, right_pos int, a_name string, b_name string")
-    got = greedy_one_to_one(lhs, rhs, "g", fold_pairs=10).collect()
+    got = greedy_one_to_one(lhs, rhs, "g", batch=150).collect()
     assert sorted((r.left_pos, r.right_pos) for r in got) == [(p, p) for p in range(250)]
 
 
