@@ -163,3 +163,23 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
         .withColumn("rows", F.when(F.col("kind") == "changed", changed).otherwise(whole))
         .select(key, "kind", F.inline("rows"))
     )
+
+
+def diff_document(diff: DataFrame, groups: DataFrame, group: str, key: str) -> DataFrame:
+    """One row per group of ``groups``: what ``snapshot_diff`` rows say about it.
+
+    ``diff`` carries the group next to the columns of ``snapshot_diff``. The summary lists the
+    changed fields by name, so it is bounded by their number; the rows themselves stay in ``diff``.
+    """
+    kind = F.col("kind")
+    found = diff.groupBy(group).agg(
+        F.count_if(kind == "added").alias("n_added"),
+        F.count_if(kind == "removed").alias("n_removed"),
+        F.count_distinct(F.when(kind == "changed", F.col(key))).alias("n_changed"),
+        F.array_join(F.sort_array(F.collect_set(F.when(kind == "changed", F.col("field")))), ",").alias("summary"),
+    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_added", "n_removed", "n_changed")]
+    return groups.join(found, group, "left").select(
+        group, F.col("summary").isNotNull().alias("is_changed"), *counts,
+        F.coalesce("summary", F.lit("")).alias("summary"),
+    )

@@ -67,8 +67,14 @@ def best_link(links: Column, html: Column, a_last: Column, b_last: Column, day:
     return F.coalesce(first, second)
 
 
-def title_matches(title_slug: Column, a_last: Column, b_last: Column) -> Column:
-    return F.contains(title_slug, a_last) & F.contains(title_slug, b_last)
+def title_matches(
+    title_slug: Column, a_last: Column, b_last: Column, event_slug: Column | None = None
+) -> Column:
+    """Both last names of the main bout are in the title; of an event without bouts, its own slug."""
+    pair = F.contains(title_slug, a_last) & F.contains(title_slug, b_last)
+    if event_slug is None:
+        return pair
+    return F.when(a_last.isNull() & b_last.isNull(), F.contains(title_slug, event_slug)).otherwise(pair)
 
 
 def best_article(found: DataFrame) -> DataFrame:

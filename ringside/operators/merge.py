@@ -42,6 +42,19 @@ def fallback_merge(existing: DataFrame, fallback: DataFrame, group: str) -> Data
     )
 
 
+def merge_coverage(merged: DataFrame, group: str, tag: str) -> DataFrame:
+    """Per group of ``fallback_merge``: rows matched, added and left over, and the source with its tag.
+
+    ``tag`` names the fallback; groups the fallback says nothing about keep their source as it is.
+    """
+    counts = [F.count_if(F.col("how") == how).alias(how) for how in ("matched", "added", "leftover")]
+    per_group = merged.groupBy(group).agg(*counts, F.count(F.lit(1)).alias("confirmed"))
+    own = F.lit("main")
+    return per_group.withColumn(
+        "source", F.when(F.col("matched") + F.col("added") > 0, tag_once(own, tag)).otherwise(own)
+    )
+
+
 def _merged(df, group, how, part, place, own, fill) -> DataFrame:
     return df.select(
         group, F.lit(how).alias("how"), F.lit(part).alias("part"), F.col(place).alias("place"),

@@ -153,6 +153,32 @@ def comment_history(spark, d):
     )
 
 
+@query("comment_updates", f"""WITH {_COMMENTS}, n AS (SELECT record_id, count(*) AS n_comments, max(created) AS latest FROM comments GROUP BY record_id)
+SELECT doc_id AS record_id, coalesce(n_comments, 0) AS n_comments,
+  {q.iso_seconds("coalesce(latest, TIMESTAMP '2024-01-01' + to_minutes(doc_id))")} AS updated_at
+FROM documents LEFT JOIN n ON record_id = doc_id""")
+def comment_updates(spark, d):
+    """every record, with or without comments"""
+    counts = comments(spark, d).groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("created").alias("latest")
+    )
+    created = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=c("doc_id").cast("int"))
+    records = table(spark, d, "documents").select(c("doc_id").alias("record_id"), created.alias("made"))
+    return records.join(counts, "record_id", "left").select(
+        "record_id", F.coalesce("n", F.lit(0)).alias("n_comments"),
+        dates.iso_seconds(F.coalesce("latest", "made")).alias("updated_at"),
+    )
+
+
+@query("comment_log", f"""WITH {_COMMENTS}
+SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY turn, author, text) AS pos, turn, author, md5(text) AS text_hash FROM comments""")
+def comment_log(spark, d):
+    """the ordered history, one row a comment; long histories are split over their order"""
+    rows = comments(spark, d).select("record_id", "turn", "author", "text")
+    placed = running(rows, ["record_id"], ["turn", "author", "text"], {"pos": Running("sum", F.lit(1))})
+    return placed.select("record_id", big(c("pos")).alias("pos"), "turn", "author", F.md5("text").alias("text_hash"))
+
+
 @query("last_n", f"""WITH {_COMMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY turn DESC) AS back,
   count(*) OVER (PARTITION BY record_id) AS n FROM comments)
 SELECT record_id, least(n, 5) - back + 1 AS pos, turn, author, md5(text) AS text_hash FROM r WHERE back <= 5""")

@@ -102,13 +102,16 @@ fb AS (SELECT card, row_index AS pos, 'f' || bout_key AS bout_id, a_name, b_name
   FROM odds WHERE bout_key % 5 <> 1)"""
 
 
-@query("fallback_merge", f"""WITH RECURSIVE {_MERGE}, {_cand('fb', 'ex', 'pos', 'pos')}, {_walk('fb', '11')},
+_MERGED = f"""WITH RECURSIVE {_MERGE}, {_cand('fb', 'ex', 'pos', 'pos')}, {_walk('fb', '11')},
 m AS (SELECT fb.card, fb.pos AS fpos, a.rpos AS epos FROM fb LEFT JOIN assigned a ON a.card = fb.card AND a.lpos = fb.pos)
 SELECT coalesce(m.card, ex.card) AS card, CASE WHEN m.card IS NULL THEN 'leftover' WHEN ex.card IS NULL THEN 'added' ELSE 'matched' END AS how,
   CASE WHEN m.card IS NULL THEN 1 ELSE 0 END::BIGINT AS part, coalesce(m.fpos, ex.pos) AS place, coalesce(ex.bout_id, fb.bout_id) AS bout_id,
   coalesce(ex.a_name, fb.a_name) AS a_name, coalesce(ex.b_name, fb.b_name) AS b_name,
   coalesce(nullif(ex.weight_class, 'n/a'), fb.weight_class) AS weight_class, coalesce(nullif(ex.card_segment, 'n/a'), fb.card_segment) AS card_segment
-FROM m FULL JOIN ex ON ex.card = m.card AND ex.pos = m.epos LEFT JOIN fb ON fb.card = m.card AND fb.pos = m.fpos""")
+FROM m FULL JOIN ex ON ex.card = m.card AND ex.pos = m.epos LEFT JOIN fb ON fb.card = m.card AND fb.pos = m.fpos"""
+
+
+@query("fallback_merge", _MERGED)
 def fallback_merge(spark, d):
     """E3, H3"""
     key = c("bout_key")
@@ -124,6 +127,14 @@ def fallback_merge(spark, d):
     return merge.fallback_merge(existing, fallback, "card").withColumn("part", big(c("part")))
 
 
+@query("merge_coverage", f"""SELECT card, count(*) FILTER (how = 'matched') AS matched, count(*) FILTER (how = 'added') AS added,
+  count(*) FILTER (how = 'leftover') AS leftover, count(*) AS confirmed,
+  CASE WHEN count(*) FILTER (how <> 'leftover') > 0 THEN 'main + official' ELSE 'main' END AS source FROM ({_MERGED}) GROUP BY card""")
+def merge_coverage(spark, d):
+    """F3 on the merged cards themselves"""
+    return merge.merge_coverage(fallback_merge(spark, d), "card", "official")
+
+
 # ---------------------------------------------------------------- discovery
 
 def _tok(x: str) -> str:
@@ -217,6 +228,20 @@ def title_contains(spark, d):
     return search_results(spark, d).filter(fits).select("card", "rank", "title")
 
 
+@query("title_of_event", f"""WITH {_POSTS}, named AS (SELECT card, a_name AS event_name FROM bouts WHERE pos = 3)
+SELECT card, rank, title FROM found LEFT JOIN named USING (card)
+WHERE CASE WHEN card % 2 = 0 THEN contains(slug, {q.slug('event_name')}) ELSE contains(slug, la) AND contains(slug, lb) END""")
+def title_of_event(spark, d):
+    """Of every other card no bout is known, only the name of the event"""
+    known = c("card") % 2 == 1
+    named = bouts(spark, d).filter(c("pos") == 3).select("card", c("a_name").alias("event_name"))
+    rows = search_results(spark, d).join(named, "card", "left")
+    fits = discovery.title_matches(
+        text.slug_ascii(c("title")), F.when(known, c("a_last")), F.when(known, c("b_last")), text.slug_ascii(c("event_name"))
+    )
+    return rows.filter(fits).select("card", "rank", "title")
+
+
 @query("best_article", f"""WITH {_POSTS},
 f AS (SELECT *, row_number() OVER (PARTITION BY card, post_id ORDER BY term_ord, rank) AS seen FROM found WHERE post_id <> 0),
 g AS (SELECT *, row_number() OVER (PARTITION BY card ORDER BY date_gmt DESC, term_ord, rank) AS rn FROM f

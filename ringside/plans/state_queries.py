@@ -124,3 +124,35 @@ def snapshot_diff(spark, d):
         F.when(key % 20 == 7, F.concat(c("o_orderpriority"), F.lit("!"))).otherwise(F.concat(c("o_orderpriority"), F.lit("  "))),
     )
     return changes.snapshot_diff(old, new, "o_orderkey", ["status", "priority"])
+
+
+@query("diff_document", """WITH p AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus AS s0,
+  CASE WHEN o_orderkey % 10 = 7 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s1,
+  CAST(floor(o_totalprice / 100) AS BIGINT) AS t0, CAST(floor((o_totalprice + CASE WHEN o_orderkey % 10 = 1 THEN 30 ELSE 0 END) / 100) AS BIGINT) AS t1 FROM orders),
+f AS (SELECT *, (k % 10 NOT IN (3, 5) AND s0 <> s1) AS ds, (k % 10 NOT IN (3, 5) AND t0 <> t1) AS dt FROM p)
+SELECT o_custkey, bool_or(k % 10 IN (3, 5) OR ds OR dt) AS is_changed, count(*) FILTER (k % 10 = 5) AS n_added,
+  count(*) FILTER (k % 10 IN (3, 5)) AS n_removed, count(*) FILTER (ds OR dt) AS n_changed,
+  CASE WHEN bool_or(ds) AND bool_or(dt) THEN 'status,total' WHEN bool_or(ds) THEN 'status' WHEN bool_or(dt) THEN 'total' ELSE '' END AS summary
+FROM f GROUP BY o_custkey""")
+def diff_document(spark, d):
+    """Per customer what became of the orders; totals count by their step of 100"""
+    key, total = c("o_orderkey"), c("o_totalprice")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+    def snap(df, k, status, amount):
+        return df.select(
+            k.alias("o_orderkey"), "o_custkey", status.alias("status"), F.floor(amount / 100).alias("total")
+        )
+
+    old = snap(orders, key, c("o_orderstatus"), total)
+    new = snap(
+        orders.filter(key % 10 != 3), F.when(key % 10 == 5, -key).otherwise(key),
+        F.when(key % 10 == 7, F.lower("o_orderstatus")).otherwise(c("o_orderstatus")),
+        total + F.when(key % 10 == 1, 30).otherwise(0),
+    )
+    diff = changes.snapshot_diff(old, new, "o_orderkey", ["status", "total"])
+    owners = orders.select("o_orderkey", "o_custkey")
+    owned = diff.withColumn("owner", F.abs("o_orderkey")).join(
+        owners.withColumnRenamed("o_orderkey", "owner"), "owner"
+    )
+    return changes.diff_document(owned, owners.select("o_custkey").distinct(), "o_custkey", "o_orderkey")
