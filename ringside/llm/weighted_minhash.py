@@ -8,13 +8,17 @@ bounded and its resolution, as a share of the documents, is the same at every si
 * Each of BANDS x ROWS samples is an improved consistent weighted sample (Gamma-distributed r and c and a uniform beta,
   drawn from the shingle's hash): two texts share a sample with a probability equal to their weighted Jaccard
   similarity. At 0.8 a pair misses all of 12 bands of 3 rows with probability 0.0002.
-* In a band bucket the member that shares most samples with the others leads; members that share at least LIKELY of all
-  samples with a leader follow it, all others become leaders in turn. Followers are verified against their leaders by
-  their exact weighted Jaccard similarity. Those that no leader matches go through further rounds among themselves, in
-  which a leader must share more samples to be followed, as LIKELY lists; a pair at 0.8 shares fewer than the first bound
-  with a probability under 0.001, and each pair has a chance in every band. Buckets of more than PART members are led
-  part by part, and then the parts' leaders are compared: no bucket is expanded into all its pairs, none is capped, none
-  sits in one task.
+* First, in a band bucket the member that shares most samples with the others leads; members that share at least LIKELY
+  of all samples with a leader follow it, all others become leaders in turn. Buckets of more than PART members are led
+  part by part, and then the parts' leaders are compared. Followers are verified against their leaders by their exact
+  weighted Jaccard similarity, and the verified links join most of a group.
+* Then every bucket that still holds different components is gone through whole. Each member walks its near members
+  (LIKELY equal samples or more) of other components, the nearest first, and gets them verified some at a time; what
+  has become one component meanwhile is passed over. It remembers how far it came, so each round goes on where the last
+  one ended, with four times as many, until no member has anything left. A pair is met in the first band that it shares.
+  Members outside a bucket's largest component also visit its other parts, so two members of one bucket are always
+  compared unless they are known to be connected. A pair at 0.8 shares fewer than LIKELY samples with a probability
+  under 0.001. Work grows with the near pairs that turn out not similar; no bucket is capped, none sits in one task.
 * Classes are the connected components of the verified links.
 
 Defined results: a text of fewer than five words has no shingle and is similar to its exact copies only; null, empty
@@ -36,8 +40,10 @@ from .common import BASE, U64, Words, bodies, components, kept_table, mix, text_
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-#: Equal samples (of 36) from which two texts of a bucket are worth an exact comparison, round by round.
-LIKELY = (20, 23, 26, 29)
+#: Equal samples (of 36) from which two texts of a bucket are worth an exact comparison.
+LIKELY = 20
+#: Near members that one member gets verified in the first round after the leaders; each further round takes GROWTH times more.
+FIRST, GROWTH = 4, 4
 #: Members of a bucket that the centre is measured against.
 _PROBES = 64
 PART = 4096
@@ -267,22 +273,87 @@ def _between(likely: int):
     return lambda batches: _stretches(batches, ["band", "one", "two"], work)
 
 
-def _candidates(rows: DataFrame, likely: int) -> DataFrame:
-    """(band, a, b) pairs to verify among ``rows`` (band, b, samples)."""
-    counts = rows.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).where(
-        "n > 1").drop("n")
-    parted = rows.join(kept_table(counts, "icws-counts"), "band").withColumn(
-        "part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+def _candidates(parted: DataFrame, likely: int) -> DataFrame:
+    """(a, b) pairs of leaders and followers among ``parted`` (band, part, parts, b, samples)."""
     led = kept_table(parted.repartition("band", "part").sortWithinPartitions("band", "part", "b").select(
         "band", "part", "parts", "b", "samples").mapInArrow(_led(likely), _LED), "icws-led")
     leaders = led.where("a is null").select("band", "part", "b", "samples").join(
-        counts.where("parts > 1"), "band")
+        parted.where("parts > 1").select("band", "parts").distinct(), "band")
     # every leader meets the leaders of the other parts of its bucket, one pair of parts at a time
     tiles = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part").select(
         "band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "b", "samples")
     across = tiles.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two", "part", "b").mapInArrow(
         _between(likely), _LED)
-    return kept_table(led.where("a is not null").union(across).select("band", "a", "b"), "icws-pairs")
+    return kept_table(led.where("a is not null").union(across).select("a", "b").distinct(), "icws-pairs")
+
+
+_STEP = "band long, part int, b long, near int, target long, targets array<long>"
+
+
+def ahead(drawn: np.ndarray, ids: np.ndarray, roots: np.ndarray, home: np.ndarray, reached: np.ndarray,
+          target: np.ndarray, band: int, take: int, likely: int):
+    """Next targets of every row of a bucket part: (row, shared samples of the last one, its id, target ids).
+
+    Rows at ``home`` are compared among each other, the visitors with those at home. A row goes from most to fewest
+    shared samples and by id, on from (``reached``, ``target``); rows without any target left are not listed.
+    """
+    number = int(np.argmax(band_keys(drawn[:1].astype(U64))[0] == band))
+    at_home, out = np.flatnonzero(home), []
+    for i in range(len(ids)):
+        # at home the larger id of a pair looks for the smaller
+        other = at_home[(roots[at_home] != roots[i]) & ((ids[at_home] < ids[i]) if home[i] else True)]
+        if not len(other):
+            continue
+        equal = drawn[other] == drawn[i]
+        shared = equal.sum(1)
+        open_ = (shared >= likely) & ((shared < reached[i]) | (shared == reached[i]) & (ids[other] > target[i]))
+        other, shared, equal = other[open_], shared[open_], equal[open_]
+        first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == number
+        other, shared = other[first], shared[first]
+        if len(other):
+            order = np.lexsort((ids[other], -shared))[:take]
+            out.append((i, int(shared[order[-1]]), int(ids[other[order[-1]]]), ids[other[order]].tolist()))
+    return out
+
+
+def _ahead(take: int, likely: int):
+    def work(rows, edges):
+        band, part, ids, roots, reached, target = (
+            rows[c].to_numpy() for c in ("band", "part", "b", "root", "near", "target"))
+        home, drawn, out = rows["home"].to_numpy(), _drawn(rows), []
+        for s, e in zip(edges, edges[1:], strict=False):
+            out += [(int(band[s]), int(part[s]), int(ids[s + i]), near, last, targets) for i, near, last, targets in ahead(
+                drawn[s:e], ids[s:e], roots[s:e], home[s:e], reached[s:e], target[s:e], int(band[s]), take, likely)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                          ["band", "part", "b", "near", "target", "targets"])
+
+    return lambda batches: _stretches(batches, ["band", "part"], work)
+
+
+def _next(parted: DataFrame, roots: DataFrame, reached: DataFrame | None, take: int, likely: int) -> DataFrame:
+    """The next targets of every member in buckets that hold different components, as _STEP says."""
+    rooted = kept_table(parted.join(roots.select(F.col("vertex").alias("b"), "root"), "b", "left").withColumn(
+        "root", F.coalesce("root", "b")), "icws-rooted")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    own = rooted.join(mixed, "band").withColumn("home", F.lit(True))
+    # outside the largest component of a bucket in parts, members also visit the other parts
+    largest = rooted.where("parts > 1").groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"))
+    away = own.where("parts > 1").join(largest, "band").where("root <> largest").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part").select(
+        *[F.col("other").alias("part") if c == "part" else F.lit(False).alias("home") if c == "home" else F.col(c)
+          for c in own.columns])
+    rows = own.unionByName(away)
+    if reached is None:
+        rows = rows.withColumn("near", F.lit(None).cast("int")).withColumn("target", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(reached, ["band", "part", "b"], "left")
+    rows = rows.select("band", "part", "b", "root", "home", F.coalesce("near", F.lit(BANDS * ROWS + 1)).alias("near"),
+                       F.coalesce("target", F.lit(-1).cast("long")).alias("target"), "samples")
+    return kept_table(rows.repartition("band", "part").sortWithinPartitions("band", "part", "b").mapInArrow(
+        _ahead(take, likely), _STEP), "icws-next")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -298,28 +369,42 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     shared = kept_table(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "icws-shared")
     drawn = texts.select(F.col("rep").alias("b"), "samples")
     open_rows = kept_table(banded.join(shared, "band").join(drawn, "b").select("band", "b", "samples"), "icws-open")
-    links = texts_needed = None
-    for likely in LIKELY:
-        pairs = _candidates(open_rows, likely)
-        distinct = pairs.select("a", "b").distinct()
-        if texts_needed is None:
-            # later rounds stay among these documents
-            needed = distinct.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts_needed = kept_table(bodies(docs.join(needed, "doc_id", "left_semi"), "doc_id").groupBy("doc_id").agg(
-                F.first("body").alias("body")), "icws-bodies")
-        verified = kept_table(
-            distinct.join(texts_needed.select(F.col("doc_id").alias("a"), F.col("body").alias("one")), "a")
-            .join(texts_needed.select(F.col("doc_id").alias("b"), F.col("body").alias("other")), "b")
+    counts = kept_table(open_rows.groupBy("band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "icws-counts")
+    parted = kept_table(open_rows.join(counts, "band").withColumn(
+        "part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")), "icws-parted")
+    # pairs stay among these documents
+    needed = open_rows.select(F.col("b").alias("doc_id")).distinct()
+    compared = kept_table(bodies(docs.join(needed, "doc_id", "left_semi"), "doc_id").groupBy("doc_id").agg(
+        F.first("body").alias("body")), "icws-bodies")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return kept_table(
+            pairs.join(compared.select(F.col("doc_id").alias("a"), F.col("body").alias("one")), "a")
+            .join(compared.select(F.col("doc_id").alias("b"), F.col("body").alias("other")), "b")
             .select("a", "b", "one", "other")
-            .mapInArrow(_verifier(idf, threshold), "a long, b long, similar boolean"), "icws-verified")
-        found = verified.where("similar").select("a", "b")
-        links = found if links is None else links.union(found)
-        matched = pairs.join(verified, ["a", "b"]).groupBy("band", "b").agg(F.max("similar").alias("matched"))
-        left = matched.where("not matched").select("band", "b").join(drawn, "b").select("band", "b", "samples")
-        open_rows = kept_table(left, "icws-open")
-        if not open_rows.limit(1).count():
+            .mapInArrow(_verifier(idf, threshold), "a long, b long, similar boolean"), "icws-verified").where(
+            "similar").select("a", "b")
+
+    links = verified(_candidates(parted, LIKELY))
+    roots, reached, take = components(links, "icws"), None, FIRST
+    while True:
+        step = _next(parted, roots, reached, take, LIKELY)
+        pairs = kept_table(step.select("b", F.explode("targets").alias("a")).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "icws-pairs")
+        if not pairs.limit(1).count():
             break
-    roots = components(links, "icws")
+        found = verified(pairs)
+        if found.limit(1).count():
+            links = links.union(found)
+            roots = components(links, "icws")
+        came = step.select("band", "part", "b", "near", "target")
+        if reached is not None:
+            # the furthest point of each row: fewest shared samples, then the largest id
+            came = came.union(reached).groupBy("band", "part", "b").agg(
+                F.max(F.struct((-F.col("near")).alias("back"), "target")).alias("last")).select(
+                "band", "part", "b", (-F.col("last.back")).cast("int").alias("near"), F.col("last.target").alias("target"))
+        reached = kept_table(came, "icws-reached")
+        take *= GROWTH
     classes = texts.join(roots, F.col("rep") == F.col("vertex"), "left").select(
         "digest", F.coalesce("root", "rep").alias("class_id"))
     named = known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")

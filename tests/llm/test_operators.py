@@ -143,6 +143,23 @@ def test_leaders_take_the_centre_first():
     assert leaders[0] == 8 and {j for i, j in pairs if i == 8} == set(range(8))
 
 
+def test_a_star_in_many_parts_keeps_its_centre(spark, monkeypatch):
+    """Each text is similar to the base only; the base is in one part of every bucket."""
+    monkeypatch.setattr(weighted_minhash, "PART", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(250)]
+    texts = [list(base) for _ in range(31)]
+    for t in texts[1:]:
+        for k in rng.sample(range(10, 240, 10), 3):
+            t[k] = word()
+    fill = [[word() for _ in range(12)] for _ in range(700)]
+    data = [(i, " ".join(t)) for i, t in enumerate(texts + fill)]
+    got = by_id(weighted_minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)))
+    assert {got[i].class_id for i in range(31)} == {0}
+    assert all(got[i].class_id == i for i in range(31, len(data)))
+
+
 def brute_edit(p, t):
     row = [0] * (len(t) + 1)
     for i in range(1, len(p) + 1):
