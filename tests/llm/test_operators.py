@@ -160,6 +160,37 @@ def test_a_star_in_many_parts_keeps_its_centre(spark, monkeypatch):
     assert all(got[i].class_id == i for i in range(31, len(data)))
 
 
+def test_chains_of_similar_texts_are_followed_to_their_end(spark):
+    """Neighbours of a chain are at 0.85, others under 0.75: each link has to be found."""
+    rng = random.Random(12)
+    data, want = [], {}
+    for chain in range(12):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(300 + 24 * 40)]
+        for k in range(40):
+            data.append((chain * 100 + k, " ".join(words[24 * k : 24 * k + 300])))
+            want[chain * 100 + k] = chain * 100
+    rng.shuffle(data)
+    got = by_id(weighted_minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4)))
+    assert {i: r.class_id for i, r in got.items()} == want
+
+
+def test_members_walk_their_near_members_to_the_end():
+    drawn = np.tile(np.arange(36, dtype=np.uint32), (8, 1))
+    for i in range(1, 8):
+        drawn[i, 36 - i :] = 100 * i
+    ids, home = np.arange(8), np.ones(8, bool)
+    band = int(weighted_minhash.band_keys(drawn[:1].astype(np.uint64))[0][0])
+    reached, target, met = np.full(8, 37), np.full(8, -1), []
+    while True:
+        step = weighted_minhash.ahead(drawn, ids, np.array([0, 1, 2, 2, 4, 5, 6, 7]), home, reached, target, band, 2, 20)
+        if not step:
+            break
+        for i, near, last, targets in step:
+            reached[i], target[i] = near, last
+            met += [(i, j) for j in targets]
+    assert sorted(met) == [(i, j) for i in range(8) for j in range(i) if (i, j) != (3, 2)]
+
+
 def brute_edit(p, t):
     row = [0] * (len(t) + 1)
     for i in range(1, len(p) + 1):
