@@ -1,7 +1,10 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Parts that are no article by their element or name (menus, footers, adverts, forms,
-notices, comments, scripts and so on) are taken out. Every remaining node has a density: its characters per tag, times
+A page becomes a tree of elements. Parts that are no article by their element, role or name (menus, footers, adverts,
+forms, notices, comments, scripts and so on) are taken out. Names count on block containers only, never on headings,
+paragraphs, inline elements and the like. A class outside ``article`` and ``main`` counts if one of its parts is listed; an id,
+and any name inside them, only if all its parts are listed or say no more than where a box stands, since such names are
+also those of sections ("side-effects"). Every remaining node has a density: its characters per tag, times
 the logarithm of its characters and tags over those inside links, in a base that grows with the node's and the body's
 share of link text (Sun, Song and Liao, 2011; the base is kept above e, so that a body without links has one too). The
 sum of its children's densities is a node's score. The smallest density on the path from the best-scored node up to the
@@ -28,10 +31,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml".split())
 NO_ARTICLE = frozenset(
     "nav footer aside form script style noscript template iframe object embed applet button select option input textarea "
-    "svg canvas math audio video map dialog menu head title fieldset datalist".split())
+    "svg canvas audio video map dialog menu head title fieldset datalist annotation annotation-xml".split())
+#: What may stand in a head without ending it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements whose class or id can take them out.
+CONTAINERS = frozenset("div section ul ol dl table tbody thead tfoot tr td header center".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -42,27 +51,40 @@ NO_ARTICLE_NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar side aside footer foot comment comments disqus respond replies cookie cookies consent "
     "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended widget toolbar pager pagination masthead skip".split())
+#: Parts of names that only say what kind of box stands where.
+BOX_NAMES = frozenset(
+    "area bar block body bottom box button buttons container content footer form group header icons inner item items left "
+    "link links list main outer panel post posts primary right row secondary section site slot stories top unit wrap wrapper "
+    "".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*+>|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?")
 _PARTS = re.compile(r"[^a-z]+")
 
 
+def _names_no_article(value: str, whole: bool) -> bool:
+    for name in value.split():
+        parts = set(_PARTS.split(name)) - {""}
+        if not NO_ARTICLE_NAMES.isdisjoint(parts) and (not whole or parts <= NO_ARTICLE_NAMES | BOX_NAMES):
+            return True
+    return False
+
+
 def _foreign(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in NO_ARTICLE or tag == "header" and not inside_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        kind = m[1].lower()
-        if kind == "hidden" or kind == "role" and value in NO_ARTICLE_ROLES:
-            return True
-        if kind in ("class", "id") and not NO_ARTICLE_NAMES.isdisjoint(_PARTS.split(value)):
-            return True
-    return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    if "hidden" in found or found.get("role", "").strip() in NO_ARTICLE_ROLES:
+        return True
+    if tag not in CONTAINERS and "-" not in tag:
+        return False
+    return _names_no_article(found.get("class", ""), inside_article) or _names_no_article(found.get("id", ""), True)
 
 
 def main_text(page: str | None) -> str:
@@ -74,6 +96,8 @@ def main_text(page: str | None) -> str:
     stack, at, raw = [0], 0, None
 
     def text(end: int) -> None:
+        if tags[stack[-1]] == "head" and page[at:end].strip():
+            close(len(stack) - 1)
         node = stack[-1]
         if end > at and not foreign[node]:
             value = entities.unescape(page[at:end])
@@ -110,7 +134,14 @@ def main_text(page: str | None) -> str:
                 if tag not in INLINE:
                     pieces.append((-1, ""))
             continue
-        if tag in ("html", "body"):
+        if tag == "body":
+            for k in range(1, len(stack)):
+                if tags[stack[k]] == "head":
+                    close(k)
+                    break
+        elif tags[stack[-1]] == "head" and tag not in IN_HEAD and tag != "html":
+            close(len(stack) - 1)
+        if tag in ("html", "body") or tag == "head" and len(tags) > 1:
             continue
         if tag == "br":
             pieces.append((stack[-1], " "))

@@ -293,6 +293,27 @@ def test_page_text():
     assert html_density.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_page_text_keeps_articles_whose_attributes_name_other_things():
+    text = html_density.main_text
+    body = "<p>The first paragraph of the article, long enough.</p>"
+    want = "The first paragraph of the article, long enough."
+    for tag in ('<div style="overflow: hidden">', '<div title="the hidden valley">', "<div data-x='a hidden b' class=story>",
+                '<div title="x class=ad">'):
+        assert text(f"<body>{tag}{body}</div>") == want, tag
+    for tag in ("<div hidden>", "<div id=a hidden=''>", "<div HIDDEN>", "<div class=ad>", '<div title="x"class="ad">',
+                '<div class="share-buttons">', "<section id=comments>", "<div role=navigation>"):
+        assert text(f"<body><article>{body}</article>{tag}<p>Other words here.</p>") == want, tag
+    # a head without an end tag ends where the body begins
+    for start in ("<head><title>t</title><body>", "<html><head><meta charset=x><title>t</title>", "<head><style>a{}</style><body class=x>"):
+        assert text(start + body) == want, start
+    assert text("<head><title>t</title>Only words") == "Only words"
+    for name in ("side-effects", "related-work", "share-buybacks", "skip-lists"):
+        assert text(f'<article>{body}<h2 id="{name}">Heading</h2><p id="{name}-1">More.</p></article>') == f"{want}\n\nHeading\n\nMore."
+        for outer in ("article", "div"):
+            assert text(f'<{outer}><section id="{name}"><h2>Heading</h2>{body}</section></{outer}>') == f"Heading\n\n{want}"
+    assert text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here.</p></article>") == "So x=2 holds here."
+
+
 def test_page_text_equals_the_articles(spark, sf_dir):
     import html as entities
 
