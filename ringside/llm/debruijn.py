@@ -5,7 +5,8 @@ one. Consecutive edges with one minimizer (see ``windows``) are a path, the form
 up to WINDOW - GRAM + 1 of them. In a bucket where all paths are equal the path does not branch, is compacted to one row
 by its first source, and a join gives that source to every copy. Paths of the other buckets branch there or end early:
 they are compacted to one row per different path and opened into edges, which meet by hash and get their smallest
-document. Paths and edges that repeat are glued into maximal spans in each document by their source coordinates, and
+document. A path that a document holds again is not opened again: it loses the edges that its first occurrence there
+loses. Paths and edges that repeat are glued into maximal spans in each document by their source coordinates, and
 every span is verified to lie on windows of that document.
 
 A word goes if a window that covers it also starts in a document with a smaller id.
@@ -33,7 +34,7 @@ KIND = Kind("debruijn", WINDOW, GRAM, words=True)
 
 
 def _edges(batches):
-    """Open paths as single edges: doc_id, low, bucket, hash."""
+    """Open paths as single edges: doc_id, path (where it begins), low, bucket, hash."""
     for part, texts in text_batches(batches):
         words = Words(texts)
         rolling = Rolling(words.hash)
@@ -48,21 +49,27 @@ def _edges(batches):
         fits = start + WINDOW <= words.first[owner[at] + 1]
         at, place, start = at[fits], place[fits], start[fits]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0).take(pa.array(owner[at])), pa.array(place, pa.int32()), pa.array(bucket[at]),
-             pa.array(rolling.span(start, start + WINDOW).view(np.int64))], ["doc_id", "low", "bucket", "hash"])
+            [part.column(0).take(pa.array(owner[at])), pa.array(low[at], pa.int32()), pa.array(place, pa.int32()),
+             pa.array(bucket[at]), pa.array(rolling.span(start, start + WINDOW).view(np.int64))],
+            ["doc_id", "path", "low", "bucket", "hash"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """Runs of windows that also start in a document with a smaller id: doc_id, low, n."""
     shared = shared_runs(docs.select("doc_id", "text"), KIND)
-    certain = shared.certain.where(F.col("first.doc_id") < F.col("doc_id")).select("doc_id", "low", "n")
+    copies = kept_table(shared.certain.where(F.col("first.doc_id") <= F.col("doc_id")).select(
+        "doc_id", "low", "n", F.col("first.doc_id").alias("source"), F.col("first.low").alias("path")), "debruijn-copies")
+    certain = copies.where("source < doc_id").select("doc_id", "low", "n")
     edges = kept_table(with_texts(docs, shared.open).mapInArrow(
-        _edges, "doc_id long, low int, bucket long, hash long"), "debruijn-edges")
+        _edges, "doc_id long, path int, low int, bucket long, hash long"), "debruijn-edges")
     sources = edges.groupBy("bucket", "hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where(
         "source < last").select("bucket", "hash", "source")
-    opened = edges.join(sources, ["bucket", "hash"]).where("source < doc_id").select(
-        "doc_id", "low", F.lit(1).alias("n"))
-    return certain.union(opened)
+    opened = kept_table(edges.join(sources, ["bucket", "hash"]).where("source < doc_id").select(
+        "doc_id", "path", "low"), "debruijn-opened")
+    # equal paths of the first one's own document
+    again = copies.where("source = doc_id").select("doc_id", "path", F.col("low").alias("start")).distinct()
+    same = opened.join(again, ["doc_id", "path"]).select("doc_id", (F.col("start") + F.col("low") - F.col("path")).alias("low"))
+    return certain.union(opened.select("doc_id", "low").union(same).select("doc_id", "low", F.lit(1).alias("n")))
 
 
 def _cut(keep: bool):

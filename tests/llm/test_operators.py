@@ -110,6 +110,20 @@ def test_debruijn_removes_what_brute_force_removes(docs, rows):
         assert r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_debruijn_removes_a_passage_pasted_twice(spark):
+    """The second passage in one context is an equal path of the same document."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    data, lost = [], {}
+    for k in range(10):
+        passage, before, after = say(52 + 6 * k), say(60), say(60)
+        data += [(10 * k + 1, say(70) + " " + passage + " " + say(70)),
+                 (10 * k + 3, " ".join([before, passage, after, before, passage, after]))]
+        lost |= {10 * k + 1: 0, 10 * k + 3: 2 * (52 + 6 * k)}
+    got = by_id(debruijn.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)))
+    assert {i: r.n_removed for i, r in got.items()} == lost
+
+
 def test_near_duplicates_are_the_components_of_similar_texts(spark, docs, rows):
     classes = {}
     for r in weighted_minhash.near_duplicates(docs).collect():
