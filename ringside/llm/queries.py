@@ -4,9 +4,11 @@ from . import (
     debruijn,
     decontam,
     html_density,
+    merkle,
     mixing,
     quality,
     secrets,
+    sharding,
     subspace_join,
     suffix_sort,
     tokens,
@@ -24,7 +26,12 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_quality_discriminant": quality.query,
     "op10_weighted_minhash": weighted_minhash.query,
+    "op11_merkle_witness": merkle.query,
+    "op13_rendezvous": sharding.query,
 }
 
 #: Encoding, walks, samples, suffix ranks and fitted scores have no SQL form; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_merkle_witness": merkle.ORACLE,
+    "op13_rendezvous": sharding.ORACLE,
+}
