@@ -1,6 +1,7 @@
 """Queries of the numbered operators and their SQL twins, for the driver's entry file."""
 
 from . import (
+    alignment,
     debruijn,
     decontam,
     html_density,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_discriminant": quality.query,
     "op10_weighted_minhash": weighted_minhash.query,
     "op11_merkle_witness": merkle.query,
+    "op12_asof_alignment": alignment.query,
     "op13_rendezvous": sharding.query,
 }
 
