@@ -35,22 +35,33 @@ def small_batches(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the rows survive lost executors and are not worked out twice.
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps are freed when the driver collects its garbage, so that is asked for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Shuffle files of the finished step are freed when the driver collects its garbage, so that is asked for here.
-    """
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the rows survive lost executors and are not worked out twice."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
     with small_batches(spark):
         df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows up to which a narrow table (a few fixed-width columns) goes to all tasks: some 10 MB.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has at most BROADCAST_ROWS rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,8 +130,14 @@ class Words:
         self.first = np.searchsorted(self.start, self.offset)
         self.counts = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.counts)
-        rolling = Rolling(BYTE_VALUES[self.data])
-        self.hash = rolling.span(self.start, self.end)
+        # every byte is mixed with its place in the word before it is added, so no arrangement of bytes cancels out
+        place = np.zeros(len(self.data), np.int64)
+        place[self.start] = self.start
+        np.maximum.accumulate(place, out=place)
+        np.subtract(np.arange(len(place)), place, out=place)
+        sums = np.zeros(len(place) + 1, U64)
+        np.cumsum(mix(BYTE_VALUES[self.data] + place.view(U64) * U64(BASE)), out=sums[1:])
+        self.hash = mix(sums[self.end] - sums[self.start] + (self.end - self.start).astype(U64) * U64(BASE))
 
 
 def text_batches(frames: Iterator, size: int = STEP) -> Iterator[tuple]:

@@ -148,13 +148,12 @@ def test_samples_agree_as_often_as_weighted_jaccard_says():
     assert abs(np.mean(agree)) < 0.03
 
 
-def test_leaders_take_the_centre_first():
+def test_the_centre_goes_first():
     base = np.arange(36, dtype=np.uint32)
     drawn = np.stack([base.copy() for _ in range(9)])
     for i in range(8):
         drawn[i, i : i + 9] = 1000 + 50 * i + np.arange(9)
-    leaders, pairs = weighted_minhash.lead(drawn, 26)
-    assert leaders[0] == 8 and {j for i, j in pairs if i == 8} == set(range(8))
+    assert weighted_minhash.central_first(drawn)[0] == 8
 
 
 def test_a_star_in_many_parts_keeps_its_centre(spark, monkeypatch):
@@ -188,21 +187,74 @@ def test_chains_of_similar_texts_are_followed_to_their_end(spark):
     assert {i: r.class_id for i, r in got.items()} == want
 
 
-def test_members_walk_their_near_members_to_the_end():
-    drawn = np.tile(np.arange(36, dtype=np.uint32), (8, 1))
-    for i in range(1, 8):
-        drawn[i, 36 - i :] = 100 * i
-    ids, home = np.arange(8), np.ones(8, bool)
-    band = int(weighted_minhash.band_keys(drawn[:1].astype(np.uint64))[0][0])
-    reached, target, met = np.full(8, 37), np.full(8, -1), []
-    while True:
-        step = weighted_minhash.ahead(drawn, ids, np.array([0, 1, 2, 2, 4, 5, 6, 7]), home, reached, target, band, 2, 20)
-        if not step:
-            break
-        for i, near, last, targets in step:
-            reached[i], target[i] = near, last
-            met += [(i, j) for j in targets]
-    assert sorted(met) == [(i, j) for i in range(8) for j in range(i) if (i, j) != (3, 2)]
+def packed_vector(words, rng):
+    hashes = np.sort(np.array([hash(w) & (1 << 62) - 1 for w in words], np.uint64))
+    counts = np.array([rng.randint(1, 3) for _ in words], np.uint8)
+    return bytes([1]) + hashes.astype("<u8").tobytes() + counts.tobytes(), dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+
+
+def test_exact_comparison_of_one_with_many():
+    rng = random.Random(21)
+    idf = np.random.default_rng(2).uniform(1, 8, weighted_minhash.FEATURES).astype(np.float32)
+    made = [packed_vector(rng.sample(range(60), rng.randint(1, 50)), rng) for _ in range(30)]
+    members = weighted_minhash.Members([m[0] for m in made], idf)
+    weight = [{h: c * float(idf[h & weighted_minhash.FEATURES - 1]) for h, c in m[1].items()} for m in made]
+    for i in range(30):
+        got = members.similarity(i, np.arange(30))
+        for j in range(30):
+            keys = weight[i].keys() | weight[j].keys()
+            low = sum(min(weight[i].get(k, 0), weight[j].get(k, 0)) for k in keys)
+            assert abs(got[j] - low / sum(max(weight[i].get(k, 0), weight[j].get(k, 0)) for k in keys)) < 1e-9
+
+
+def test_a_tile_joins_what_brute_force_joins():
+    """Links of a tile give the components of all its near and similar pairs, in fewer links than members."""
+    rng, nrng = random.Random(22), np.random.default_rng(3)
+    idf = np.ones(weighted_minhash.FEATURES, np.float32)
+    for turn in range(20):
+        n = 40
+        words = [rng.sample(range(200), 100)]
+        for _ in range(n - 1):
+            new = list(words[rng.randrange(len(words))])
+            for _ in range(rng.randint(2, 14)):
+                new[rng.randrange(len(new))] = rng.randrange(10_000)
+            words.append(list(dict.fromkeys(new)))
+        members = weighted_minhash.Members([
+            bytes([1]) + np.sort(np.array(w, np.uint64)).tobytes() + bytes([1]) * len(w) for w in words], idf)
+        drawn = np.tile(np.arange(36, dtype=np.uint32), (n, 1))
+        drawn[:, 3:] += (nrng.random((n, 33)) < 0.2) * nrng.integers(100, 10_000, (n, 33), dtype=np.uint32)
+        own = nrng.integers(0, 2, n) if turn % 2 else np.zeros(n, int)
+        far = nrng.random(n) < 0.7
+        band = int(weighted_minhash.band_keys(drawn[:1].astype(np.uint64))[0][0])
+        start = nrng.integers(0, n, n)
+        tile = weighted_minhash.Tile(band, start, drawn, own, far)
+        active = tile.active()
+        links = tile.links(members, 0.8)
+        assert len(links) < n and all(active[i] and active[j] for i, j in links)
+
+        def reach(pairs):
+            root = start.copy()  # noqa: B023
+            for _ in range(n):  # noqa: B023
+                for i, j in pairs:
+                    if root[i] != root[j]:
+                        root[root == root[i]] = root[j]
+            return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+        want = [(i, j) for i in range(n) for j in range(i) if (drawn[i] == drawn[j]).sum() >= 20
+                and (turn % 2 == 0 or own[i] != own[j] and (far[i] or far[j]))
+                and len(set(words[i]) & set(words[j])) / len(set(words[i]) | set(words[j])) >= 0.8]
+        assert reach(links) == reach(want)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rng = random.Random(23)
+    say = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(7)) for _ in range(60))
+    one, two = say(), say()
+    data = [(1, one, "x"), (2, one, "x"), (2, two, "x"), (3, two, "y"), (1, one, "z"), (4, None, None), (4, None, None), (None, one, "n")]
+    got = weighted_minhash.stage(spark, spark.createDataFrame(data, "doc_id long, text string, digest string"), "")
+    assert got.columns == ["doc_id", "text", "digest"]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == sorted([(1, one), (2, two), (4, ""), (4, ""), (0, one)])
 
 
 def brute_edit(p, t):
@@ -430,7 +482,7 @@ def test_rows_without_id(spark):
     df = spark.createDataFrame([(None, long), (None, long), (3, long), (4, long)], "doc_id long, text string")
     assert {r.n_removed for r in suffix_sort.dedup(df).where("doc_id is null").collect()} == {0}
     assert {r.n_removed for r in debruijn.dedup(df).where("doc_id is null").collect()} == {0}
-    got = [tuple(r) for r in weighted_minhash.near_duplicates(df).collect()]
+    got = [tuple(r) for r in weighted_minhash.near_duplicates(df).drop("digest").collect()]
     assert sorted(got, key=repr) == sorted([(None, None, True), (None, None, True), (3, 3, True), (4, 3, False)], key=repr)
 
 
