@@ -148,8 +148,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_of(table(spark, sf_dir, "events"))
 
 
-def runs_of(events: DataFrame) -> DataFrame:
-    """Monitor log: sign-ups open a window, everything else is an update run."""
+def runs_of(events: DataFrame, *further: Column) -> DataFrame:
+    """Monitor log: sign-ups open a window, everything else is an update run. ``further`` columns come along."""
     event_id, day = F.col("event_id"), F.to_date("ts")
     signup = F.col("event_type") == "signup"
     return events.select(
@@ -161,6 +161,7 @@ def runs_of(events: DataFrame) -> DataFrame:
         F.sha2(
             F.concat_ws("|", "event_type", two_digits(F.rint(F.col("value") / 50) * 50)), 256
         ).alias("hash"),
+        *further,
     )
 
 

@@ -35,8 +35,8 @@ def change_detect(spark, d):
 
 _OK = "(opened BETWEEN day + CAST((13 - isodow(day)) % 7 AS INTEGER) AND day + CAST((13 - isodow(day)) % 7 AS INTEGER) + 1)"
 
-def gate_sql(order: str = "seq") -> str:
-    return f"""WITH RECURSIVE {q.RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS rn FROM runs),
+def gate_sql(order: str = "seq", source: str = "runs") -> str:
+    return f"""WITH RECURSIVE {q.RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS rn FROM {source}),
 walk AS (
   SELECT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, '' AS kind, '' AS status, '' AS reason, CAST(NULL AS DATE) AS active, '' AS last_hash
   FROM (SELECT DISTINCT key FROM runs)

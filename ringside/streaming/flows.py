@@ -1,8 +1,7 @@
-"""Streaming flows: each micro-batch goes through the batch operators.
+"""Streaming flows: the inbox goes through the batch operators, keyed state is Spark's own.
 
-The batch operators are safe for hot keys and fix the order inside a batch, so
-a stream gives the rows its batch twin gives. Outputs are written per batch
-under its id; replaying a batch overwrites the same folder.
+Inbox outputs are written per batch under its id; replaying a batch overwrites the same folder. All other flows are
+stateful operators (``processors``) with a file sink, whose log makes a replayed batch count once.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ringside.operators import changes, routing
+from ringside.operators import routing
 from ringside.operators.topk import latest_state
-from ringside.session import cut_lineage
-from ringside.streaming.state_table import StateTable
+from ringside.streaming import processors
 
 c = F.col
 
@@ -100,114 +98,60 @@ def current_documents(spark: SparkSession, out: str) -> DataFrame:
 
 # ---------------------------------------------------------------- keyed state
 
-def latest_per_key(
-    stream: DataFrame, table: StateTable, order: list[str], checkpoint: str
-) -> StreamingQuery:
-    """Keyed state fed by a stream; ``order`` decides between old and new rows."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_state(batch, list(table.keys), order)
-        known = table.read(batch.sparkSession, batch_id).withColumn("fresh", F.lit(False))
-        touched = known.join(newest.select(*table.keys), list(table.keys), "left_semi")
-        merged = latest_state(
-            touched.unionByName(newest.withColumn("fresh", F.lit(True))), list(table.keys), order
+def drain_to(rows: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append what a stateful stream emits to Parquet, for all that has arrived since the last run."""
+    with processors.state_store(rows.sparkSession):
+        query = (
+            rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
         )
-        table.write(merged.filter("fresh").drop("fresh").withColumn("live", F.lit(True)), batch_id)
+    query.awaitTermination()
+    return query
 
-    return drain(stream, each, checkpoint)
 
+def latest_per_key(stream: DataFrame, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Keyed state fed by a stream; the table is ``processors.state_of(spark, checkpoint, "latest")``.
 
-#: Position of what the state brings back: before every run of the batch, whatever its number.
-FROM_STATE = -(2**63)
+    A batch reads and writes the state of its own keys only.
+    """
+    rows = processors.latest_rows(stream, keys, order)
+    with processors.state_store(stream.sparkSession):
+        query = (
+            rows.writeStream.format("noop").option("checkpointLocation", checkpoint)
+            .outputMode("update").trigger(availableNow=True).start()
+        )
+    query.awaitTermination()
+    return query
 
 
-def changed_only(runs: DataFrame, table: StateTable, out: str, checkpoint: str) -> StreamingQuery:
+def changed_only(runs: DataFrame, out: str, checkpoint: str, frames: bool = False) -> StreamingQuery:
     """Runs that differ from the last sent hash of their key.
 
     Runs go by arrival: batch by batch, and by seq inside a batch. A late run
     is therefore compared with what was sent last, not with its neighbour.
-    ``table`` keeps key, the highest seq so far and the hash sent last.
-    """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
-        keys = batch.select("key").distinct()
-        known = table.read(batch.sparkSession, batch_id).join(keys, "key", "left_semi")
-        before = known.select("key", "seq", "hash", F.lit("sent").alias("kind"), F.lit(FROM_STATE).alias("arrived"))
-        rows = before.unionByName(batch.select("key", "seq", "hash", "kind", c("seq").alias("arrived")))
-        changed = changes.changed_runs(rows, "arrived").filter(c("kind") != "sent")
-        emit(changed.select("key", "seq", "kind"), out, batch_id)
-        newest = rows.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("hash", "arrived").alias("hash"))
-        table.write(newest.withColumn("live", F.lit(True)), batch_id)
-
-    return drain(runs, each, checkpoint)
-
-
-def gate(runs: DataFrame, table: StateTable, out: str, checkpoint: str) -> StreamingQuery:
-    """Window gate over a stream of runs, by arrival as in ``changed_only``.
-
-    ``table`` keeps key, seq, opened_date and hash of each open window. An open
-    window comes back as a baseline run before the new ones.
     """
+    return drain_to(processors.emit_on_change(runs, frames), out, checkpoint)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
-        keys = batch.select("key").distinct()
-        windows = table.read(batch.sparkSession, batch_id).join(keys, "key", "left_semi")
-        before = windows.select(
-            "key", "seq", F.lit("baseline").alias("kind"),
-            F.date_sub("opened_date", 1).alias("run_date"), "opened_date", "hash", F.lit(FROM_STATE).alias("arrived"),
-        )
-        rows = cut_lineage(before.unionByName(batch.withColumn("arrived", c("seq")).select(*before.columns)))
-        judged = cut_lineage(changes.gate_runs(rows, "arrived"))
-        emit(judged.filter(c("arrived") > FROM_STATE).drop("arrived"), out, batch_id)
-        opened = latest_state(judged.filter(c("status") == "baseline_created"), ["key"], ["arrived"])
-        closed = judged.filter(c("reason").isin("window_over", "no_event")).groupBy("key").agg(
-            F.max("arrived").alias("closed_at")
-        )
-        last = rows.groupBy("key").agg(F.max_by("hash", "arrived").alias("hash"))
-        state = (
-            keys.join(opened.select("key", "arrived"), "key", "left")
-            .join(closed, "key", "left").join(last, "key", "left")
-            .join(rows.select("key", "arrived", "seq", "opened_date"), ["key", "arrived"], "left")
-            .select(
-                "key", "seq", "opened_date", "hash",
-                (c("arrived").isNotNull() & ~F.coalesce(c("closed_at") > c("arrived"), F.lit(False))).alias("live"),
-            )
-        )
-        table.write(state, batch_id)
 
-    return drain(runs, each, checkpoint)
+def gate(runs: DataFrame, at: str, out: str, checkpoint: str, delay: str = "0 seconds") -> StreamingQuery:
+    """Window gate over a stream of runs, by arrival as in ``changed_only``; ``at`` is their event time."""
+    return drain_to(processors.gate(runs, at, delay), out, checkpoint)
 
 
-def consume_matches(
-    events: DataFrame, table: StateTable, out: str, checkpoint: str, key: str, within_seconds: int
-) -> StreamingQuery:
+def consume_matches(events: DataFrame, out: str, checkpoint: str, key: str, within_seconds: int) -> StreamingQuery:
     """Texts take the newest open record of their key; each record serves once.
 
-    ``events`` and ``table`` have the key, event_id, ts and role (open or
-    text); the table keeps the records that still wait for a text.
+    ``events`` have the key, event_id, ts and role (open or text). State with
+    TTL goes by the clock, for which Spark plans batches without end when it
+    drains a stream; so a run is one batch here.
     """
+    tagged = events.withColumn("is_text", c("role") == "text")
+    return drain_to(processors.consume_matches(tagged, key, within_seconds), out, checkpoint, once=True)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
-        waiting = table.read(batch.sparkSession, batch_id)
-        keys = batch.select(key).distinct()
-        rows = cut_lineage(waiting.join(keys, key, "left_semi").unionByName(batch.select(*waiting.columns)))
-        role = c("role")
-        pairs = cut_lineage(
-            changes.consume_within(rows, key, role == "open", role == "text", within_seconds)
-        )
-        emit(pairs, out, batch_id)
-        newest = rows.groupBy(key).agg(F.max("ts").alias("newest_ts"))
-        taken = pairs.select(key, c("open_id").alias("event_id"), F.lit(True).alias("taken"))
-        state = (
-            rows.filter(role == "open").join(taken, [key, "event_id"], "left").join(newest, key)
-            .select(
-                *waiting.columns,
-                (c("taken").isNull() & (changes.seconds_between(c("newest_ts"), c("ts")) <= within_seconds)).alias("live"),
-            )
-        )
-        table.write(state, batch_id)
 
-    return drain(events, each, checkpoint)
+def pairs_within(
+    events: DataFrame, out: str, checkpoint: str, key: str, within_seconds: int, delay: str = "0 seconds"
+) -> StreamingQuery:
+    """Every text with the open records up to the bound before it, by a join of two streams."""
+    opened, texts = events.filter(c("role") == "open"), events.filter(c("role") == "text")
+    return drain_to(processors.pairs_within(opened, texts, key, within_seconds, delay), out, checkpoint)

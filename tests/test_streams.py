@@ -4,12 +4,9 @@ from pyspark.sql import functions as F
 
 from ringside.operators import changes
 from ringside.plans.adapters import runs_of, table
-from ringside.plans.stream_queries import next_batch
 from ringside.session import scratch_path
 from ringside.sources.keyed import write_files
-from ringside.streaming import flows
-from ringside.streaming.processors import emit_on_change
-from ringside.streaming.state_table import StateTable
+from ringside.streaming import flows, processors
 
 c = F.col
 
@@ -34,98 +31,125 @@ def in_three(spark, sf_dir, run):
     return events, root
 
 
-def test_changed_only(spark, sf_dir):
-    state = lambda root: StateTable(f"{root}/state", "key bigint, seq bigint, hash string", ("key",), period=2)
-    events, root = in_three(
-        spark, sf_dir, lambda s, r: flows.changed_only(runs_of(s), state(r), f"{r}/out", f"{r}/cp")
-    )
-    got = spark.read.parquet(f"{root}/out").select("key", "seq", "kind")
-    assert rows(got) == rows(changes.changed_runs(runs_of(events)).select("key", "seq", "kind"))
-
-
-def test_gate(spark, sf_dir):
-    schema = "key bigint, seq bigint, opened_date date, hash string"
-    events, root = in_three(
-        spark, sf_dir,
-        lambda s, r: flows.gate(runs_of(s), StateTable(f"{r}/state", schema, ("key",), period=2), f"{r}/out", f"{r}/cp"),
-    )
-    got = spark.read.parquet(f"{root}/out").select("key", "seq", "kind", "status", "reason")
-    assert rows(got) == rows(changes.gate_runs(runs_of(events)))
+def test_changed_only_in_rows_and_frames(spark, sf_dir):
+    for frames in (False, True):
+        events, root = in_three(
+            spark, sf_dir, lambda s, r: flows.changed_only(runs_of(s), f"{r}/out", f"{r}/cp", frames))  # noqa: B023
+        assert rows(spark.read.parquet(f"{root}/out")) == rows(
+            changes.changed_runs(runs_of(events)).select("key", "seq", "kind"))
 
 
-def test_consumed_matches(spark, sf_dir):
-    schema = "user_id bigint, event_id bigint, ts timestamp_ntz, role string"
-    role = F.when(c("event_type") == "error", "open").when(c("event_type") == "click", "text")
-
-    def run(stream, root):
-        tagged = stream.select("user_id", "event_id", "ts", role.alias("role")).filter(c("role").isNotNull())
-        state = StateTable(f"{root}/state", schema, ("user_id", "event_id"), period=2)
-        flows.consume_matches(tagged, state, f"{root}/out", f"{root}/cp", "user_id", 48 * 3600)
-
-    events, root = in_three(spark, sf_dir, run)
-    expected = changes.consume_within(
-        events, "user_id", c("event_type") == "error", c("event_type") == "click", 48 * 3600
-    )
-    assert rows(spark.read.parquet(f"{root}/out").select("user_id", "text_id", "open_id")) == rows(expected)
-
-
-def test_latest_per_key_and_replay(spark, sf_dir):
-    events, done = table(spark, sf_dir, "events"), []
-
-    def run(stream, root):
-        state = StateTable(f"{root}/state", "user_id bigint, event_id bigint, value double", ("user_id",), period=2)
-        done.append((state, flows.latest_per_key(
-            stream.select("user_id", "event_id", "value"), state, ["event_id"], f"{root}/cp")))
-
-    in_three(spark, sf_dir, run)
-    state, last = done[-1]
+def test_latest_per_key(spark, sf_dir):
+    events, root = in_three(spark, sf_dir, lambda s, r: flows.latest_per_key(
+        s.select("user_id", "event_id", "value"), ["user_id"], ["event_id"], f"{r}/cp"))
     expected = events.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
-    number = next_batch(last)
-    assert number == 3 and rows(state.read(spark, number)) == rows(expected)
-    again = state.read(spark, number).withColumn("live", F.lit(True))
-    state.write(again, number)
-    state.write(again, number)
-    assert rows(state.read(spark, number + 1)) == rows(expected)
+    assert rows(processors.state_of(spark, f"{root}/cp", "latest")) == rows(expected)
 
 
-def test_stateful_operator(spark, sf_dir):
-    def run(stream, root):
-        (
-            emit_on_change(runs_of(stream).select("key", "seq", "kind", "hash"))
-            .writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
-            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        )
-
-    events, root = in_three(spark, sf_dir, run)
-    assert rows(spark.read.parquet(f"{root}/out")) == rows(
-        changes.changed_runs(runs_of(events)).select("key", "seq", "kind")
-    )
+def test_a_batch_touches_the_state_of_its_own_keys_only(spark):
+    root = scratch_path(spark, "touched")
+    run = lambda: flows.latest_per_key(flows.parquet_stream(spark, f"{root}/in"), ["k"], ["at"], f"{root}/cp")
+    land = lambda data: spark.createDataFrame(data, "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    land([(k, 1, "old") for k in range(500)])
+    run()
+    land([(7, 2, "new"), (8, 0, "late"), (9, None, "no time")])
+    done = run()
+    state = [p["stateOperators"][0] for p in done.recentProgress if p["stateOperators"] and p["numInputRows"]]
+    assert sum(s["numRowsUpdated"] for s in state) == 1 and state[-1]["numRowsTotal"] == 500
+    got = {r.k: r.v for r in processors.state_of(spark, f"{root}/cp", "latest").collect()}
+    assert len(got) == 500 and got[7] == "new" and {got[k] for k in got if k != 7} == {"old"}
 
 
 def test_late_runs_meet_what_was_sent_last(spark):
     """By arrival: hash A at 10, then late runs 5 (A, unchanged) and 6 (B), then 11 (B, unchanged)."""
     root = scratch_path(spark, "late")
-    state = StateTable(f"{root}/state", "key bigint, seq bigint, hash string", ("key",))
     for rows in ([(1, 10, "A")], [(1, 5, "A"), (1, 6, "B")], [(1, 11, "B")]):
         df = spark.createDataFrame(rows, "key bigint, seq bigint, hash string").withColumn("kind", F.lit("incremental"))
         df.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        flows.changed_only(flows.parquet_stream(spark, f"{root}/in"), state, f"{root}/out", f"{root}/cp")
-    assert sorted(r.seq for r in spark.read.parquet(f"{root}/out").collect()) == [6, 10]
-    assert [tuple(r) for r in state.read(spark, 3).collect()] == [(1, 11, "B")]
+        flows.changed_only(flows.parquet_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/cp")
+    assert sorted(r.seq for r in spark.read.schema(processors.OUTPUT).parquet(f"{root}/out").collect()) == [6, 10]
+    assert [r.hash for r in processors.state_of(spark, f"{root}/cp", "last_hash").collect()] == ["B"]
 
 
-def test_a_late_update_finds_the_window_open(spark):
-    root = scratch_path(spark, "late-gate")
-    state = StateTable(f"{root}/state", "key bigint, seq bigint, opened_date date, hash string", ("key",))
-    for row in ((1, 10, "baseline", "2024-01-04", "2024-01-06", "A"), (1, 5, "incremental", "2024-01-04", None, "B")):
-        df = spark.createDataFrame([row], "key bigint, seq bigint, kind string, run_date string, opened_date string, hash string")
-        df = df.withColumn("run_date", c("run_date").cast("date")).withColumn("opened_date", c("opened_date").cast("date"))
+_RUNS = "key bigint, seq bigint, kind string, run_date string, opened_date string, hash string"
+
+
+def gated(spark, root, batches, delay="0 seconds"):
+    """Each batch in a run of its own; status and reason by seq."""
+    for batch in batches:
+        df = spark.createDataFrame(batch, _RUNS).select(
+            "key", "seq", "kind", c("run_date").cast("date").alias("run_date"), c("opened_date").cast("date").alias("opened_date"),
+            "hash", c("run_date").cast("timestamp").alias("at"))
         df.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        flows.gate(flows.parquet_stream(spark, f"{root}/in"), state, f"{root}/out", f"{root}/cp")
-    got = {r.seq: r.reason for r in spark.read.parquet(f"{root}/out").collect()}
+        flows.gate(flows.parquet_stream(spark, f"{root}/in"), "at", f"{root}/out", f"{root}/cp", delay)
+    return {r.seq: r.reason for r in spark.read.schema(processors.JUDGED).parquet(f"{root}/out").collect()}
+
+
+def test_a_late_update_finds_the_window_open(spark):
+    got = gated(spark, scratch_path(spark, "late-gate"), [
+        [(1, 10, "baseline", "2024-01-04", "2024-01-06", "A")], [(1, 5, "incremental", "2024-01-04", None, "B")]], "1 day")
     assert got == {10: "window_opened", 5: "new_hash"}
 
 
+def test_a_timer_closes_the_window_when_its_day_is_past(spark):
+    """Key 2 moves the watermark past the event of key 1; what key 1 is told afterwards is what the batch twin says."""
+    root = scratch_path(spark, "timer")
+    batches = [
+        [(1, 1, "baseline", "2024-01-04", "2024-01-06", "A"), (3, 2, "baseline", "2024-01-04", "2024-01-06", "A")],
+        [(2, 3, "baseline", "2024-01-08", "2024-01-13", "A")],
+        [(2, 4, "incremental", "2024-01-09", None, "A")],
+    ]
+    assert gated(spark, root, batches) == {1: "window_opened", 2: "window_opened", 3: "window_opened", 4: "same_hash"}
+    kept = [tuple(r) for r in processors.state_of(spark, f"{root}/cp", "window").collect()]
+    assert sorted(kept, key=str)[:2] == [(None, None, True)] * 2 and sum(k[2] for k in kept) == 2
+    got = gated(spark, root, [[(1, 5, "incremental", "2024-01-10", None, "B"), (1, 6, "incremental", "2024-01-10", None, "B"),
+                               (3, 7, "baseline", "2024-01-10", "2024-01-13", "C")],
+                              [(3, 8, "incremental", "2024-01-11", None, "C")]])
+    assert {k: got[k] for k in (5, 6, 7, 8)} == {5: "window_over", 6: "no_window", 7: "window_opened", 8: "same_hash"}
+    every = spark.createDataFrame([r for b in batches for r in b] + [
+        (1, 5, "incremental", "2024-01-10", None, "B"), (1, 6, "incremental", "2024-01-10", None, "B"),
+        (3, 7, "baseline", "2024-01-10", "2024-01-13", "C"), (3, 8, "incremental", "2024-01-11", None, "C")], _RUNS)
+    twin = changes.gate_runs(every.withColumn("run_date", c("run_date").cast("date")).withColumn(
+        "opened_date", c("opened_date").cast("date")))
+    assert {r.seq: r.reason for r in twin.collect()} == got
+
+
+def tagged(df):
+    role = F.when(c("event_type") == "error", "open").when(c("event_type") == "click", "text")
+    return df.select("user_id", "event_id", "ts", role.alias("role")).filter(c("role").isNotNull())
+
+
+def test_consumed_matches(spark, sf_dir):
+    def run(stream, root):
+        flows.consume_matches(tagged(stream), f"{root}/out", f"{root}/cp", "user_id", 48 * 3600)
+
+    events, root = in_three(spark, sf_dir, run)
+    expected = changes.consume_within(
+        events, "user_id", c("event_type") == "error", c("event_type") == "click", 48 * 3600
+    )
+    schema = "user_id bigint, text_id bigint, open_id bigint"
+    assert rows(spark.read.schema(schema).parquet(f"{root}/out")) == rows(expected)
+
+
+def test_interval_join_lets_go_of_what_no_text_can_reach(spark):
+    root = scratch_path(spark, "interval")
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    batches = [
+        [(1, 1, at(1, 0), "open"), (1, 2, at(1, 1), "open"), (1, 3, at(1, 2), "text"), (2, 4, at(1, 2), "text")],
+        [(1, 5, at(1, 3), "text"), (1, 6, at(3, 0), "open"), (2, 7, at(3, 0), "text")],
+        [(9, 8, at(9, 0), "open"), (9, 9, at(9, 0), "text")],
+    ]
+    for batch in batches:
+        df = spark.createDataFrame(batch, "user_id long, event_id long, ts string, role string")
+        df.withColumn("ts", c("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        done = flows.pairs_within(flows.parquet_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/cp", "user_id", 2 * 3600)
+    schema = "user_id bigint, text_id bigint, open_id bigint, open_ts timestamp"
+    got = {(r.text_id, r.open_id) for r in spark.read.schema(schema).parquet(f"{root}/out").collect()}
+    assert got == {(3, 1), (3, 2), (5, 2), (9, 8)}
+    held = [s["numRowsTotal"] for p in done.recentProgress for s in p["stateOperators"]]
+    assert held[-1] <= 2  # of ten rows only the last pair is still held
+
+
 def test_inbox_takes_each_file_once_in_bounded_batches(spark):
     root = scratch_path(spark, "test-inbox")
     good = '{\n  "project_key": "ufc-betting",\n  "title": "T",\n  "raw_input": "%s",\n  "remote_id": "%s",\n  "created_at": "2024-01-01T00:00:00"\n}'
