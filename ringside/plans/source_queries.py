@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ringside.functions import classify, dates, html, text
+from ringside.functions import classify, dates, html, nodes, text
 from ringside.operators import routing
-from ringside.operators.topk import first_then_filter
 from ringside.plans import sqltext as q
-from ringside.plans.adapters import big, odds, pick, records, table
+from ringside.plans.adapters import big, bouts, odds, pick, records, table
 from ringside.plans.catalog import query
 from ringside.registry import PROJECT_KEYS
 from ringside.session import scratch_path
-from ringside.sources import payload
+from ringside.sources import listings, payload
 from ringside.sources.keyed import read_keyed, write_files
 from ringside.sources.records import look_up, read_records, read_whole_texts, write_records
 
@@ -159,67 +158,93 @@ def page_links(spark, d):
     )
 
 
-@query("schedule_rows", """WITH t AS (SELECT o_orderkey, o_orderkey // 2 AS url_key, o_orderdate, o_orderpriority, strftime(o_orderdate, '%b') AS mon,
-  CAST(strftime(o_orderdate, '%d') AS INTEGER) AS dd, month(o_orderdate) AS mm FROM orders WHERE o_orderkey % 7 <> 6),
-f AS (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY o_orderkey) AS rn FROM t),
+def one_page(rows, key: str, order: str, piece, head: str, tail: str):
+    """One page per key: the pieces of its rows in order between head and tail. A page has a fixed number of rows."""
+    listed = rows.select(key, F.struct(order, piece.alias("piece")).alias("r_")).groupBy(key).agg(
+        F.array_sort(F.collect_list("r_")).alias("r_"))
+    body = F.array_join(F.transform("r_", lambda r: r["piece"]), "\n")
+    return listed.select(key, F.concat(F.lit(head), body, F.lit(tail)).alias("html"))
+
+
+@query("schedule_rows", """WITH t AS (SELECT o_orderkey, o_orderkey // 32 AS page, o_orderkey // 2 AS url_key, o_orderdate, o_orderpriority,
+  CAST(strftime(o_orderdate, '%d') AS INTEGER) AS dd, month(o_orderdate) AS mm FROM orders WHERE o_orderkey % 7 <> 6 AND o_orderkey % 13 <> 4),
+f AS (SELECT *, row_number() OVER (PARTITION BY page, url_key ORDER BY o_orderkey) AS rn FROM t),
 y AS (SELECT *, try_cast(printf('%04d-%02d-%02d', 1998, mm, dd) AS DATE) AS y0, try_cast(printf('%04d-%02d-%02d', 1999, mm, dd) AS DATE) AS y1 FROM f WHERE rn = 1)
-SELECT url_key, strftime(CASE WHEN y0 < DATE '1998-11-15' - 180 THEN y1 ELSE y0 END, '%Y-%m-%d') AS event_date, 'Event ' || o_orderkey AS event_name,
-  o_orderpriority AS location FROM y WHERE o_orderkey % 11 <> 0 AND CASE WHEN y0 < DATE '1998-11-15' - 180 THEN y1 ELSE y0 END IS NOT NULL""")
+SELECT page, 'https://www.example.com/mma/fightcenter/_/id/' || url_key AS event_url,
+  strftime(CASE WHEN y0 < DATE '1998-11-15' - 180 THEN y1 ELSE y0 END, '%Y-%m-%d') AS event_date, 'Event <' || o_orderkey || '>' AS event_name,
+  '7 PM' AS event_time, CASE WHEN o_orderkey % 5 = 0 THEN 'TVAB' ELSE 'TV' END AS broadcast, o_orderpriority AS location
+FROM y WHERE o_orderkey % 11 <> 0 AND CASE WHEN y0 < DATE '1998-11-15' - 180 THEN y1 ELSE y0 END IS NOT NULL""")
 def schedule_rows(spark, d):
-    """A7, table rows: five cells and a link, first row per link, then a valid date"""
+    """A7, table rows of whole pages: five cells and a link, first row per link of a page, then a valid date
+
+    Some cells hold a table of their own, some end tags are missing, some rows are too short or have no link to an event.
+    """
     key = c("o_orderkey")
-    url = F.expr("o_orderkey div 2")
     day = F.when(key % 11 == 0, "TBA").otherwise(F.date_format("o_orderdate", "MMM d"))
+    path = F.when(key % 13 == 4, "/mma/story/_/id/").otherwise("/mma/fightcenter/_/id/")
+    inner = F.when(key % 5 == 0, "<table><tr><td>A</td><td>B</td></tr></table>").otherwise("")
+    end = F.when(key % 3 == 0, "").otherwise("</td>")
     row = F.concat(
-        F.lit("<tr><td>"), day, F.lit("</td><td>7 PM</td><td>TV</td><td><a href='/mma/fightcenter/_/id/"),
-        url.cast("string"), F.lit("'>Event <b>"), key.cast("string"), F.lit("</b></a></td>"),
-        F.when(key % 7 == 6, "").otherwise(F.concat(F.lit("<td> "), c("o_orderpriority"), F.lit("</td>"))),
-        F.lit("</tr>"),
-    )
-    cells = html.table_cells(c("row"))
-    listed = (
-        table(spark, d, "orders").select("o_orderkey", row.alias("row"))
-        .select(
-            "o_orderkey", cells.alias("cells"),
-            F.regexp_extract("row", r"/mma/fightcenter/_/id/(\d+)", 1).cast("bigint").alias("url_key"),
-        )
-        .filter((F.size("cells") >= 5) & c("url_key").isNotNull())
-        .select(
-            "o_orderkey", "url_key",
-            dates.infer_year(c("cells")[0], F.lit("1998-11-15").cast("date")).alias("day"),
-            c("cells")[3].alias("event_name"), c("cells")[4].alias("location"),
-        )
+        F.lit("<tr><td>"), day, end, F.lit("<TD>7 PM"), end, F.lit("<td>TV"), inner, end, F.lit("<td class=x><a href='"), path,
+        F.expr("o_orderkey div 2").cast("string"), F.lit("'>Event <b>&lt;"), key.cast("string"), F.lit("&gt;</b></a>"), end,
+        F.when(key % 7 == 6, "").otherwise(F.concat(F.lit("<td> "), c("o_orderpriority"), F.lit(" <br>"), end)),
+        F.when(key % 4 == 0, "").otherwise("</tr>"),
     )
-    kept = first_then_filter(listed, c("day").isNotNull(), ["url_key"], ["o_orderkey"])
-    return kept.select("url_key", c("day").cast("string").alias("event_date"), "event_name", "location")
-
-
-@query("article_rows", """SELECT doc_id, left(md5(text), 12) || ' Team' AS title, 'https://www.example.com/a/' || doc_id AS url,
-  CASE WHEN doc_id % 2 = 0 THEN doc_id || 'h' ELSE '' END AS published FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+    orders = table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 32").alias("page"), row.alias("row"))
+    pages = one_page(
+        orders, "page", "o_orderkey", c("row"),
+        "<html><body><table><tr><td><div>UFC</div><table class=Table><thead><tr><th>Date</thead><tbody>", "</table></table>")
+    found = listings.schedule(
+        pages, "page", c("html"), F.lit("1998-11-15").cast("date"), F.lit("https://www.example.com/mma/schedule"))
+    return found.drop("pos").withColumn("event_date", c("event_date").cast("string"))
+
+
+@query("article_rows", f"""WITH a AS (SELECT doc_id, doc_id // 8 AS page, doc_id % 8 AS n, {q.strip("text || '  Team'")} AS title FROM documents
+  WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0),
+p AS (SELECT doc_id // 8 AS page, doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT page, pos, md5(title) AS title_hash, length(title) AS n_chars, CASE doc_id % 3 WHEN 0 THEN 'https://www.example.com/a/' WHEN 1
+  THEN 'https://www.example.com/news/a/' ELSE 'https://m.example.org/a/' END || doc_id AS url,
+  CASE WHEN doc_id % 2 = 0 THEN doc_id || 'h' ELSE '' END AS published FROM a JOIN p USING (page, doc_id)""")
 def article_rows(spark, d):
-    """A7, articles: title and link needed, links made absolute"""
+    """A7, articles of whole pages: title and link needed, links made absolute; the title is the whole text"""
     key = c("doc_id")
+    escaped = F.replace(F.replace(c("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    path = F.when(key % 3 == 0, "/a/").when(key % 3 == 1, "a/").otherwise("//m.example.org/a/")
     node = F.concat(
-        F.lit("<article class='contentItem x'><h2 class='contentItem__title'> <i>"),
-        F.when(key % 5 == 0, "").otherwise(F.concat(F.substring(F.md5("text"), 1, 12), F.lit("</i> Team"))),
-        F.lit("</h2>"),
-        F.when(key % 7 == 0, "").otherwise(F.concat(F.lit('<a href="/a/'), key.cast("string"), F.lit('">go</a>'))),
-        F.when(key % 2 == 0, F.concat(F.lit("<span class='time-elapsed'>"), key.cast("string"), F.lit("h</span>"))).otherwise(""),
-        F.lit("</article>"),
+        F.lit("<article class='contentItem x'><div><h2 class=\"big contentItem__title\"><i>"),
+        F.when(key % 5 == 0, "</i>").otherwise(F.concat(escaped, F.lit("</i> Team"))), F.lit("</h2>"),
+        F.when(key % 7 == 0, "<a name=x>").otherwise(
+            F.concat(F.lit("<a name=x></a><p>by <a href="), path, key.cast("string"), F.lit(">go</a><a href=/b>more</a>"))),
+        F.when(key % 2 == 0, F.concat(F.lit("<span class='t time-elapsed'>"), key.cast("string"), F.lit("h</span>"))).otherwise(""),
+        F.lit("</div></article>"),
     )
-    tags = r"(?s)<[^>]+>"
-    return (
-        table(spark, d, "documents").select("doc_id", node.alias("node"))
-        .select(
-            "doc_id",
-            text.collapse_spaces(F.regexp_replace(F.regexp_extract(
-                "node", r"(?is)<h2[^>]*contentItem__title[^>]*>(.*?)</h2>", 1), tags, " ")).alias("title"),
-            F.regexp_extract("node", r'(?is)<a\s[^>]*?href="([^"]*)"', 1).alias("href"),
-            F.regexp_extract("node", r"(?is)time-elapsed[^>]*>([^<]*)<", 1).alias("published"),
-        )
-        .filter((c("title") != "") & (c("href") != ""))
-        .select("doc_id", "title", F.concat(F.lit("https://www.example.com"), c("href")).alias("url"), "published")
+    docs = table(spark, d, "documents").select("doc_id", F.expr("doc_id div 8").alias("page"), node.alias("node"))
+    pages = one_page(docs, "page", "doc_id", c("node"), "<body><article class=other><h2>no</h2></article>", "</body>")
+    found = listings.articles(pages, "page", c("html"), F.lit("https://www.example.com/news/"))
+    return found.select(
+        "page", big(c("pos")).alias("pos"), F.md5("title").alias("title_hash"), big(F.length("title")).alias("n_chars"), "url", "published")
+
+
+@query("page_articles", r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS body, html FROM pages),
+h AS (SELECT *, regexp_extract(body, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM a WHERE regexp_matches(html, '(?i)<article'))
+SELECT page_id, trim(replace(regexp_replace(h1, '<[^>]+>', '', 'g'), '&amp;', '&')) AS title,
+  CAST(len(regexp_extract_all(body, '(?i)<p[ >]')) AS BIGINT) AS n_paragraphs, CAST(len(regexp_extract_all(body, '(?i)<a\s')) AS BIGINT) AS n_links,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?is)<nav>(.*?)</nav>', 1), '(?i)<li>')) AS BIGINT) AS n_menu FROM h""")
+def page_articles(spark, d):
+    """A7, the articles of ``pages``: heading, paragraphs and links inside, entries of the menu outside"""
+    page = c("page")
+    scanned = table(spark, d, "pages").select("page_id", nodes.scan(c("html"), ("href",)).alias("page"))
+    menu = nodes.first(nodes.select(page, nodes.is_tag("nav")))
+    found = F.transform(
+        nodes.select(page, nodes.is_tag("article")),
+        lambda a: F.struct(
+            nodes.in_one_line(nodes.text(page, nodes.first(nodes.inside(page, a, nodes.is_tag("h1"))))).alias("title"),
+            big(F.size(nodes.inside(page, a, nodes.is_tag("p")))).alias("n_paragraphs"),
+            big(F.size(nodes.inside(page, a, nodes.is_tag("a")))).alias("n_links"),
+            big(F.size(nodes.inside(page, menu, nodes.is_tag("li")))).alias("n_menu"),
+        ),
     )
+    return scanned.select("page_id", F.explode(found).alias("a")).select("page_id", "a.*")
 
 
 @query("page_paragraphs", """WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<p>(.*?)</p>', 1) AS xs FROM pages),
@@ -257,24 +282,36 @@ def odds_rows(spark, d):
     )
 
 
-@query("zip_card", f"""WITH {_ANCHORS_SQL}, n AS (SELECT page_id, count(*) AS n FROM a GROUP BY page_id)
-SELECT x.page_id, x.pos, x.text AS red, x.href AS blue, y.text AS meta FROM a x JOIN n USING (page_id)
-JOIN a y ON y.page_id = x.page_id AND y.pos = n.n - 1 - x.pos WHERE x.page_id % 5 <> 0""")
+@query("zip_card", f"""WITH {q.BOUTS}, n AS (SELECT *, row_number() OVER (PARTITION BY card ORDER BY pos) - 1 AS nth FROM bouts)
+SELECT card, nth AS pos, 'b-' || bout_key AS bout_id, a_name, b_name,
+  CASE bout_key % 4 WHEN 0 THEN 'Lightweight' WHEN 1 THEN 'Catchweight' WHEN 2 THEN 'Heavyweight' ELSE 'n/a' END AS weight_class,
+  CASE WHEN nth < 5 THEN 'Main Card' WHEN nth < 9 THEN 'Prelim' ELSE 'Early Prelim' END AS card_segment
+FROM n WHERE card % 5 <> 3""")
 def zip_card(spark, d):
-    """A10"""
-    links = html.anchors(c("html"))
-    base = table(spark, d, "pages").select("page_id", links.alias("links")).select(
-        "page_id",
-        c("links.text").alias("red"), c("links.href").alias("blue"),
-        F.when(c("page_id") % 5 == 0, F.slice(c("links.text"), F.lit(2), F.greatest(F.size("links.text") - 1, F.lit(0)))).otherwise(c("links.text")).alias("meta"),
-    )
-    zipped = base.select(
-        "page_id", F.size("red").alias("n"),
-        F.posexplode(payload.zip_aligned(c("red"), c("blue"), c("meta"))).alias("back", "z"),
-    )
-    return zipped.select(
-        "page_id", big(c("n") - 1 - c("back")).alias("pos"), "z.red", "z.blue", "z.meta"
+    """A10: names from the ticker of a card page, the rest from its fights; pages with a fight too few give nothing"""
+    key, at = c("bout_key"), c("at")
+
+    def corner(part: str, name):
+        return F.concat(F.lit(f'<div class="t {part}"> <b>'), name, F.lit("</b></div>"))
+
+    order = F.row_number().over(Window.partitionBy("card").orderBy("pos")) - 1
+    listed = bouts(spark, d).withColumn("at", order)
+    label = (
+        F.when(key % 4 == 0, "<i>Легкий вес</i>").when(key % 4 == 1, "Catchweight Bout").when(key % 4 == 2, "Heavyweight Heavyweight")
+        .otherwise("")
     )
+    heading = F.when(at == 0, "<h3>Main Card</h3>\n").when(at == 5, "<h3> Prelims</h3>\n").when(at == 9, "<h3>Early Prelims</h3>\n").otherwise("")
+    fight = F.when((c("card") % 5 == 3) & (at == 0), "").otherwise(F.concat(
+        heading, F.lit("<div class='c-listing-fight' data-fmid='b-"), key.cast("string"),
+        F.lit("'><div>x<div class=c-listing-fight__class-text>\n"), label, F.lit("</div></div></div>")))
+    # fights go from the main event down, the ticker the other way round
+    ticker = F.concat(corner(listings.RED, c("a_name")), corner(listings.BLUE, c("b_name")))
+    parts = listed.select("card", F.struct("at", fight.alias("fight"), ticker.alias("ticker")).alias("r")).groupBy("card").agg(
+        F.array_sort(F.collect_list("r")).alias("rs"))
+    pages = parts.select("card", F.concat(
+        F.lit("<body><h3>Fight Card</h3>\n"), F.array_join(F.transform(F.reverse("rs"), lambda r: r["ticker"]), ""), F.lit("\n"),
+        F.array_join(F.transform("rs", lambda r: r["fight"]), "\n"), F.lit("</body>")).alias("html"))
+    return listings.card(pages, "card", c("html")).withColumn("pos", big(c("pos")))
 
 
 # ---------------------------------------------------------------- inbox
