@@ -11,6 +11,7 @@ MODULES = (
     "join_queries",
     "state_queries",
     "text_queries",
+    "report_queries",
     "stream_queries",
 )
 
