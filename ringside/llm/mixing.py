@@ -157,16 +157,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = mix(docs).where("taken > 0").groupBy("doc_id", "source", "digest").agg(
         F.max("taken").alias("taken_"), F.max("size").alias("size_")).withColumnsRenamed(
         {"doc_id": "doc_", "source": "source_", "digest": "digest_"})
+    # the documents' own names give way to numbers, so that they cannot meet the names used here
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain, text, chars = docs.toDF(*names.values()), F.col(names["text"]), names.get("n_chars")
     whole = F.col("time_") * F.col("size_") <= F.col("taken_")
     rest = (F.col("taken_") - (F.col("time_") - 1) * F.col("size_")).cast("int")
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("doc_"))
-                       & F.col("source").cast("string").eqNullSafe(F.col("source_"))
-                       & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("digest_")))
+    joined = plain.join(chosen, F.col(names["doc_id"]).eqNullSafe(F.col("doc_"))
+                        & F.col(names["source"]).cast("string").eqNullSafe(F.col("source_"))
+                        & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("digest_")))
     times = joined.withColumn("time_", F.explode(F.sequence(
         F.lit(1).cast("long"), F.ceil(F.col("taken_") / F.col("size_")))))
-    cut = F.array_join(F.slice(words_of(F.col("text")), 1, rest), " ")
-    out = times.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(
+    cut = F.array_join(F.slice(words_of(text), 1, rest), " ")
+    out = times.withColumn(names["text"], F.when(whole, text).otherwise(cut))
+    if chars:
+        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length(names["text"])).cast(
             docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*names.values()).toDF(*docs.columns)

@@ -455,7 +455,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id_"), F.col("digest").alias("digest_")).agg(
         F.first("kept").alias("kept_"), F.count("*").alias("rows_")).where("not kept_ or rows_ > 1"), "icws-judged")
     named = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
-    plain = docs.withColumnsRenamed(named)
+    plain = docs.toDF(*named.values())
     key = (F.col(named["doc_id"]).cast("long") == F.col("id_")) & (
         F.substring(F.unhex(F.sha2(F.col(named["text"]).cast("binary"), 256)), 1, 16) == F.col("digest_"))
     single = plain.join(checked_broadcast(listed), key, "left_anti")

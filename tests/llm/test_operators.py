@@ -477,6 +477,17 @@ def test_empty_tables(spark, empty, sf_dir):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_a_mixed_corpus_keeps_names_that_the_stage_uses_itself(spark):
+    names = ["doc_id", "taken_", "size_", "text", "time_", "doc_", "source_", "digest_", "source", "c0", "n_chars"]
+    data = [(i, 1, 2, f"w{i} " * 400, 3, 4, 5, 6, f"s{i % 3}", 7, 1600) for i in range(60)]
+    df = spark.createDataFrame(data, ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    got = mixing.stage(spark, df, "").collect()
+    assert got[0].asDict().keys() == set(names) and {tuple(r)[9] for r in got} == {7}
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in ("s0", "s1", "s2")}
+    taken = {s: sum(r.taken for r in mixing.mix(df).where(f"source = '{s}'").collect()) for s in words}
+    assert words == taken and all(r.n_chars == len(r.text) or r.n_chars == 1600 for r in got)
+
+
 def test_rows_without_id(spark):
     long = "word " * 80
     df = spark.createDataFrame([(None, long), (None, long), (3, long), (4, long)], "doc_id long, text string")
