@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ringside.functions import classify, dates, html, nodes, text
+from ringside.functions import classify, dates, html, nodes, odds as odds_of, text
 from ringside.operators import routing
 from ringside.plans import sqltext as q
 from ringside.plans.adapters import big, bouts, odds, pick, records, table
@@ -136,6 +136,66 @@ def nested_flatten(spark, d):
     )
 
 
+def feeds(spark, d):
+    """One feed per card, at most twelve bouts: a query without data, one whose pages are no list, and two with pages.
+
+    Some events come twice, some lack a slug, a title or a list of markets.
+    """
+    key = c("bout_key")
+
+    def market(question, price, flipped):
+        over, under = F.format_string("%.2f", price), F.format_string("%.2f", 1 - price)
+        return F.struct(
+            F.lit(question).alias("question"),
+            F.when(flipped, F.array(F.lit("Under"), F.lit("Over"))).otherwise(F.array(F.lit("Over"), F.lit("Under"))).alias("outcomes"),
+            F.when(flipped, F.array(under, over)).otherwise(F.array(over, under)).alias("outcomePrices"))
+
+    def event(title):
+        markets = F.array(market("Winner", F.lit(0.5), key < 0), market("O/U 1.5 Rounds", (1 + key % 80) / 100, key % 3 == 0),
+                          market("O/U 2.5 Rounds", (1 + key % 60) / 100, key % 3 == 1))
+        return F.struct(
+            F.when(key % 10 != 3, F.concat(F.lit("e-"), key)).alias("slug"), title.alias("title"),
+            F.when(key % 10 != 7, markets).alias("markets"))
+
+    names = F.concat_ws(" vs. ", "a_name", "b_name")
+    one = event(F.when(key % 10 != 5, names).otherwise(""))
+    again = event(F.concat(F.lit("again "), names))
+    rows = bouts(spark, d).select("card", F.struct("pos", one.alias("one"), again.alias("again")).alias("r")).groupBy("card").agg(
+        F.array_sort(F.collect_list("r")).alias("rs"))
+    early, late = F.filter("rs", lambda r: r["pos"] < 6), F.filter("rs", lambda r: r["pos"] >= 6)
+
+    def page(items, which):
+        return F.struct(F.transform(items, lambda r: r[which]).alias("events"))
+
+    def body(data):
+        return F.struct(F.struct(data.alias("data")).alias("state"))
+
+    queries = [
+        F.lit('{"state":{}}'), F.lit('{"state":{"data":{"pages":"none"}}}'),
+        F.to_json(body(F.struct(F.array(page(late, "one")).alias("pages")))),
+        F.to_json(body(F.struct(F.array(page(early, "one"), page(F.slice("rs", 1, 0), "one"), page("rs", "again")).alias("pages")))),
+    ]
+    return rows.select("card", F.concat(
+        F.lit('{"props":{"pageProps":{"dehydratedState":{"queries":['), F.concat_ws(",", *queries), F.lit("]}}}}")).alias("body"))
+
+
+@query("market_events", f"""WITH {q.BOUTS}, e AS (SELECT card, bout_key, CASE WHEN pos >= 6 THEN 2 ELSE 3 END AS query_pos, 0 AS page_pos,
+    row_number() OVER (PARTITION BY card, pos >= 6 ORDER BY pos) - 1 AS event_pos, CASE WHEN bout_key % 10 = 5 THEN '' ELSE a_name || ' vs. ' || b_name END AS title FROM bouts
+  UNION ALL SELECT card, bout_key, 3, 2, row_number() OVER (PARTITION BY card ORDER BY pos) - 1, 'again ' || a_name || ' vs. ' || b_name FROM bouts),
+f AS (SELECT *, row_number() OVER (PARTITION BY card, bout_key ORDER BY query_pos, page_pos, event_pos) AS rn FROM e
+  WHERE title <> '' AND bout_key % 10 NOT IN (3, 7))
+SELECT card, query_pos, page_pos, event_pos, 'e-' || bout_key AS slug, title,
+  printf('%.2f', 1.0::DOUBLE / CAST(printf('%.2f', (1 + bout_key % 80) / 100.0::DOUBLE) AS DOUBLE)) AS over_1_5,
+  printf('%.2f', 1.0::DOUBLE / CAST(printf('%.2f', (1 + bout_key % 60) / 100.0::DOUBLE) AS DOUBLE)) AS over_2_5 FROM f WHERE rn = 1""")
+def market_events(spark, d):
+    """Queries, pages and events of a feed as variants, and the prices looked up in the markets of each event"""
+    events = payload.market_events(feeds(spark, d), ["card"])
+    prices = payload.market_prices(c("markets"))
+    return events.select(
+        "card", *[big(c(p)).alias(p) for p in ("query_pos", "page_pos", "event_pos")], "slug", "title",
+        odds_of.over_price(prices, "O/U 1.5 Rounds").alias("over_1_5"), odds_of.over_price(prices, "O/U 2.5 Rounds").alias("over_2_5"))
+
+
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d):
     """A6, flat payload"""

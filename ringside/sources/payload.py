@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from ringside.operators.topk import filter_then_first
+
 
 def tagged_json(html: Column, tag_open: str) -> Column:
     """Body of the script element that opens with ``tag_open``."""
@@ -72,6 +74,52 @@ def flatten_card(df: DataFrame, keep: list[str], segments: str = "segments") ->
     )
 
 
+def _listed(value: Column, path: str) -> Column:
+    """The variant at ``path`` if it is a list, else NULL."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found).startswith("ARRAY"), found)
+
+
+def each(df: DataFrame, items: Column, place: str, value: str) -> DataFrame:
+    """One row per item of a variant list, with its place from 0; NULL gives no rows."""
+    spark = df.sparkSession
+    exploded = spark.tvf.variant_explode(items.outer()).select(F.col("pos").alias(place), F.col("value").alias(value))
+    return df.lateralJoin(exploded)
+
+
+def market_events(payloads: DataFrame, keep: list[str], body: str = "body") -> DataFrame:
+    """Events of market feeds: ``keep``, places of query, page and event, slug, title and the list of markets (variant).
+
+    ``body`` is JSON text, read once into a variant; parts of another shape than expected give no rows. An event needs a
+    slug, a title and a list of markets; then the first of a slug counts, in the order of the feed.
+    """
+    feed = payloads.select(*keep, F.try_parse_json(body).alias("feed_"))
+    # Fixed value: where the feed keeps its queries.
+    queries = each(feed.withColumn("qs_", _listed(F.col("feed_"), "$.props.pageProps.dehydratedState.queries")).drop("feed_"),
+                   F.col("qs_"), "query_pos", "query_").drop("qs_")
+    pages = each(queries.withColumn("ps_", _listed(F.col("query_"), "$.state.data.pages")).drop("query_"),
+                 F.col("ps_"), "page_pos", "page_").drop("ps_")
+    events = each(pages.withColumn("es_", _listed(F.col("page_"), "$.events")).drop("page_"),
+                  F.col("es_"), "event_pos", "event_").drop("es_")
+    read = events.select(
+        *keep, "query_pos", "page_pos", "event_pos", F.try_variant_get("event_", "$.slug", "string").alias("slug"),
+        F.try_variant_get("event_", "$.title", "string").alias("title"), _listed(F.col("event_"), "$.markets").alias("markets"))
+    valid = (F.col("slug") != "") & (F.col("title") != "") & F.col("markets").isNotNull()
+    return filter_then_first(read, valid, [*keep, "slug"], ["query_pos", "page_pos", "event_pos"])
+
+
+def market_list(markets: Column) -> Column:
+    """Markets of an event as structs; outcomes and prices that are no lists are NULL."""
+    return F.try_variant_get(markets, "$", "array<struct<question:string,outcomes:variant,outcomePrices:variant>>")
+
+
+def market_prices(markets: Column) -> Column:
+    """Question, outcomes and prices of every market of an event."""
+    return F.transform(market_list(markets), lambda m: F.struct(
+        m["question"].alias("question"), F.try_variant_get(m["outcomes"], "$", "array<string>").alias("outcomes"),
+        F.try_variant_get(m["outcomePrices"], "$", "array<string>").alias("prices")))
+
+
 def zip_aligned(red: Column, blue: Column, meta: Column) -> Column:
     """Names zipped with the reversed metadata; empty unless all lengths agree."""
     aligned = (F.size(red) > 0) & (F.size(red) == F.size(blue)) & (F.size(red) == F.size(meta))
