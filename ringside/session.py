@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -34,6 +35,19 @@ def build_session(master: str | None = None, app: str = "ringside", **extra: str
     return builder.getOrCreate()
 
 
+@contextlib.contextmanager
+def starting_with(spark: SparkSession, settings: dict[str, str]):
+    """Settings for streams started inside; a stream keeps those it was started with, the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 

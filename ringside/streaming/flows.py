@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ringside.operators import routing
 from ringside.operators.topk import latest_state
+from ringside.session import starting_with
 from ringside.streaming import processors
 
 c = F.col
@@ -47,13 +48,22 @@ def inbox_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> Dat
     return files.select(c("_metadata.file_name").alias("file_name"), kind.alias("entity_type"), c("value").alias("body"))
 
 
+#: A batch of thousands of small files is listed by few tasks, not one a file, and many of them are read by one task.
+SMALL_FILES = {
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "32",
+    "spark.sql.files.openCostInBytes": "64k",
+}
+
+
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process what has arrived since the last run, then stop."""
-    query = (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    # the source of files lists them with the session's settings while the stream runs
+    with starting_with(stream.sparkSession, SMALL_FILES):
+        query = (
+            stream.writeStream.foreachBatch(each)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return query
 
 

@@ -7,7 +7,6 @@ which ``flows.parquet_stream`` bounds at the source, bounds their memory; how mu
 
 from __future__ import annotations
 
-import contextlib
 import datetime
 import sys
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ringside.session import STATE_STORE_PROVIDER
+from ringside.session import STATE_STORE_PROVIDER, starting_with
 
 OUTPUT = "key bigint, seq bigint, kind string"
 JUDGED = "key bigint, seq bigint, kind string, status string, reason string"
@@ -25,21 +24,12 @@ DAY = datetime.timedelta(days=1)
 SATURDAY = 5
 
 
-@contextlib.contextmanager
 def state_store(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB; a stream keeps the settings it was started with."""
-    wanted = {
+    """Streams started inside keep their state in RocksDB."""
+    return starting_with(spark, {
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE_PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    }
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    })
 
 
 def _travels_with_the_query() -> None:
