@@ -193,7 +193,7 @@ ENTITIES = {"bouts": ("bout", "bout_id"), "fighters": ("fighter", "slug")}
 
 
 def report_fields(reports: DataFrame, key: str, report: str = "report") -> DataFrame:
-    """One row per field of every entity of a report: key, entity, id, path, value (text).
+    """One row per field of every entity of a report: key, entity, entity_id, path, value (text).
 
     The walk follows the schema: structs are part of the entity around them, lists in ENTITIES hold entities of their own
     wherever they stand, other lists count whole. Bookkeeping fields are left out, totals go by their bucket, texts without
@@ -207,7 +207,7 @@ def report_fields(reports: DataFrame, key: str, report: str = "report") -> DataF
         return odds.bucket_text(text) if name in hashing.BUCKETED else collapse_spaces(text)
 
     def walk(value: Column, kind: StructType, entity: Column, path: str, top: bool) -> list[Column]:
-        """Arrays of (entity, id, path, value)."""
+        """Arrays of (entity, entity_id, path, value)."""
         own, further = [], []
         for f in kind.fields:
             inner = value[f.name]
@@ -219,50 +219,50 @@ def report_fields(reports: DataFrame, key: str, report: str = "report") -> DataF
                 further.append(F.flatten(F.transform(inner, item_fields(f.dataType.elementType, *ENTITIES[f.name]))))
             else:
                 own.append(F.struct(
-                    entity["entity"].alias("entity"), entity["id"].alias("id"), F.lit(path + f.name).alias("path"),
+                    entity["entity"].alias("entity"), entity["entity_id"].alias("entity_id"), F.lit(path + f.name).alias("path"),
                     leaf(inner, f.name, f.dataType).alias("value")))
         return [F.array(*own), *[F.coalesce(x, F.array().cast(_FIELDS)) for x in further]] if own else further
 
     def item_fields(kind: StructType, label: str, name: str):
         def fields_of(item: Column) -> Column:
-            named = F.struct(F.lit(label).alias("entity"), item[name].cast("string").alias("id"))
+            named = F.struct(F.lit(label).alias("entity"), item[name].cast("string").alias("entity_id"))
             return F.flatten(F.array(*walk(item, kind, named, "", False)))
 
         return fields_of
 
     kind = reports.schema[report].dataType
-    root = F.struct(F.lit("event").alias("entity"), F.col(key).cast("string").alias("id"))
+    root = F.struct(F.lit("event").alias("entity"), F.col(key).cast("string").alias("entity_id"))
     fields = F.flatten(F.array(*walk(F.col(report), kind, root, "", True)))
-    return reports.select(key, F.explode(fields).alias("f_")).select(key, "f_.*").filter(F.col("id").isNotNull()).groupBy(
-        key, "entity", "id", "path").agg(F.min("value").alias("value"))
+    return reports.select(key, F.explode(fields).alias("f_")).select(key, "f_.*").filter(F.col("entity_id").isNotNull()).groupBy(
+        key, "entity", "entity_id", "path").agg(F.min("value").alias("value"))
 
 
-_FIELDS = "array<struct<entity:string,id:string,path:string,value:string>>"
+_FIELDS = "array<struct<entity:string,entity_id:string,path:string,value:string>>"
 
 
 def report_diff(old: DataFrame, new: DataFrame, key: str, report: str = "report") -> DataFrame:
-    """What changed between two versions of nested reports: key, entity, id, kind, path, old, new.
+    """What changed between two versions of nested reports: key, entity, entity_id, kind, path, old, new.
 
     Bouts meet by their id and fighters by their slug, wherever they stand in their list. An entity on one side only is one
     row (path ``*``), as is a report on one side only, with its entities.
     """
     before, after = (report_fields(df, key, report).withColumnRenamed("value", name) for df, name in ((old, "old"), (new, "new")))
-    at = [key, "entity", "id", "path"]
+    at = [key, "entity", "entity_id", "path"]
     both = before.withColumn("was", F.lit(True)).join(after.withColumn("is", F.lit(True)), at, "full_outer")
-    sides = both.groupBy(key, "entity", "id").agg(
+    sides = both.groupBy(key, "entity", "entity_id").agg(
         F.bool_or(F.coalesce("was", F.lit(False))).alias("was"), F.bool_or(F.coalesce("is", F.lit(False))).alias("is"),
         F.collect_list(F.when(~F.col("old").eqNullSafe(F.col("new")), F.struct("path", "old", "new"))).alias("changes"))
     whole = F.array(F.struct(F.lit("*").alias("path"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new")))
     kind = F.when(~F.col("was"), "added").when(~F.col("is"), "removed").otherwise("changed")
     rows = F.when(F.col("was") & F.col("is"), F.col("changes")).otherwise(whole)
-    return sides.select(key, "entity", "id", kind.alias("kind"), F.inline(rows))
+    return sides.select(key, "entity", "entity_id", kind.alias("kind"), F.inline(rows))
 
 
 def diff_summary(diff: DataFrame, key: str) -> DataFrame:
     """Per changed report the ids of its changed bouts and fighters (lists as long as a report's), and their number."""
 
     def ids(entity: str) -> Column:
-        return F.array_join(F.sort_array(F.collect_set(F.when(F.col("entity") == entity, F.col("id")))), ",")
+        return F.array_join(F.sort_array(F.collect_set(F.when(F.col("entity") == entity, F.col("entity_id")))), ",")
 
     return diff.groupBy(key).agg(
         ids("bout").alias("changed_bouts"), ids("fighter").alias("changed_fighters"),

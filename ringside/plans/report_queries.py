@@ -93,7 +93,7 @@ def report_hash(spark, d):
 
 _DIFF = f"""{q.BOUTS}, cards AS (SELECT card, bool_or(bout_key % 9 <> 4) AS stays FROM bouts GROUP BY card),
 diff AS (
-  SELECT card, 'bout' AS entity, 'b-' || bout_key AS id, 'removed' AS kind, '*' AS path, NULL AS old, NULL AS new FROM bouts WHERE bout_key % 9 = 4
+  SELECT card, 'bout' AS entity, 'b-' || bout_key AS entity_id, 'removed' AS kind, '*' AS path, NULL AS old, NULL AS new FROM bouts WHERE bout_key % 9 = 4
   UNION ALL SELECT card, 'fighter', side || '-' || bout_key, 'removed', '*', NULL, NULL FROM bouts, (VALUES ('a'), ('b')) s(side) WHERE bout_key % 9 = 4
   UNION ALL SELECT card, 'event', CAST(card AS VARCHAR), 'removed', '*', NULL, NULL FROM cards WHERE NOT stays
   UNION ALL SELECT card, 'bout', 'b-' || bout_key, 'changed', 'over_1_5_decimal', {_BUCKET.format(_OVER)}, {_BUCKET.format('(' + _OVER + ' + 0.1::DOUBLE)')}
@@ -113,8 +113,8 @@ def report_diff(spark, d):
 
 
 @query("report_diff_summary", f"""WITH {_DIFF} SELECT card,
-  coalesce(string_agg(DISTINCT CASE WHEN entity = 'bout' THEN id END, ',' ORDER BY CASE WHEN entity = 'bout' THEN id END), '') AS changed_bouts,
-  coalesce(string_agg(DISTINCT CASE WHEN entity = 'fighter' THEN id END, ',' ORDER BY CASE WHEN entity = 'fighter' THEN id END), '') AS changed_fighters,
+  coalesce(string_agg(DISTINCT CASE WHEN entity = 'bout' THEN entity_id END, ',' ORDER BY CASE WHEN entity = 'bout' THEN entity_id END), '') AS changed_bouts,
+  coalesce(string_agg(DISTINCT CASE WHEN entity = 'fighter' THEN entity_id END, ',' ORDER BY CASE WHEN entity = 'fighter' THEN entity_id END), '') AS changed_fighters,
   bool_or(entity = 'event') AS event_changed, count(*) AS n_fields FROM diff GROUP BY card""")
 def report_diff_summary(spark, d):
     """Per report the changed bouts and fighters"""
