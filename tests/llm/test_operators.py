@@ -477,6 +477,27 @@ def test_empty_tables(spark, empty, sf_dir):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_models_tell_held_out_random_strings_from_names(spark, sf_dir):
+    """Recall by alphabet for 12 to 40 characters without any rule; of ten names of programs at most two are taken."""
+    rng = random.Random(31)
+    letters, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    least = {letters + upper + digits: 0.97, letters + upper + digits + "+/": 0.97, letters + upper: 0.95, upper: 0.8,
+             digits + "ABCDEF": 0.8, letters: 0.3}
+    made = [(a, "see " + "".join(rng.choice(a) for _ in range(rng.randint(12, 40))) + " now") for a in least for _ in range(80)]
+    names = ("getElementById setUserInputValue maximum_connection_count HTTPResponseHandlerFactory internationalization "
+             "application-configuration PrintStreamWriter2024 SELECT_STATEMENT_LIMIT counterrevolutionary "
+             "file-name-with-dashes-and-words").split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = secrets.train(docs)
+    texts = [t for _, t in made] + names
+    got = {r.doc_id: [(s.start, s.end) for s in r.all] for r in secrets.scan(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()}
+    for a, bound in least.items():
+        mine = [i for i, (b, _) in enumerate(made) if a == b]
+        assert sum(got[i] == [(4, len(texts[i]) - 4)] for i in mine) >= bound * len(mine), a
+    assert sum(bool(got[len(made) + k]) for k in range(len(names))) <= 2
+
+
 def test_a_mixed_corpus_keeps_names_that_the_stage_uses_itself(spark):
     names = ["doc_id", "taken_", "size_", "text", "time_", "doc_", "source_", "digest_", "source", "c0", "n_chars"]
     data = [(i, 1, 2, f"w{i} " * 400, 3, 4, 5, 6, f"s{i % 3}", 7, 1600) for i in range(60)]
