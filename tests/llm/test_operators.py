@@ -487,7 +487,8 @@ def test_models_tell_held_out_random_strings_from_names(spark, sf_dir):
     names = ("getElementById setUserInputValue maximum_connection_count HTTPResponseHandlerFactory internationalization "
              "application-configuration PrintStreamWriter2024 SELECT_STATEMENT_LIMIT counterrevolutionary "
              "file-name-with-dashes-and-words").split()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # a thousand documents: with two hundred the samples are too few to know names
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     table = secrets.train(docs)
     texts = [t for _, t in made] + names
     got = {r.doc_id: [(s.start, s.end) for s in r.all] for r in secrets.scan(
