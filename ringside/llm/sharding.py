@@ -71,7 +71,7 @@ def shard(docs: DataFrame, weights: dict[int, float], added: dict[int, float] |
 
 
 def write_shards(docs: DataFrame, path: str, weights: dict[int, float], file_rows: int = FILE_ROWS) -> None:
-    """Write the rows of ``docs`` under ``path``, a folder ``shard_=n`` each, in files of about ``file_rows`` rows.
+    """Write the rows of ``docs`` under ``path``, a folder ``shard_=n`` each, in files of at most ``file_rows`` rows.
 
     A large shard is dealt over several tasks by a hash of the rows' arrival, so that many rows of one key are parted too.
     """
@@ -81,7 +81,7 @@ def write_shards(docs: DataFrame, path: str, weights: dict[int, float], file_row
     dealt = rows.join(F.broadcast(counts), F.col("shard_") == F.col("of_")).withColumn(
         "file_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("files_")))
     dealt.repartition("shard_", "file_").sortWithinPartitions("shard_", "doc_id").select(
-        *docs.columns, "shard_").write.partitionBy("shard_").parquet(path)
+        *docs.columns, "shard_").write.option("maxRecordsPerFile", file_rows).partitionBy("shard_").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
