@@ -10,8 +10,8 @@ from ringside.operators.topk import first_n
 from ringside.registry import PROJECT_KEYS
 
 
-# Record times repeat after this many minutes; ids stay unique.
-MINUTES = 1_000_000
+#: Records of one day: they come a minute apart.
+DAY = 1440
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _key_columns() -> list[Column]:
         doc.alias("record_id"),
         pick(PROJECT_KEYS, F.substring("source", 4, 10).cast("int") % 5).alias("project_key"),
         F.when(doc % 2 == 0, "idea").otherwise("context").alias("entity_type"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(doc % MINUTES).cast("int")))
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=F.floor(doc / DAY).cast("int"), mins=(doc % DAY).cast("int")))
         .alias("created_ts"),
     ]
 

@@ -12,8 +12,9 @@ from ringside.plans.catalog import query
 from ringside.registry import PROJECT_KEYS
 from ringside.session import scratch_path
 from ringside.sources import listings, payload
-from ringside.sources.keyed import read_keyed, write_files
+from ringside.sources.keyed import read_keyed
 from ringside.sources.records import look_up, read_records, read_whole_texts, write_records
+from ringside.sources.text_files import read_files, write_files
 
 c = F.col
 
@@ -511,3 +512,16 @@ def text_files(spark, d):
     write_files(docs, path)
     found = read_whole_texts(spark, f"{path}/texts").unionByName(read_whole_texts(spark, f"{path}/absent"))
     return found.select(F.substring_index("file_path", "/", -1).alias("file_name"), F.md5("body").alias("body_hash"))
+
+
+@query("text_source", """SELECT 'f' || doc_id % 3 AS folder, doc_id || '.md' AS file_name,
+  md5(CASE WHEN doc_id % 4 = 1 THEN 'again ' ELSE '' END || coalesce(text, '')) AS body_hash FROM documents""")
+def text_source(spark, d):
+    """A4, B2: files written by a source with commit, a second job over some of them, read back in groups of files"""
+    path, key = scratch_path(spark, "source"), c("doc_id")
+    docs = table(spark, d, "documents").select(
+        key, F.concat(F.lit("f"), key % 3).alias("folder"), F.concat(key.cast("string"), F.lit(".md")).alias("file_name"),
+        F.coalesce("text", F.lit("")).alias("body"))
+    write_files(docs, path)
+    write_files(docs.filter(key % 4 == 1).withColumn("body", F.concat(F.lit("again "), "body")), path)
+    return read_files(spark, path).select("folder", "file_name", F.md5("body").alias("body_hash"))

@@ -105,7 +105,7 @@ records1 AS (
 records AS (
   SELECT doc_id AS record_id, lang, text, ([{_KEYS}])[src % 5 + 1] AS project_key,
     CASE WHEN doc_id % 2 = 0 THEN 'idea' ELSE 'context' END AS entity_type,
-    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id % 1000000) AS created_ts,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_ts,
     source_url, raw_input, CASE WHEN doc_id % 5 = 0 THEN '' ELSE {strip('raw_input')} END AS normalized_text,
     extracted_content,
     CASE WHEN source_url IS NULL THEN 'not_applicable' WHEN doc_id % 4 = 0 THEN 'fetch_failed'

@@ -1,11 +1,12 @@
 """Streams in several batches equal their batch twins; replays change nothing."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ringside.operators import changes
 from ringside.plans.adapters import runs_of, table
 from ringside.session import scratch_path
-from ringside.sources.keyed import write_files
+from ringside.sources.text_files import read_files, write_files
 from ringside.streaming import flows, processors
 
 c = F.col
@@ -150,6 +151,20 @@ def test_interval_join_lets_go_of_what_no_text_can_reach(spark):
     assert held[-1] <= 2  # of ten rows only the last pair is still held
 
 
+def test_a_job_that_fails_leaves_no_file(spark):
+    root = scratch_path(spark, "files")
+    files = spark.range(400, numPartitions=4).select(
+        F.concat(F.lit("f"), c("id") % 2).alias("folder"), c("id").cast("string").alias("file_name"), F.lit("first").alias("body"))
+    write_files(files, root)
+    stop = F.when(c("file_name") == "399", F.raise_error(F.lit("stop"))).otherwise("second")
+    with pytest.raises(Exception, match="stop"):
+        write_files(files.withColumn("body", stop), root)
+    assert {(r.body, r["count"]) for r in read_files(spark, root).groupBy("body").count().collect()} == {("first", 400)}
+    write_files(files.filter("file_name = '7'").withColumn("body", F.lit("second")), root)
+    assert read_files(spark, root).where("body = 'second'").count() == 1 and read_files(spark, root).count() == 400
+    assert read_files(spark, root + "/absent").count() == 0
+
+
 def test_inbox_takes_each_file_once_in_bounded_batches(spark):
     root = scratch_path(spark, "test-inbox")
     good = '{\n  "project_key": "ufc-betting",\n  "title": "T",\n  "raw_input": "%s",\n  "remote_id": "%s",\n  "created_at": "2024-01-01T00:00:00"\n}'
