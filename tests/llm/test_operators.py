@@ -477,6 +477,18 @@ def test_empty_tables(spark, empty, sf_dir):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_words_that_cancel_out_in_a_polynomial_stay_apart(spark):
+    """Thue-Morse words collide under any polynomial modulo a power of two; 61 words that differ in one such word only."""
+    one, two = "a", "b"
+    while len(one) < 1024:
+        one, two = one + two, two + one
+    words = [f"w{i}" for i in range(61)]
+    texts = [" ".join([*words[:30], odd, *words[31:]]) for odd in (one, two)]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[1])], "doc_id long, text string")
+    got = by_id(debruijn.dedup(df))
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 0, 61]
+
+
 def test_models_tell_held_out_random_strings_from_names(spark, sf_dir):
     """Recall by alphabet for 12 to 40 characters without any rule; of ten names of programs at most two are taken."""
     rng = random.Random(31)
