@@ -38,6 +38,8 @@ ORDINARY = r"[A-Za-z0-9_-]{8,}"
 SAMPLE = 20_000
 MIN_RATIO, MIN_PER_CHARACTER = 12.0, 0.5
 SMOOTHING = 4.0
+#: Matches whose places are summed together.
+BLOCK = 128
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -47,20 +49,39 @@ def _none() -> Column:
 
 
 def matches(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end)."""
+    """Leftmost non-overlapping matches as (start, kind, end); with ``keep``, a list of booleans, those it marks.
+
+    Places are running sums: first inside blocks of BLOCK matches, then over the blocks, because a list that grows item by
+    item is copied with every item.
+    """
     pieces = F.transform(F.split(text, pattern, -1), F.length)
     lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    zipped = F.arrays_zip(pieces.alias("before"), lengths.alias("size"))
+    marks = F.transform(lengths, lambda x: F.lit(True)) if keep is None else keep
     # every piece but the last is followed by a match
-    state = F.aggregate(
-        F.slice(zipped, 1, F.size(lengths)),
-        F.struct(F.lit(0).alias("at"), _none().alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["before"] + x["size"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct(
-                (acc["at"] + x["before"]).alias("start"), F.lit(kind).alias("kind"),
-                (acc["at"] + x["before"] + x["size"]).alias("end")))).alias("found")))["found"]
-    return state
+    zipped = F.slice(F.arrays_zip(pieces.alias("before"), lengths.alias("size"), marks.alias("keep")), 1, F.size(lengths))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + x["before"] + x["size"]
+        span = F.struct((acc["at"] + x["before"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+    def summed(items: Column) -> Column:
+        return F.aggregate(items, F.struct(F.lit(0).alias("at"), _none().alias("found")), step)
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(
+            blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
+        return F.flatten(F.zip_with(blocks, starts["starts"], lambda x, o: F.transform(x["found"], lambda s: F.struct(
+            (s["start"] + o).alias("start"), s["kind"].alias("kind"), (s["end"] + o).alias("end")))))
+
+    def in_blocks(items: Column) -> Column:
+        count = F.floor((F.size(items) + (BLOCK - 1)) / BLOCK).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: summed(F.slice(items, i * BLOCK + 1, BLOCK)))
+
+    # each list is worked out once and handed on
+    return F.get(F.transform(F.transform(F.array(zipped), in_blocks), placed), F.lit(0))
 
 
 def base_spans(text: Column) -> Column:
@@ -127,12 +148,12 @@ def ratio(run: Column, table: Column) -> Column:
 
 
 def model_spans(text: Column, base: Column, table: Column) -> Column:
-    runs = F.arrays_zip(matches(text, RUN, 3).alias("span"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("run"))
-    apart = F.filter(runs, lambda x: ~F.exists(
-        base, lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
-    likely = F.filter(apart, lambda x: ratio(x["run"], table) >= F.greatest(
-        F.lit(MIN_RATIO), F.length(x["run"]) * MIN_PER_CHARACTER))
-    return F.when(text.rlike(RUN), F.transform(likely, lambda x: x["span"])).otherwise(_none())
+    likely = F.transform(
+        F.regexp_extract_all(text, F.lit(RUN), F.lit(0)),
+        lambda run: ratio(run, table) >= F.greatest(F.lit(MIN_RATIO), F.length(run) * MIN_PER_CHARACTER))
+    apart = F.filter(matches(text, RUN, 3, likely), lambda x: ~F.exists(
+        base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return F.when(text.rlike(RUN), apart).otherwise(_none())
 
 
 def listed(spans: Column) -> Column:
