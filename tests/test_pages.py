@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ringside.functions import hashing, nodes
@@ -66,6 +67,15 @@ def test_the_scanner_ends_on_any_text():
             assert n["up"] is None or n["up"] < n["at"] and scanner.nodes[n["up"]]["last"] >= n["last"]
 
 
+def test_scanned_pages_come_in_pieces_of_bounded_nodes(spark):
+    pages = [f"<table>{'<tr><td>x' * 500}<a href=p{i}>" for i in range(90)]
+    sizes = [sum(len(p["nodes"]) for p in piece.to_pylist()) for piece in nodes.pieces(pa.array(pages), frozenset(("href",)), ())]
+    assert len(sizes) > 3 and max(sizes) < nodes.PIECE_NODES + 1_003 and sum(sizes) == 90 * 1_002
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string").coalesce(1).withColumn("p", nodes.scan(c("html")))
+    found = df.select("k", nodes.first(nodes.select(c("p"), nodes.is_tag("a")))["attrs"]["href"].alias("href")).collect()
+    assert len(found) == 90 and all(r.href == f"p{r.k}" for r in found)
+
+
 def test_selections_are_columns(spark):
     page = '<div class="a b"><p>x<b>y</b></p></div><div><p class=a>z</p></div>'
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").select("id", nodes.scan(c("html")).alias("page"))
