@@ -76,6 +76,14 @@ def test_scanned_pages_come_in_pieces_of_bounded_nodes(spark):
     assert len(found) == 90 and all(r.href == f"p{r.k}" for r in found)
 
 
+def test_scanned_pages_come_in_pieces_of_bounded_text(spark):
+    pages = [None, "", *(f"<article>{'word ' * 100_000}{i}" for i in range(13)), None]
+    found = list(nodes.pieces(pa.array(pages), frozenset(), ()))
+    texts = [["".join(p["texts"]) for p in piece.to_pylist()] for piece in found]
+    assert len(found) == 3 and max(sum(map(len, piece)) for piece in texts) < nodes.PIECE_CHARS + 500_010
+    assert [t[-2:].strip() for piece in texts for t in piece] == ["", "", *map(str, range(13)), ""]
+
+
 def test_selections_are_columns(spark):
     page = '<div class="a b"><p>x<b>y</b></p></div><div><p class=a>z</p></div>'
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").select("id", nodes.scan(c("html")).alias("page"))
