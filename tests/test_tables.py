@@ -12,6 +12,7 @@ from ringside.session import scratch_path
 from ringside.sources import markdown, payload
 from ringside.sources.keyed import read_keyed
 from ringside.sources.records import look_up, read_records, read_whole_texts
+from ringside.sources.text_files import read_whole
 
 c = F.col
 
@@ -71,6 +72,23 @@ def test_absent_text_file_gives_no_rows(spark):
     assert read_whole_texts(spark, scratch_path(spark, "nothing")).isEmpty()
 
 
+def test_whole_texts_are_read_many_a_task_with_the_rows_of_spark(spark, tmp_path):
+    names = [f"{i}.md" for i in range(2_500)] + ["a b%é[x]#?.txt", "_hidden.md", ".dot.md"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"\xef\xbb\xbfA\xff\r\n " if name[0] == "a" else b"" if name == "7.md" else name.encode())
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "inner" / "deep.md").write_text("deep")
+    found = read_whole_texts(spark, str(tmp_path))
+    plain = spark.read.text(str(tmp_path), wholetext=True).select(c("_metadata.file_path").alias("file_path"), c("value").alias("body"))
+    listed = lambda df: sorted(tuple(r) for r in df.select("file_path", F.hex("body")).collect())
+    assert listed(found) == listed(plain) and len(listed(found)) == 2_500
+    assert found.select(F.spark_partition_id()).distinct().count() == 3
+    # a folder of a partitioned table and packed files are left to Spark
+    (tmp_path / "day=1").mkdir()
+    (tmp_path / "day=1" / "x.md").write_text("x")
+    assert read_whole(spark, str(tmp_path)) is None
+
+
 def test_repeated_incoming_keys_are_inserted_once(spark):
     old = spark.createDataFrame([(1, "a")], "k int, v string")
     new = spark.createDataFrame([(2, "b"), (2, "c"), (1, "z")], "k int, v string")
