@@ -35,7 +35,8 @@ MIN_WORDS = 4
 MAX_EDITS = 0.2
 COORDINATES, REPEATS = 4, 6
 BLOCK_BYTES = 8 << 20
-_SIEVE = 1 << 20
+#: Places of a sieve: SPARSE for each key of the items, at most _SIEVE; fewer would let too many windows through.
+_SIEVE, SPARSE = 1 << 20, 64
 
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start long, end long"
 
@@ -101,7 +102,8 @@ class Walk:
                 sampled += 1
                 keys.append(key)
                 if sift:
-                    stay = self.sieves[sampled - 1][(key & U64(_SIEVE - 1)).astype(np.int64)]
+                    sieve = self.sieves[sampled - 1]
+                    stay = sieve[(key & U64(len(sieve) - 1)).astype(np.int64)]
                     at, place, key, where, over = at[stay], place[stay], key[stay], where[stay], over[stay]
             place += ((random[where] >> U64(step % 64)) & U64(1)).astype(np.int64) * ~over
         return at, keys if not sift else key
@@ -133,8 +135,8 @@ class Index:
                 _, keys = walk.run(words.hash, at, sift=False)
                 walk.sieves = []
                 for key in keys:
-                    sieve = np.zeros(_SIEVE, bool)
-                    sieve[(key & U64(_SIEVE - 1)).astype(np.int64)] = True
+                    sieve = np.zeros(min(_SIEVE, 1 << (SPARSE * len(key)).bit_length()), bool)
+                    sieve[(key & U64(len(sieve) - 1)).astype(np.int64)] = True
                     walk.sieves.append(sieve)
                 order = np.argsort(keys[-1], kind="stable")
                 walk.keys, walk.items = keys[-1][order], owner[order]

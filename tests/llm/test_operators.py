@@ -544,3 +544,12 @@ def test_pipeline_stages(spark, sf_dir):
         docs = spark.createDataFrame(after.collect(), after.schema)
     want = docs.count()
     assert corpus_pipeline.run(spark, sf_dir).count() == want
+
+
+def test_sieves_are_sized_by_the_items():
+    from ringside.llm.decontam import Index
+
+    item = "seven sailors counted eleven lanterns along the frozen harbour wall"
+    index = Index([1], [item])
+    assert sum(s.nbytes for w in index.walks for s in w.sieves) < 1 << 20
+    assert set(index.search([b"nothing here at all", f"before {item} after".encode()])) == {(1, 0)}
