@@ -130,6 +130,14 @@ def test_dual_write(spark, sf_dir):
     assert {r.body for r in back.filter(one).collect()} == {"again"} and back.count() == parts.count()
 
 
+def test_pages_lose_their_markup_before_they_meet_their_records(spark, sf_dir):
+    from ringside.plans.adapters import records
+
+    plan = records(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above, joined, below = plan.partition("Join LeftOuter")
+    assert joined and "html#" not in above and "html#" in below
+
+
 def test_marker_search(spark):
     script = 'x={"a":"}{\\"","page":{"in":{"segMeta":{"n":[1,{"z":"}"}]}}}}; y={"page":{"b":1}}'
     page = f"<script>no</script><script>var k = '\"segMeta\"' + {{;</script><script>{script}</script>"
