@@ -24,6 +24,8 @@ from ringside.session import cut_lineage, scratch_path
 THRESHOLD = 8
 #: Left rows plus links that one task walks at a time. It sizes the steps and decides nothing else.
 BATCH = 50_000
+#: Kinds of a side up to which a group is scored pair by pair. It chooses between two ways to the same pairs.
+SMALL = 64
 
 
 def _tokens(slug: Column) -> Column:
@@ -83,16 +85,37 @@ def _with_slugs(df: DataFrame, group: str, pos: str, a: str, b: str) -> DataFram
 
 
 def score_kinds(left_kinds: DataFrame, right_kinds: DataFrame, group: str) -> DataFrame:
-    """Scoring pairs of kinds: (group, la, lb) against (group, ra, rb)."""
+    """Scoring pairs of kinds: (group, la, lb) against (group, ra, rb).
+
+    Keys cost a name pair a few hundred rows. A group with at most ``SMALL`` kinds on either side, as
+    cards are, is therefore scored pair by pair; both ways find the same pairs.
+    """
     la, lb, ra, rb = (F.col(c) for c in ("la", "lb", "ra", "rb"))
-    lk = left_kinds.withColumn("k", F.explode(_pair_keys(la, lb, True)))
-    rk = right_kinds.withColumn("k", F.explode(_pair_keys(ra, rb, False)))
+    left_kinds = left_kinds.filter(la.isNotNull() & lb.isNotNull())
+    right_kinds = right_kinds.filter(ra.isNotNull() & rb.isNotNull())
+    sizes = left_kinds.groupBy(group).agg(F.count(F.lit(1)).alias("nl")).join(
+        right_kinds.groupBy(group).agg(F.count(F.lit(1)).alias("nr")), group
+    ).select(group, (F.greatest("nl", "nr") <= SMALL).alias("small"))
+    lefts, rights = left_kinds.join(sizes, group), right_kinds.join(sizes, group)
+    small = F.col("small")
+    paired = lefts.filter(small).drop("small").join(rights.filter(small).drop("small"), group)
+
+    def keyed(kinds: DataFrame, keys: Column) -> DataFrame:
+        # Names that meet on equal hashes of different keys fall to the score.
+        rows = kinds.filter(~small).drop("small").withColumn("k", F.explode(keys))
+        return rows.withColumn("k", F.xxhash64("k"))
+
+    # Sizes are guessed before keys are exploded, so the join is told not to broadcast them.
+    met = (
+        keyed(lefts, _pair_keys(la, lb, True))
+        .join(keyed(rights, _pair_keys(ra, rb, False)).hint("merge"), [group, "k"])
+        .drop("k")
+        .dropDuplicates([group, "la", "lb", "ra", "rb"])
+    )
     direct = name_score(ra, la) + name_score(rb, lb)
     reverse = name_score(ra, lb) + name_score(rb, la)
     return (
-        lk.join(rk, [group, "k"])
-        .drop("k")
-        .dropDuplicates([group, "la", "lb", "ra", "rb"])
+        paired.unionByName(met)
         .withColumn("score", F.greatest(direct, reverse))
         .withColumn("orientation", F.when(direct >= reverse, "direct").otherwise("reverse"))
         .filter(F.col("score") >= THRESHOLD)

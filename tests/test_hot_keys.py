@@ -1,11 +1,12 @@
 """Work cut into many ranges gives what one range gives."""
 
 import random
+import re
 
 from pyspark.sql import Window, functions as F
 
 from ringside.functions.names import name_score  # noqa: F401
-from ringside.operators import changes
+from ringside.operators import changes, matching
 from ringside.operators.matching import best_title, greedy_one_to_one
 from ringside.operators.ordered import CHUNK, Running, in_ranges, running
 from ringside.plans.adapters import runs, table
@@ -115,6 +116,31 @@ def test_greedy_matching_against_a_plain_loop(spark):
         assert sorted(tuple(r) for r in greedy_one_to_one(lhs, rhs, "g", **limits).collect()) == expected
 
 
+def test_small_groups_are_scored_by_pairs_and_large_ones_by_keys_with_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = lambda sizes: sorted({(g, "-".join(some_name(rng).split()), "-".join(some_name(rng).split())) for g, n in sizes for _ in range(n)})
+    left, right = kinds([(1, 9), (2, 40), (3, 40), (4, 3)]), kinds([(1, 12), (2, 45), (3, 5), (5, 3)])
+    expected = set()
+    for g, a, b in left:
+        for h, x, y in right:
+            if g == h:
+                x_, y_, a_, b_ = (n.replace("-", " ") for n in (x, y, a, b))
+                direct, reverse = score(x_, a_) + score(y_, b_), score(x_, b_) + score(y_, a_)
+                if max(direct, reverse) >= 8:
+                    expected.add((g, a, b, x, y, max(direct, reverse), "direct" if direct >= reverse else "reverse"))
+    lost = [(1, None, "ana-silva"), (2, "ana-silva", None), (None, "ana-silva", "bo-kim")]
+    lhs = spark.createDataFrame(left + lost, "g int, la string, lb string")
+    rhs = spark.createDataFrame(right + lost, "g int, ra string, rb string")
+    columns = ["g", "la", "lb", "ra", "rb", "score", "orientation"]
+    for small in (0, 12, 64):
+        monkeypatch.setattr(matching, "SMALL", small)
+        found = matching.score_kinds(lhs, rhs, "g")
+        got = [tuple(r) for r in found.select(*columns).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected, small
+        # a few kinds become many keys, so keys are never sent to every task
+        assert re.search(r"SortMergeJoin \[g#\d+, k#\d+L\]", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_copies_of_one_pair_over_several_turns(spark):
     left = [(1, p, "ana silva", "bo kim") for p in range(300)]
     right = [(1, p, "bo kim", "ana silva") for p in range(250)]
