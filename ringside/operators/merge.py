@@ -29,9 +29,11 @@ def fallback_merge(existing: DataFrame, fallback: DataFrame, group: str) -> Data
         return df.select(group, *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != group])
 
     # Three joins on unique keys: a full join on the assignment would gather
-    # all unmatched rows of a group under one empty key.
+    # all unmatched rows of a group under one empty key. Sizes are guessed from
+    # packed files, so the joins are told not to broadcast rows.
     left, right = side(fallback, "f"), side(existing, "e")
-    matched = left.join(pairs, [group, "f_pos"]).join(right, [group, "e_pos"])
+    pairs = pairs.hint("merge")
+    matched = left.join(pairs, [group, "f_pos"]).join(right.hint("merge"), [group, "e_pos"])
     added = left.join(pairs, [group, "f_pos"], "left_anti")
     leftover = right.join(pairs, [group, "e_pos"], "left_anti")
     own, other = (lambda c: F.col(f"e_{c}")), (lambda c: F.col(f"f_{c}"))

@@ -196,6 +196,37 @@ def test_diff_kinds(spark):
     assert got == [(1, "changed", "g", "x", "z"), (2, "removed", "*", None, None), (3, "added", "*", None, None)]
 
 
+def test_fallback_merge_sends_no_rows_to_every_task(spark, tmp_path):
+    columns = "card bigint, pos bigint, bout_id string, a_name string, b_name string, weight_class string, card_segment string"
+    existing = [
+        (1, 0, "e0", "ana silva", "bo kim", "n/a", "Prelim"), (1, 1, "e1", "cy li", "dan ito", "Heavy", "n/a"),
+        (2, 0, "e2", "ana silva", "bo kim", "n/a", "n/a"), (None, 0, "e3", "ana silva", "bo kim", "Fly", "n/a"),
+    ]
+    fallback = [
+        (1, 0, "f0", "bo kim", "ana silva", "Light", "Main"), (1, 1, "f1", "eva roy", "flo day", "Light", "Main"),
+        (3, 0, "f2", "ana silva", "bo kim", "Light", "Main"), (None, 0, "f3", "ana silva", "bo kim", "Light", "Main"),
+    ]
+    sides = []
+    # files are far smaller than their rows, which invites a broadcast
+    for name, rows in (("existing", existing), ("fallback", fallback)):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}")
+        sides.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    merged = merge.fallback_merge(*sides, "card")
+    got = sorted(map(tuple, merged.collect()), key=str)
+    assert got == sorted([
+        (1, "matched", 0, 0, "e0", "ana silva", "bo kim", "Light", "Prelim"),
+        (1, "added", 0, 1, "f1", "eva roy", "flo day", "Light", "Main"),
+        (3, "added", 0, 0, "f2", "ana silva", "bo kim", "Light", "Main"),
+        (None, "added", 0, 0, "f3", "ana silva", "bo kim", "Light", "Main"),
+        (1, "leftover", 1, 1, "e1", "cy li", "dan ito", "Heavy", None),
+        (2, "leftover", 1, 0, "e2", "ana silva", "bo kim", None, None),
+        (None, "leftover", 1, 0, "e3", "ana silva", "bo kim", "Fly", None),
+    ], key=str)
+    for df in (merged, merge.merge_coverage(merged, "card", "official")):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fresh_wins_over_cached(spark):
     fresh = spark.createDataFrame([(1, "f"), (2, None), (3, None)], "k int, v string")
     cached = spark.createDataFrame([(1, "c"), (2, "c")], "k int, v string")
