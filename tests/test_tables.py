@@ -68,6 +68,43 @@ def test_the_last_writer_of_a_target_wins(spark):
     assert sorted(tuple(r) for r in read_keyed(spark, path, schema).collect()) == [("t", "2", "b"), ("u", "0", "d")]
 
 
+def test_keyed_rows_are_packed_and_go_in_turns(spark, monkeypatch):
+    from pathlib import Path
+
+    from ringside.sources import keyed
+
+    path = scratch_path(spark, "turns")
+    schema = "k bigint, part string, n bigint, v string"
+    keys = dict(keys=["part", "k"], folders=["part"], within=["n"])
+    text = "one two three " * 40
+    first = [(k, f"p {k % 3}/=", n, text + str(k)) for k in range(200) for n in range(2)]
+    keyed.write_keyed(spark.createDataFrame([*first, *first[:9], (None, "p 0/=", 1, "null")], schema), path, **keys)
+    monkeypatch.setattr(keyed, "TURN_BYTES", 1000)
+    again = [(k, f"p {k % 3}/=", 7, v) for k in range(0, 200, 4) for v in ("a", "b", "c")[: 1 + k % 3]]
+    keyed.write_keyed(spark.createDataFrame([*again, (None, "p 0/=", 1, "more")], schema), path, **keys)
+    want = {(r[0], r[1], r[2]): r[3] for r in first if r[0] % 4}
+    want |= {(k, p, n): v for k, p, n, v in again}
+    got = [tuple(r) for r in read_keyed(spark, path, schema).select("k", "part", "n", "v").collect()]
+    assert sorted(r for r in got if r[0] is not None) == sorted((*k, v) for k, v in want.items())
+    assert sorted(r[3] for r in got if r[0] is None) == ["more", "null"]
+    files = [f for f in Path(path.removeprefix("file:")).rglob("*") if f.is_file() and f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".json.gz") for f in files) and not [*Path(path.removeprefix("file:")).glob("_staging*")]
+    assert sum(f.stat().st_size for f in files) < 200 * len(text)  # half of the rows without their packing
+    root = Path(path.removeprefix("file:")).parent
+    assert not [*root.glob("keyed-*")]
+
+
+def test_a_keyed_write_that_fails_leaves_the_table(spark):
+    from ringside.sources.keyed import write_keyed
+
+    path = scratch_path(spark, "failed")
+    write_keyed(spark.createDataFrame([(i, "old") for i in range(50)], "k int, v string"), path, ["k"])
+    bad = spark.range(50).select(c("id").cast("int").alias("k"), F.when(c("id") == 49, F.raise_error(F.lit("stop"))).otherwise("new").alias("v"))
+    with pytest.raises(Exception, match="stop"):
+        write_keyed(bad, path, ["k"])
+    assert {r.v for r in read_keyed(spark, path, "k int, v string").collect()} == {"old"}
+
+
 def test_absent_text_file_gives_no_rows(spark):
     assert read_whole_texts(spark, scratch_path(spark, "nothing")).isEmpty()
 
