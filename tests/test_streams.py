@@ -187,3 +187,41 @@ def test_inbox_takes_each_file_once_in_bounded_batches(spark):
     assert failed == {"3.json": "broken json", "4.json": "unknown folder", "5.json": "missing project_key"}
     counted = {r.outcome: r.n for r in spark.read.parquet(f"{root}/out/stats").groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
     assert counted == {"imported_ideas": 2, "imported_contexts": 1, "failed": 3}
+
+
+def test_inbox_lists_are_made_by_executors_and_name_a_file_once(spark, monkeypatch):
+    from urllib.parse import unquote
+
+    from ringside.sources import text_files
+    from ringside.streaming import inbox
+
+    monkeypatch.setattr(text_files, "PIECE", 3)
+    root = scratch_path(spark, "test-lists")
+    names = [f"{i:02d} [a]%20{{x}}.json" for i in range(11)]
+    rows_of = lambda part: spark.createDataFrame(
+        [("deep/ideas", n, '{"project_key": "ufc-betting", "raw_input": "%s", "remote_id": "%s"}' % (n, n[:2])) for n in part],
+        "folder string, file_name string, body string").coalesce(1)
+    write_files(rows_of(names[:7]), f"{root}/in")
+    write_files(rows_of(["_hidden.json", ".hidden.json"]), f"{root}/in")
+    box = flows.inbox_stream(spark, f"{root}/in", max_files=2)
+    flows.ingest_inbox(box, f"{root}/out", f"{root}/cp")
+    # the names are in lists on disk: what is held for the source of the stream is a list a batch, not a file
+    sizes = lambda: sorted(r["count"] for r in spark.read.json(f"{root}/cp/files").select("_metadata.file_path").groupBy(
+        "file_path").count().collect())
+    assert max(sizes()) <= 2 and sum(sizes()) == 7
+    write_files(rows_of(names[5:]), f"{root}/in")
+    flows.ingest_inbox(flows.inbox_stream(spark, f"{root}/in", max_files=2), f"{root}/out", f"{root}/cp")
+    assert max(sizes()) <= 2 and sum(sizes()) == 11
+    inbox.update_lists(box, f"{root}/cp/files")
+    assert sum(sizes()) == 11
+    got = sorted(unquote(r.file_name) for r in spark.read.parquet(f"{root}/out/documents").collect())
+    assert got == names
+    times = [s.getModificationTime() for s in _listed(spark, f"{root}/cp/files")]
+    assert len(set(times)) == len(times)
+
+
+def _listed(spark, path):
+    from ringside.sources.keyed import located
+
+    system, at = located(spark, path)
+    return [s for s in system.listStatus(at) if s.isFile()]
